@@ -1 +1,156 @@
-"""placeholder"""
+"""Trained models, their evaluation and tuning. Iterative fits have no SQL; the rest does."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.catalog.registry import big, query, rounded
+from lexiloom.catalog.tables import documents
+from lexiloom.catalog.text import grams_sql, vocabulary_sql
+from lexiloom.functions.text import surface_features
+from lexiloom.operators.rows import except_rows
+from lexiloom.operators.tfidf import LARGE
+from lexiloom.plans import training
+from lexiloom.plans.features import Inputs, apply, prepare, text_metadata_stages
+from lexiloom.sources.tables import read_table, spread
+
+NUMBERS = ("tweet_length", "word_count", "hashtags_count", "mentions_count", "urls_count")
+TEXT = Inputs("doc_id", text="text")
+FULL = Inputs("doc_id", text="text", numbers=NUMBERS, category="source")
+DENSE = Inputs("doc_id", numbers=NUMBERS, category="source", vector="embedding")
+VECTOR_CLASS = Inputs("vec_id", vector="embedding")
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with metadata; ``label`` is null where there is none."""
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = documents(spark, sf).select("doc_id", "text", "source")
+    both = spread(docs.join(labels, "doc_id", "left"), "doc_id")
+    return both.withColumns(surface_features("text"))
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("label").isNotNull())
+
+
+def with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return labelled(texts(spark, sf)).join(vectors, "doc_id")
+
+
+def vector_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings of the lower five classes against those of the upper five."""
+    return read_table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"))
+
+
+def classes(scored: DataFrame, key: str) -> DataFrame:
+    return scored.select(key, "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+def probabilities(scored: DataFrame, key: str) -> DataFrame:
+    p = rounded(vector_to_array("probability")[1]).alias("probability")
+    return scored.select(key, "label", F.col("prediction").cast("int").alias("prediction"), p)
+
+
+@query(
+    "v3_assembled",
+    f"""WITH train AS (SELECT doc_id, text, source, length(text) AS n FROM documents SEMI JOIN labels USING (doc_id)),
+{grams_sql('train', 'doc_id', LARGE)}, {vocabulary_sql('doc_id', LARGE)},
+tfs AS (SELECT doc_id, sum(w) / sqrt(sum(w * w)) AS s, count(*) AS nz
+  FROM (SELECT doc_id, term, count(*) * (ln((1.0::DOUBLE + any_value(n)) / (1 + any_value(df))) + 1) AS w
+        FROM (SELECT doc_id, unnest(g) AS term FROM grams) JOIN vocab USING (term), total GROUP BY doc_id, term) GROUP BY doc_id),
+z AS (SELECT doc_id, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS z FROM train)
+SELECT doc_id, (SELECT count(*) FROM vocab) + 1 + (SELECT count(DISTINCT source) FROM train) AS size,
+  coalesce(nz, 0) AS terms, round(coalesce(s, 0) + z + 1, 6) AS total
+FROM z LEFT JOIN tfs USING (doc_id)""",
+)
+def v3(spark: SparkSession, sf: str) -> DataFrame:
+    """Text, number and level slots side by side: their count, and the sum of all entries."""
+    inputs = Inputs("doc_id", text="text", numbers=("tweet_length",), category="source")
+    df = prepare(labelled(texts(spark, sf)), inputs)
+    rows = apply(text_metadata_stages(df, inputs), df).select(
+        "doc_id", vector_to_array("features").alias("v"), vector_to_array("text_features").alias("t")
+    )
+    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x)
+    terms = F.size(F.filter("t", lambda x: x != 0))
+    return rows.select(
+        "doc_id", big(F.size("v")).alias("size"), big(terms).alias("terms"), rounded(total).alias("total")
+    )
+
+
+@query("m1_logreg_scores")
+def m1(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("logistic_regression")
+    return probabilities(training.holdout_scores(labelled(texts(spark, sf)), plan, TEXT), "doc_id")
+
+
+@query("m1_logreg_metadata_scores")
+def m1_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("logistic_regression_metadata")
+    return probabilities(training.holdout_scores(labelled(texts(spark, sf)), plan, FULL), "doc_id")
+
+
+@query("m2_svm_scores")
+def m2(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("svm")
+    return classes(training.holdout_scores(labelled(texts(spark, sf)), plan, TEXT), "doc_id")
+
+
+@query("m3_gbt_scores")
+def m3(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("boosted_trees", rounds=10, depth=5)
+    return probabilities(training.holdout_scores(with_vectors(spark, sf), plan, DENSE), "doc_id")
+
+
+@query(
+    "m4_majority",
+    """SELECT doc_id, (SELECT quality FROM labels GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1) AS prediction
+FROM documents""",
+)
+def m4(spark: SparkSession, sf: str) -> DataFrame:
+    known = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = training.build("majority").fit(known, Inputs("doc_id"))
+    return model.transform(documents(spark, sf).select("doc_id")).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("m5_mlp_scores")
+def m5(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("perceptron", max_iter=30)
+    return probabilities(training.holdout_scores(with_vectors(spark, sf), plan, DENSE), "doc_id")
+
+
+@query("m9_cv_accuracy")
+def m9(spark: SparkSession, sf: str) -> DataFrame:
+    df = training.cross_validate(labelled(texts(spark, sf)), training.build("logistic_regression"), TEXT)
+    return df.select(big("fold").alias("fold"), rounded("accuracy").alias("accuracy"))
+
+
+@query("m10_score_unlabelled")
+def m10(spark: SparkSession, sf: str) -> DataFrame:
+    df = texts(spark, sf)
+    known = labelled(df)
+    others = except_rows(df, read_table(spark, sf, "labels"), "doc_id").drop("label")
+    scored = training.score_unlabelled(known, others, training.build("logistic_regression"), TEXT)
+    return scored.select(F.col("doc_id").alias("ID"), F.col("prediction").cast("int").alias("Prediction"))
+
+
+@query("m11_grid_best")
+def m11(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole grid; ``best`` marks the chosen setting."""
+    results = training.grid_search(
+        vector_classes(spark, sf), VECTOR_CLASS, rounds=(5,), depths=(3, 5), components=(8, 16, 32)
+    )
+    rows = [(r.rounds, r.depth, r.components, round(r.accuracy, 6), i == 0) for i, r in enumerate(results)]
+    return spark.createDataFrame(rows, "rounds int, depth int, components int, accuracy double, best boolean")
+
+
+@query(
+    "m12_best_epoch",
+    """SELECT c_nationkey AS run, c_custkey AS epoch, c_acctbal AS accuracy FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1""",
+)
+def m12(spark: SparkSession, sf: str) -> DataFrame:
+    runs = read_table(spark, sf, "customer").selectExpr("c_nationkey AS run", "c_custkey AS epoch", "c_acctbal AS accuracy")
+    return training.best_epoch(runs, "run", "epoch", "accuracy")

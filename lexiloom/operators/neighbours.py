@@ -1,0 +1,346 @@
+"""Exact cosine neighbours (V6) and fuzzy neighbour weights (V7).
+
+The neighbour join follows the pivot idea of Lu et al., "Efficient Processing of
+k Nearest Neighbor Joins using MapReduce" (VLDB 2012): vectors are assigned to
+the nearest of a bounded number of pivots, and a query only visits the cells
+that the triangle inequality cannot rule out. Cells are cut into blocks, so a
+dense cell becomes many tasks, each one a matrix product with a local top-k.
+Bitwise copies are searched once and expanded at the end.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexiloom.operators.splits import split_hash
+from lexiloom.session import materialise
+
+MAX_PIVOTS = 2048
+ROWS_PER_PIVOT = 4000
+BLOCK_ROWS = 4096
+CHUNK_ROWS = 512
+NEAR = 8  # pivots that bound the distance of the k-th neighbour
+STEPS = 1e-12  # resolution at which distances are compared; ties go to the smaller id
+SLACK = 1e-9  # on squared distances, far above STEPS and rounding
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and per cell its extent and number of blocks: size bounded by MAX_PIVOTS."""
+
+    pivots: np.ndarray
+    far: np.ndarray
+    close: np.ndarray
+    nearest: np.ndarray
+    members_blocks: np.ndarray
+    query_blocks: np.ndarray
+
+    def distances(self, units: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (units @ self.pivots.T), 0))
+
+    def visits(self, units: np.ndarray, k: int) -> np.ndarray:
+        """Which cells can hold one of the k nearest of each row, or an equally distant one."""
+        d = self.distances(units)
+        rows = np.arange(len(d))
+        own = d.argmin(axis=1)
+        near = np.argsort(d, axis=1)[:, :NEAR]
+        upper = (d[rows[:, None], near][:, :, None] + self.nearest[near]).reshape(len(d), -1)
+        bound = np.partition(upper, k, axis=1)[:, k] if upper.shape[1] > k else np.full(len(d), np.inf)
+        between = np.sqrt(np.maximum(2 - 2 * (self.pivots[own] @ self.pivots.T), 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(between > 0, (d**2 - d[rows, own][:, None] ** 2) / (2 * between), 0)
+        lower = np.maximum.reduce([d - self.far, self.close - d, plane, np.zeros_like(d)])
+        return (lower**2 <= bound[:, None] ** 2 + SLACK) & (self.members_blocks > 0)
+
+
+def knn_cosine(
+    df: DataFrame,
+    key: str,
+    vector: str,
+    k: int = 15,
+    rows_per_pivot: int = ROWS_PER_PIVOT,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``key, rank, neighbour, distance``: the k nearest other rows by ``1 - cosine``.
+
+    Exact; equal distances go to the smaller key. A zero vector is at distance 1
+    from all others and 0 from another zero vector.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    unique, copies = _without_copies(rows, k)
+    found = _search(unique, k, rows_per_pivot, block_rows)
+    if copies is None:
+        best = Window.partitionBy("id").orderBy("d", "n")
+        top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    else:
+        top = _expand(found, copies, k)
+    distance = F.greatest(F.col("d") * F.lit(STEPS), F.lit(0.0))
+    return top.select(F.col("id").alias(key), "rank", F.col("n").alias("neighbour"), distance.alias("distance"))
+
+
+def fuzzy_weights(neighbours: DataFrame, key: str, steps: int = 64) -> DataFrame:
+    """``key, neighbour, weight``: ``exp(-(d - rho) / sigma)`` with rho the smallest positive distance.
+
+    Sigma is bisected so that the weights of a row sum to ``log2(k)``.
+    """
+    per_row = neighbours.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near")  # k entries
+    )
+    distances = F.transform("near", lambda x: x["distance"])
+    positive = F.filter(distances, lambda d: d > 0)
+    per_row = per_row.select(
+        key, "near", distances.alias("ds"), F.coalesce(F.get(positive, F.lit(0)), F.lit(0.0)).alias("rho")
+    )
+    gaps = F.transform("ds", lambda d: F.greatest(d - F.col("rho"), F.lit(0.0)))
+    per_row = per_row.select(key, "near", "rho", gaps.alias("gaps"), F.log2(F.size("ds")).alias("target"))
+
+    def halve(s, _):
+        mid = s["mid"]
+        total = F.aggregate("gaps", F.lit(0.0), lambda acc, g: acc + F.exp(-g / mid))
+        too_wide = total > F.col("target")
+        lo = F.when(too_wide, s["lo"]).otherwise(mid)
+        hi = F.when(too_wide, mid).otherwise(s["hi"])
+        nxt = F.when(hi == F.lit(float("inf")), lo * 2).otherwise((lo + hi) / 2)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), nxt.alias("mid"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1.0).alias("mid"))
+    fitted = per_row.select(
+        key,
+        "near",
+        "rho",
+        F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["mid"].alias("sigma"),
+    )
+    edges = fitted.select(key, "rho", "sigma", F.inline("near"))
+    gap = F.greatest(F.col("distance") - F.col("rho"), F.lit(0.0))
+    return edges.select(key, "neighbour", F.exp(-gap / F.col("sigma")).alias("weight"))
+
+
+def fuzzy_union(weights: DataFrame, key: str) -> DataFrame:
+    """Undirected edges ``a < b`` with ``w_ab + w_ba - w_ab * w_ba``: one combined aggregation."""
+    pairs = weights.select(
+        F.least(key, "neighbour").alias("a"), F.greatest(key, "neighbour").alias("b"), "weight"
+    )
+    both = F.count(F.lit(1)) == 2
+    product = F.min("weight") * F.max("weight")
+    return pairs.groupBy("a", "b").agg((F.sum("weight") - F.when(both, product).otherwise(0.0)).alias("weight"))
+
+
+@dataclass(frozen=True)
+class Copies:
+    """All rows that have bitwise copies, and per group its vector, lowest key and lowest ``k + 1`` keys."""
+
+    rows: DataFrame
+    groups: DataFrame
+
+
+def _without_copies(rows: DataFrame, k: int) -> tuple[DataFrame, Copies | None]:
+    """Rows with one representative per group of bitwise copies, and the copies.
+
+    A group keeps its ``k + 1`` smallest keys: no row can have a further member
+    among its k neighbours, since ties go to the smaller key.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("v"))
+    repeated = materialise(hashed.groupBy("h").count().filter("count > 1").select("h"), "copies")
+    if repeated.isEmpty():
+        return rows, None
+    order = Window.partitionBy("v").orderBy("id")
+    copies = hashed.join(repeated, "h", "left_semi").select("id", "v")
+    smallest = copies.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    groups = smallest.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+    groups = materialise(groups, "copy-groups")
+    singles = hashed.join(repeated, "h", "left_anti").select("id", "v")
+    unique = materialise(singles.unionByName(groups.select("id", "v")), "distinct-vectors")
+    return unique, Copies(copies, groups)
+
+
+def _expand(found: DataFrame, copies: Copies, k: int) -> DataFrame:
+    """From neighbours among representatives to neighbours among all rows."""
+    ids = copies.groups.select(F.col("id").alias("n"), "ids")
+    others = found.join(ids, "n", "left").select(
+        "id", "d", F.explode(F.coalesce("ids", F.array("n"))).alias("n")
+    )
+    own = copies.groups.select("id", F.lit(0).cast("long").alias("d"), F.explode("ids").alias("n"))
+    best = Window.partitionBy("id").orderBy("d", "n")
+    # one more than k, as each member leaves itself out
+    top = others.unionByName(own).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    lists = top.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("near"))
+    lists = materialise(lists, "neighbour-lists")
+
+    # only copies need a join; it is on the few groups, so a hot one is a broadcast or an AQE skew split
+    shared = materialise(lists.join(copies.groups.select("id", "v"), "id").select("v", "near"), "group-lists")
+    members = lists.join(copies.groups.select("id"), "id", "left_anti").unionByName(
+        copies.rows.join(shared, "v").select("id", "near")
+    )
+    near = F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k)
+    return members.select("id", F.posexplode(near).alias("p", "x")).select(
+        "id", (F.col("p") + 1).alias("rank"), "x.d", "x.n"
+    )
+
+
+def _search(rows: DataFrame, k: int, rows_per_pivot: int, block_rows: int) -> DataFrame:
+    """``id, n, d``: candidates that include the k nearest of each row; ``d`` counts STEPS."""
+    n = rows.count()
+    pivots = min(MAX_PIVOTS, math.ceil(n / rows_per_pivot))
+    if pivots <= 1:
+        blocks = np.array([max(1, math.ceil(n / block_rows))])
+        one = np.zeros(1)
+        chosen = _units([r["v"] for r in rows.limit(1).collect()] or [[0.0]])
+        cells = Cells(chosen, one + 2, one, np.full((1, k + 1), np.inf), blocks, blocks)
+    else:
+        cells = _fit_cells(rows, k, pivots, block_rows)
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    schema = "cell int, mb int, qb int, id long, v binary"
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for batch in _chunks(batches):
+            own = c.distances(_units(batch["v"])).argmin(axis=1)
+            yield _placed(batch, np.arange(len(batch)), own, c.members_blocks, c.query_blocks, "mb", "qb")
+
+    def queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for batch in _chunks(batches):
+            at, cell = np.nonzero(c.visits(_units(batch["v"]), k))
+            yield _placed(batch, at, cell, c.query_blocks, c.members_blocks, "qb", "mb")
+
+    def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(q, m, k)
+
+    place = ["cell", "mb", "qb"]
+    return (
+        rows.mapInPandas(queries, schema)
+        .groupBy(*place)
+        .cogroup(rows.mapInPandas(members, schema).groupBy(*place))
+        .applyInPandas(match, "id long, n long, d long")
+    )
+
+
+def _fit_cells(rows: DataFrame, k: int, count: int, block_rows: int) -> Cells:
+    """Pivots by lowest hash; then cell extents; then visits per cell: two passes without a big shuffle."""
+    picked = rows.withColumn("h", split_hash("id")).orderBy("h").limit(count).collect()  # MAX_PIVOTS at most
+    pivots = np.unique(_units([r["v"] for r in picked]), axis=0)
+    size = len(pivots)
+    none = np.zeros(size)
+    bare = Cells(pivots, none, none, np.full((size, k + 1), np.inf), none, none)
+    sc = rows.sparkSession.sparkContext
+    first = sc.broadcast(bare)
+
+    def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = []
+        for batch in _chunks(batches):
+            d = first.value.distances(_units(batch["v"]))
+            own = d.argmin(axis=1)
+            parts.append(pd.DataFrame({"cell": own, "d": d[np.arange(len(d)), own], "n": 1}))
+            if len(parts) > 64:
+                parts = [_extent(pd.concat(parts), k)]
+        if parts:
+            yield _extent(pd.concat(parts), k)
+
+    # per task and cell: its k + 1 closest, its farthest, and their count on the first row
+    seen = rows.mapInPandas(extents, "cell int, d double, n long")
+    rank = Window.partitionBy("cell").orderBy("d")
+    far = seen.groupBy("cell").agg(F.max("d").alias("far"), F.sum("n").alias("n"))
+    close = seen.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k + 1)
+    close = close.groupBy("cell").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    members, farthest, nearest = np.zeros(size, dtype=np.int64), np.zeros(size), np.full((size, k + 1), np.inf)
+    for r in far.join(close, "cell").collect():  # one row per pivot
+        members[r["cell"]], farthest[r["cell"]] = r["n"], r["far"]
+        nearest[r["cell"], : len(r["ds"])] = r["ds"]
+    closest = np.where(members > 0, nearest[:, 0], 0)
+    member_blocks = -(-members // block_rows)
+    known = Cells(pivots, farthest, closest, nearest, member_blocks, none)
+    second = sc.broadcast(known)
+
+    def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in _chunks(batches):
+            total += second.value.visits(_units(batch["v"]), k).sum(axis=0)
+        yield pd.DataFrame({"cell": np.arange(size), "n": total})
+
+    visits = np.zeros(size, dtype=np.int64)
+    for r in rows.mapInPandas(visited, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        visits[r["cell"]] = r["n"]
+    return Cells(pivots, farthest, closest, nearest, member_blocks, -(-visits // block_rows))
+
+
+def _extent(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of each cell the k + 1 closest rows and the farthest one; counts move to its first row."""
+    ordered = rows.sort_values(["cell", "d"])
+    grouped = ordered.groupby("cell")
+    keep = (grouped.cumcount() <= k) | (grouped.cumcount(ascending=False) == 0)
+    total = grouped["n"].transform("sum")
+    first = grouped.cumcount() == 0
+    return ordered.assign(n=total.where(first, 0))[keep]
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), CHUNK_ROWS):
+            yield batch.iloc[start : start + CHUNK_ROWS]
+
+
+def _units(vectors) -> np.ndarray:
+    """Rows of length one. An extra dimension holds the zero vectors."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.hstack([x / np.where(norm > 0, norm, 1), (norm == 0).astype(float)])
+
+
+def _placed(
+    batch: pd.DataFrame, at: np.ndarray, cell: np.ndarray, own: np.ndarray, other: np.ndarray, own_name: str, other_name: str
+) -> pd.DataFrame:
+    """Put row ``at[i]`` into one block of its own side of ``cell[i]``, against every block of the other side."""
+    times = other[cell].astype(int)
+    at, cell = np.repeat(at, times), np.repeat(cell, times)
+    ids = batch["id"].to_numpy()[at]
+    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    blocks = np.maximum(own[cell], 1).astype(np.uint64)
+    stops = np.cumsum(times)
+    against = np.arange(len(at)) - np.repeat(stops - times, times)
+    packed = [np.asarray(v, dtype=np.float64).tobytes() for v in batch["v"]]
+    return pd.DataFrame(
+        {
+            "cell": cell.astype(np.int32),
+            own_name: (spread % blocks).astype(np.int32),
+            other_name: against.astype(np.int32),
+            "id": ids,
+            "v": [packed[i] for i in at],
+        }
+    )[["cell", "mb", "qb", "id", "v"]]
+
+
+def _nearest(q: pd.DataFrame, m: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Local top-k of a block of queries in a block of members."""
+    out: list[pd.DataFrame] = []
+    if len(q) and len(m):
+        m = m.sort_values("id")
+        names = m["id"].to_numpy()
+        members = _unpack(m["v"])
+        bits = max(1, (len(m) - 1).bit_length())
+        position = np.arange(len(m), dtype=np.int64)
+        for start in range(0, len(q), CHUNK_ROWS):
+            part = q.iloc[start : start + CHUNK_ROWS]
+            ids = part["id"].to_numpy()
+            steps = np.rint((1 - _unpack(part["v"]) @ members.T) / STEPS).astype(np.int64)
+            # distance first, then key order: one integer, so the choice among ties is fixed
+            ranked = (steps << bits) | position
+            ranked[ids[:, None] == names[None, :]] = np.iinfo(np.int64).max
+            take = min(k, len(m))
+            best = np.partition(ranked, take - 1, axis=1)[:, :take]
+            row, col = np.nonzero(best < np.iinfo(np.int64).max)
+            chosen = best[row, col]
+            out.append(
+                pd.DataFrame({"id": ids[row], "n": names[chosen & ((1 << bits) - 1)], "d": chosen >> bits})
+            )
+    return pd.concat(out) if out else pd.DataFrame({"id": [], "n": [], "d": []}, dtype="int64")
+
+
+def _unpack(packed: pd.Series) -> np.ndarray:
+    return _units(np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1))

@@ -1,4 +1,4 @@
-"""Exact running totals inside groups of any size.
+"""Exact running totals and quantiles over groups and columns of any size.
 
 A window over one group is one task, so a group that holds a third of the rows
 stalls. Here the order column is cut into buckets first: rows are ranked inside
@@ -8,7 +8,9 @@ cuts lie changes only the balance, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +65,73 @@ def running_totals(
     )
 
 
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], buckets: int = BUCKETS, small_rows: int = SMALL_ROWS
+) -> dict[str, list[float]]:
+    """For each column the smallest value with at least that share of the rows at or below it.
+
+    Approximate cuts give buckets; their counts tell which bucket holds each
+    rank; only those few buckets are then shuffled, as counts per value.
+    """
+    fine = [i / buckets for i in range(1, buckets)]
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    row = numbers.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(f"x{i}", fine, 2 * buckets).alias(f"q{i}") for i in range(len(columns))],
+    ).first()
+    infinity = float("inf")
+    cuts = [sorted(set(row[f"q{i}"] or [])) if row["n"] > small_rows else [] for i in range(len(columns))]
+    bucketizer = Bucketizer(
+        splitsArray=[[-infinity, *(c or [0.0]), infinity] for c in cuts],
+        inputCols=[f"x{i}" for i in range(len(columns))],
+        outputCols=[f"b{i}" for i in range(len(columns))],
+        handleInvalid="keep",
+    )
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.col(f"b{i}").cast("int").alias("b"), F.col(f"x{i}").alias("x"))
+        for i in range(len(columns))
+    ]
+    cells = bucketizer.transform(numbers).select(F.inline(F.array(*entries))).filter("x is not null and not isnan(x)")
+
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in cells.groupBy("i", "b").count().collect():  # columns x buckets rows at most
+        counts.setdefault(r["i"], []).append((r["b"], r["count"]))
+    wanted: dict[tuple[int, int], set[int]] = {}
+    spots: dict[tuple[int, float], tuple[int, int]] = {}
+    for i, per_bucket in counts.items():
+        n = sum(m for _, m in per_bucket)
+        for share in shares:
+            rank = max(1, math.ceil(round(share * n, 9)))
+            for b, m in sorted(per_bucket):
+                if rank <= m:
+                    break
+                rank -= m
+            spots[i, share] = (b, rank)
+            wanted.setdefault((i, b), set()).add(rank)
+    if not wanted:
+        return {c: [] for c in columns}
+
+    chosen = reduce(lambda a, b: a | b, [(F.col("i") == i) & (F.col("b") == b) for i, b in wanted])
+    inside = Window.partitionBy("i", "b").orderBy("x")
+    ranked = cells.filter(chosen).groupBy("i", "b", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranked.withColumn("upto", F.sum("n").over(inside))
+    hits = reduce(
+        lambda a, b: a | b,
+        [
+            (F.col("i") == i) & (F.col("b") == b) & (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r)
+            for (i, b), ranks in wanted.items()
+            for r in ranks
+        ],
+    )
+    found = [(r["i"], r["b"], r["upto"] - r["n"], r["upto"], r["x"]) for r in ranked.filter(hits).collect()]
+
+    def value(i: int, share: float) -> float:
+        b, rank = spots[i, share]
+        return next(x for fi, fb, lo, hi, x in found if (fi, fb) == (i, b) and lo < rank <= hi)
+
+    return {c: [value(i, s) for s in shares] if i in counts else [] for i, c in enumerate(columns)}
+
+
 def _with_bucket(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
     if not cuts:
         return df.withColumn(_BUCKET, F.lit(0))

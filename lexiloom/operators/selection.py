@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.groups import top_k
+from lexiloom.operators.ordering import exact_quantiles
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -54,27 +55,21 @@ def select_k_best(df: DataFrame, features: Sequence[str], label: str, k: int = 1
     return top_k(anova_f(df, features, label), "f", "feature", k)
 
 
-def mutual_information(
-    df: DataFrame, features: Sequence[str], label: str, bins: int = 10, accuracy: int = 100_000
-) -> DataFrame:
-    """``feature, mi`` in nats between the label and quantile bins of each feature.
+def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
+    """``feature, mi`` in nats between the label and equal-frequency bins of each feature.
 
-    Two narrow passes: quantile edges, then counts per (feature, bin, class),
-    which are combined before the shuffle. Equal values always share a bin.
+    Quantile edges first, then counts per (feature, bin, class), which are
+    combined before the shuffle. Equal values always share a bin.
     """
     rows = df.filter(F.col(label).isNotNull())
-    shares = [i / bins for i in range(1, bins)]
-    row = rows.agg(
-        *[F.percentile_approx(f"`{c}`", shares, accuracy).alias(f"e{i}") for i, c in enumerate(features)]
-    ).first()
+    edges_of = exact_quantiles(rows, features, [i / bins for i in range(1, bins)])
 
-    def bin_of(i: int, name: str):
-        edges = sorted(set(row[f"e{i}"] or []))
-        above = [(F.col(f"`{name}`") > e).cast("int") for e in edges]
+    def bin_of(name: str):
+        above = [(F.col(f"`{name}`") > e).cast("int") for e in sorted(set(edges_of[name]))]
         return sum(above, F.lit(0))
 
     entries = F.array(
-        *[F.struct(F.lit(c).alias("feature"), bin_of(i, c).alias("bin")) for i, c in enumerate(features)]
+        *[F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")) for c in features]
     )
     cells = rows.select(F.col(label).alias("cls"), F.inline(entries)).groupBy("feature", "bin", "cls").agg(
         F.count(F.lit(1)).cast("double").alias("n")

@@ -71,7 +71,7 @@ def term_stages(text: str, output: str, rules: TermRules) -> list[Transformer]:
     gone = ", ".join(f"`{c}`" for c in [words, kept, *grams])
     stages.append(
         SQLTransformer(
-            statement=f"SELECT * EXCEPT ({gone}), `{output}` FROM (SELECT *, concat({joined}) AS `{output}` FROM __THIS__)"
+            statement=f"SELECT * EXCEPT ({gone}) FROM (SELECT *, concat({joined}) AS `{output}` FROM __THIS__)"
         )
     )
     return stages

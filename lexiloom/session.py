@@ -27,16 +27,18 @@ def local_session(cpus: int | str = 8, app_name: str = "lexiloom") -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, taken from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session may fall back to a folder of this machine. Iterative
+    fits cut their lineage in the same folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="lexiloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
