@@ -88,7 +88,7 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_logreg_metadata_scores")
 def m1_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    plan = training.build("logistic_regression_metadata")
+    plan = training.build("logistic_regression_metadata", tol=1e-4)
     return probabilities(training.holdout_scores(labelled(texts(spark, sf)), plan, FULL), "doc_id")
 
 

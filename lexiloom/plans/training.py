@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.metrics import accuracy
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.splits import SEED, stratified_folds, stratified_holdout
-from lexiloom.operators.tfidf import SMALL, TermRules, fit_tfidf_by_fold
+from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf_by_fold
 from lexiloom.plans import classifiers
 from lexiloom.plans.features import (
     FEATURES,
@@ -30,11 +30,19 @@ from lexiloom.plans.features import (
     vector_metadata_stages,
 )
 from lexiloom.session import materialise
+from lexiloom.sources.tables import packed
 
 FeatureFit = Callable[[DataFrame, Inputs], list[Transformer]]
 ClassifierFit = Callable[[DataFrame, Inputs], list[Transformer]]
 
 
+def training_table(df: DataFrame, inputs: Inputs) -> DataFrame:
+    """Key, label and features, computed once and written: every pass of a fit reads this table."""
+    columns = [c for c in (inputs.key, inputs.label, FEATURES) if c in df.columns]
+    table = materialise(df.select(*columns), "train")
+    return packed(table, table.count())
+
+
 def no_features(train: DataFrame, inputs: Inputs) -> list[Transformer]:
     return []
 
@@ -57,11 +65,11 @@ class Plan:
         """Fit on the rows given; ``train`` comes from ``prepare``."""
         self.check(inputs)
         stages = self.features(train, inputs) if features is None else features
-        return PipelineModel([*stages, *self.classifier(apply(stages, train), inputs)])
+        return PipelineModel([*stages, *self.classifier(training_table(apply(stages, train), inputs), inputs)])
 
 
-def _logistic_regression(c: float = 1.0, balanced: bool = False, rules: TermRules = SMALL) -> Plan:
-    fit = partial(classifiers.logistic_regression, c=c, balanced=balanced)
+def _logistic_regression(rules: TermRules = SMALL, **fit: Any) -> Plan:
+    fit = partial(classifiers.logistic_regression, **fit)
     return Plan(partial(text_stages, rules=rules), fit, ("text",), rules)
 
 
@@ -69,9 +77,9 @@ def _svm(c: float = 1.0, rules: TermRules = SMALL) -> Plan:
     return Plan(partial(text_stages, rules=rules), partial(classifiers.linear_svm, c=c), ("text",), rules)
 
 
-def _logistic_regression_metadata(c: float = 1.0, balanced: bool = True, **rules: Any) -> Plan:
-    fit = partial(classifiers.logistic_regression, c=c, balanced=balanced)
-    return Plan(partial(text_metadata_stages, **rules), fit, ("text", "numbers"))
+def _logistic_regression_metadata(rules: TermRules = LARGE, balanced: bool = True, **fit: Any) -> Plan:
+    fit = partial(classifiers.logistic_regression, balanced=balanced, **fit)
+    return Plan(partial(text_metadata_stages, rules=rules), fit, ("text", "numbers"))
 
 
 def _boosted_trees(components: int | None = None, **trees: Any) -> Plan:
@@ -166,6 +174,7 @@ def grid_search(
     reduced = apply([*fit_pca(train, inputs.vector, "reduced", largest), *meta], split.filter("split is not null"))
     table = materialise(reduced.select(inputs.key, inputs.label, "split", "reduced", *outputs), "grid")
 
+    rows = table.count()
     results = []
     for k in components:
         stages = [
@@ -173,8 +182,9 @@ def grid_search(
             VectorAssembler(inputCols=["leading", *outputs], outputCol=FEATURES),
         ]
         features = apply(stages, table)
+        train_rows = packed(features.filter("split = 'train'"), rows)
         for r, d in itertools.product(rounds, depths):
-            model = PipelineModel(classifiers.boosted_trees(features.filter("split = 'train'"), inputs, r, d))
+            model = PipelineModel(classifiers.boosted_trees(train_rows, inputs, r, d))
             score = model.transform(features.filter("split = 'val'")).agg(accuracy(inputs.label)).first()[0]
             results.append(GridResult(r, d, k, score))
     return sorted(results, key=lambda x: -x.accuracy)
