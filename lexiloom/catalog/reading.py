@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.catalog.registry import big, query, rounded
-from lexiloom.catalog.tables import TWEETS_SQL, documents, labelled, scored, tweets
+from lexiloom.catalog.tables import TWEETS_SQL, documents, labelled, scored, spread_documents, tweets
 from lexiloom.functions import clean, text
 from lexiloom.operators import rows, schema
 from lexiloom.operators.scaling import fit_vector_scaler
@@ -248,7 +248,7 @@ def surface(t: str) -> list:
 
 @query("f_surface", f"SELECT doc_id, {SURFACE_SQL.replace('(t', '(text')} FROM documents")
 def f_surface(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", *surface("text"))
+    return spread_documents(spark, sf, "doc_id", "text").select("doc_id", *surface("text"))
 
 
 @query(

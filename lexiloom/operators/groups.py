@@ -137,6 +137,7 @@ def _split_hot(
         return rows, None
     cold = rows.join(hot_groups, group, "left_anti")
     hot = rows.join(hot_groups, group, "left_semi")
-    before = running_totals(hot, [group], key, {"_before": size}, order_cuts(hot, key))
+    (cuts,) = order_cuts(hot, [key], size, bucket_size=max(1, limit))
+    before = running_totals(hot, [group], key, {"_before": size}, cuts)
     part = F.floor(F.col("_before") / F.lit(limit)).cast("long")
     return cold, before.withColumn("part", part).drop("_before")

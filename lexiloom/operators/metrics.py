@@ -101,7 +101,8 @@ def _by_score(df: DataFrame, label: str, score: str, extra: dict[str, Column]) -
     per_score = scored.groupBy(score).agg(
         F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), *[c.alias(n) for n, c in extra.items()]
     )
-    return running_totals(per_score, [], score, {"neg_below": F.col("neg")}, order_cuts(scored, score))
+    (cuts,) = order_cuts(scored, [score])
+    return running_totals(per_score, [], score, {"neg_below": F.col("neg")}, cuts)
 
 
 def _auc() -> Column:

@@ -10,29 +10,84 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+QUANTILES = 256
+MAX_FINE = 512
 SMALL_ROWS = 200_000
+BUCKET_ROWS = 2_000_000
 
 _BUCKET = "_bucket"
-_VALUE = "_order"
 
 
-def order_cuts(df: DataFrame, order: str, buckets: int = BUCKETS, small_rows: int = SMALL_ROWS) -> list[float]:
-    """Quantile cuts of a numeric column: one narrow pass; none where rows are few."""
-    shares = [i / buckets for i in range(1, buckets)]
+@dataclass(frozen=True)
+class OrderCuts:
+    """Quantile cuts of a numeric column, each range cut again into equal steps.
+
+    The quantiles follow the data roughly and come from a small sketch; the
+    steps make up to ``QUANTILES * MAX_FINE`` buckets out of them.
+    """
+
+    cuts: list[float]
+    low: float
+    high: float
+    fine: int
+
+    def add(self, df: DataFrame, order: str, bucket: str) -> DataFrame:
+        """Add a bucket number that never decreases with ``order``; null for null and NaN."""
+        if not self.cuts:
+            return df.withColumn(bucket, F.when(_is_number(order), F.lit(0)))
+        infinity = float("inf")
+        wide, value, coarse = df, f"{bucket}_x", f"{bucket}_q"
+        wide = wide.withColumn(value, F.col(order).cast("double"))
+        splits = [-infinity, *self.cuts, infinity]
+        wide = Bucketizer(splits=splits, inputCol=value, outputCol=coarse, handleInvalid="keep").transform(wide)
+        q, x = F.col(coarse).cast("int"), F.col(value)
+        number = q
+        if self.fine > 1:
+            starts = [self.low, *self.cuts]
+            widths = [hi - lo for lo, hi in zip(starts, [*self.cuts, self.high])]
+            share = (x - F.get(F.lit(starts), q)) / F.get(F.lit([w if w > 0 else 1.0 for w in widths]), q)
+            step = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * self.fine).cast("int")
+            number = q * self.fine + F.least(step, F.lit(self.fine - 1))
+        return wide.withColumn(bucket, F.when(_is_number(value), number)).drop(value, coarse)
+
+
+def order_cuts(
+    df: DataFrame,
+    orders: Sequence[str],
+    size: Column | None = None,
+    bucket_size: int = BUCKET_ROWS,
+    small_rows: int = SMALL_ROWS,
+    quantiles: int = QUANTILES,
+    max_fine: int = MAX_FINE,
+) -> list[OrderCuts]:
+    """Cuts for each of the columns from one narrow pass; no cuts where rows are few.
+
+    ``size`` is what a bucket is measured in, one per row unless given.
+    """
+    shares = [i / quantiles for i in range(1, quantiles)]
+    xs = [F.col(f"`{c}`").cast("double") for c in orders]
     row = df.agg(
-        F.count(order).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), shares, 2 * buckets).alias("cuts"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.lit(1) if size is None else size).alias("size"),
+        *[F.percentile_approx(x, shares, 2 * quantiles).alias(f"q{i}") for i, x in enumerate(xs)],
+        *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+        *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)],
     ).first()
-    if row["n"] <= small_rows or not row["cuts"]:
-        return []
-    return sorted(set(row["cuts"]))
+    fine = min(max_fine, math.ceil((row["size"] or 0) / (quantiles * bucket_size)))
+    found = []
+    for i in range(len(xs)):
+        cuts = sorted({c for c in row[f"q{i}"] or [] if math.isfinite(c)}) if row["n"] > small_rows else []
+        ends = (row[f"lo{i}"], row[f"hi{i}"])
+        steps = max(1, fine) if all(e is not None and math.isfinite(e) for e in ends) else 1
+        found.append(OrderCuts(cuts, *ends, steps))
+    return found
 
 
 def running_totals(
@@ -40,17 +95,17 @@ def running_totals(
     groups: Sequence[str],
     order: str,
     totals: Mapping[str, Column],
-    cuts: Sequence[float],
+    cuts: OrderCuts,
 ) -> DataFrame:
     """Add one column per entry of ``totals``: its sum over the rows before this one.
 
     ``order`` is numeric and unique inside a group. Rows stay as they are.
     """
     inner = Window.partitionBy(*groups, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    bucketed = _with_bucket(df, order, cuts)
+    bucketed = cuts.add(df, order, _BUCKET)
     zero = F.lit(0)
     local = bucketed.select("*", *[F.coalesce(F.sum(v).over(inner), zero).alias(name) for name, v in totals.items()])
-    if not cuts:
+    if not cuts.cuts:
         return local.drop(_BUCKET)
 
     sums = {f"_sum_{name}": v for name, v in totals.items()}
@@ -66,51 +121,51 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], buckets: int = BUCKETS, small_rows: int = SMALL_ROWS
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], small_rows: int = SMALL_ROWS
 ) -> dict[str, list[float]]:
     """For each column the smallest value with at least that share of the rows at or below it.
 
     Approximate cuts give buckets; their counts tell which bucket holds each
     rank; only those few buckets are then shuffled, as counts per value.
     """
-    fine = [i / buckets for i in range(1, buckets)]
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    row = numbers.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(f"x{i}", fine, 2 * buckets).alias(f"q{i}") for i in range(len(columns))],
-    ).first()
-    infinity = float("inf")
-    cuts = [sorted(set(row[f"q{i}"] or [])) if row["n"] > small_rows else [] for i in range(len(columns))]
-    bucketizer = Bucketizer(
-        splitsArray=[[-infinity, *(c or [0.0]), infinity] for c in cuts],
-        inputCols=[f"x{i}" for i in range(len(columns))],
-        outputCols=[f"b{i}" for i in range(len(columns))],
-        handleInvalid="keep",
-    )
+    xs = numbers.columns
+    bucketed = numbers
+    for i, cuts in enumerate(order_cuts(numbers, xs, small_rows=small_rows, quantiles=128, max_fine=64)):
+        bucketed = cuts.add(bucketed, xs[i], f"b{i}")
     entries = [
-        F.struct(F.lit(i).alias("i"), F.col(f"b{i}").cast("int").alias("b"), F.col(f"x{i}").alias("x"))
-        for i in range(len(columns))
+        F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(x).alias("x")) for i, x in enumerate(xs)
     ]
-    cells = bucketizer.transform(numbers).select(F.inline(F.array(*entries))).filter("x is not null and not isnan(x)")
-
-    counts: dict[int, list[tuple[int, int]]] = {}
-    for r in cells.groupBy("i", "b").count().collect():  # columns x buckets rows at most
-        counts.setdefault(r["i"], []).append((r["b"], r["count"]))
-    wanted: dict[tuple[int, int], set[int]] = {}
-    spots: dict[tuple[int, float], tuple[int, int]] = {}
-    for i, per_bucket in counts.items():
-        n = sum(m for _, m in per_bucket)
+    cells = bucketed.select(F.inline(F.array(*entries))).filter("b is not null")
+
+    ends = (F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    per_bucket: dict[int, list] = {}
+    for r in cells.groupBy("i", "b").agg(*ends).collect():  # columns x buckets rows at most
+        per_bucket.setdefault(r["i"], []).append(r)
+    values: dict[tuple[int, float], float] = {}
+    wanted: dict[tuple[int, int], dict[int, list[float]]] = {}
+    for i, found in per_bucket.items():
+        n = sum(r["n"] for r in found)
+        found.sort(key=lambda r: r["b"])
         for share in shares:
             rank = max(1, math.ceil(round(share * n, 9)))
-            for b, m in sorted(per_bucket):
-                if rank <= m:
+            for r in found:
+                if rank <= r["n"]:
                     break
-                rank -= m
-            spots[i, share] = (b, rank)
-            wanted.setdefault((i, b), set()).add(rank)
-    if not wanted:
-        return {c: [] for c in columns}
-
+                rank -= r["n"]
+            if r["lo"] == r["hi"]:
+                values[i, share] = r["lo"]
+            else:
+                wanted.setdefault((i, r["b"]), {}).setdefault(rank, []).append(share)
+    if wanted:
+        values |= _ranked_values(cells, wanted)
+    return {c: [values[i, s] for s in shares] if i in per_bucket else [] for i, c in enumerate(columns)}
+
+
+def _ranked_values(
+    cells: DataFrame, wanted: Mapping[tuple[int, int], Mapping[int, list[float]]]
+) -> dict[tuple[int, float], float]:
+    """The values at the wanted ranks, from counts per value in the buckets that hold them."""
     chosen = reduce(lambda a, b: a | b, [(F.col("i") == i) & (F.col("b") == b) for i, b in wanted])
     inside = Window.partitionBy("i", "b").orderBy("x")
     ranked = cells.filter(chosen).groupBy("i", "b", "x").agg(F.count(F.lit(1)).alias("n"))
@@ -123,19 +178,14 @@ def exact_quantiles(
             for r in ranks
         ],
     )
-    found = [(r["i"], r["b"], r["upto"] - r["n"], r["upto"], r["x"]) for r in ranked.filter(hits).collect()]
-
-    def value(i: int, share: float) -> float:
-        b, rank = spots[i, share]
-        return next(x for fi, fb, lo, hi, x in found if (fi, fb) == (i, b) and lo < rank <= hi)
-
-    return {c: [value(i, s) for s in shares] if i in counts else [] for i, c in enumerate(columns)}
+    values = {}
+    for r in ranked.filter(hits).collect():
+        for rank, shares in wanted[r["i"], r["b"]].items():
+            if r["upto"] - r["n"] < rank <= r["upto"]:
+                values |= {(r["i"], share): r["x"] for share in shares}
+    return values
 
 
-def _with_bucket(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    wide = df.withColumn(_VALUE, F.col(order).cast("double"))
-    bucketizer = Bucketizer(splits=splits, inputCol=_VALUE, outputCol=_BUCKET)
-    return bucketizer.transform(wide).withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_VALUE)
+def _is_number(name: str) -> Column:
+    c = F.col(name)
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
