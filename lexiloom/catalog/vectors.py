@@ -89,6 +89,19 @@ def v5(spark: SparkSession, sf: str) -> DataFrame:
     return long(reduced.select("vec_id", vector_to_array("p").alias("p")), "vec_id", "p", "x")
 
 
+@query(
+    "v5_pca_lengths",
+    f"""WITH {CELLS_SQL}, z AS (SELECT vec_id, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM cells WINDOW w AS (PARTITION BY dim))
+SELECT vec_id, round(sum(z * z), 6) AS length2 FROM z GROUP BY vec_id""",
+)
+def v5_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """All components together only rotate the scaled vectors, so squared lengths stay as they were."""
+    df = embeddings(spark, sf).select("vec_id", array_to_vector("embedding").alias("v"))
+    reduced = PipelineModel(reduction.fit_pca(df, "v", "p", 64)).transform(df)
+    length2 = F.aggregate(vector_to_array("p"), F.lit(0.0), lambda acc, x: acc + x * x)
+    return reduced.select("vec_id", rounded(length2).alias("length2"))
+
+
 @query(
     "v5_covariance",
     f"""WITH {CELLS_SQL}, z AS (SELECT vec_id, dim, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM cells WINDOW w AS (PARTITION BY dim))

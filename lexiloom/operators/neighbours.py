@@ -23,6 +23,7 @@ from lexiloom.operators.splits import split_hash
 from lexiloom.session import materialise
 
 MAX_PIVOTS = 2048
+MAX_PIVOT_BYTES = 64 << 20  # what is broadcast grows with pivots x dimensions, never with the rows
 ROWS_PER_PIVOT = 4000
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
@@ -187,12 +188,12 @@ def _expand(found: DataFrame, copies: Copies, k: int) -> DataFrame:
 def _search(rows: DataFrame, k: int, rows_per_pivot: int, block_rows: int) -> DataFrame:
     """``id, n, d``: candidates that include the k nearest of each row; ``d`` counts STEPS."""
     n = rows.count()
-    pivots = min(MAX_PIVOTS, math.ceil(n / rows_per_pivot))
+    sample = _units([r["v"] for r in rows.limit(1).collect()] or [[0.0]])
+    pivots = min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * sample.shape[1]), math.ceil(n / rows_per_pivot))
     if pivots <= 1:
         blocks = np.array([max(1, math.ceil(n / block_rows))])
         one = np.zeros(1)
-        chosen = _units([r["v"] for r in rows.limit(1).collect()] or [[0.0]])
-        cells = Cells(chosen, one + 2, one, np.full((1, k + 1), np.inf), blocks, blocks)
+        cells = Cells(sample, one + 2, one, np.full((1, k + 1), np.inf), blocks, blocks)
     else:
         cells = _fit_cells(rows, k, pivots, block_rows)
     shared = rows.sparkSession.sparkContext.broadcast(cells)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
 from typing import Any
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.metrics import accuracy
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.splits import SEED, stratified_folds, stratified_holdout
-from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf_by_fold
+from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf_by_fold, term_stages
 from lexiloom.plans import classifiers
 from lexiloom.plans.features import (
     FEATURES,
@@ -61,10 +61,10 @@ class Plan:
         if absent:
             raise ValueError(f"this model needs inputs {absent}")
 
-    def fit(self, train: DataFrame, inputs: Inputs, features: list[Transformer] | None = None) -> PipelineModel:
+    def fit(self, train: DataFrame, inputs: Inputs) -> PipelineModel:
         """Fit on the rows given; ``train`` comes from ``prepare``."""
         self.check(inputs)
-        stages = self.features(train, inputs) if features is None else features
+        stages = self.features(train, inputs)
         return PipelineModel([*stages, *self.classifier(training_table(apply(stages, train), inputs), inputs)])
 
 
@@ -126,23 +126,46 @@ def score_unlabelled(labelled: DataFrame, unlabelled: DataFrame, plan: Plan, inp
 
 
 def cross_validate(df: DataFrame, plan: Plan, inputs: Inputs, folds: int = 5, seed: int = SEED) -> DataFrame:
-    """``fold, accuracy``: every fit, from vocabulary to weights, sees the other folds only.
-
-    Text-only models share one count of all terms; the terms of a fold's own
-    rows are subtracted from it.
-    """
-    split = prepare(stratified_folds(df, inputs.key, inputs.label, folds, seed), inputs)
-    vocabularies = fit_tfidf_by_fold(split, inputs.text, "fold", folds, plan.rules) if plan.rules else None
+    """``fold, accuracy``: every fit, from vocabulary to weights, sees the other folds only."""
+    plan.check(inputs)
+    split = prepare(stratified_folds(df, inputs.key, inputs.label, folds, seed), inputs).filter("fold is not null")
+    per_fold = _text_tables(split, plan, inputs, folds) if plan.rules else _fold_tables(split, plan, inputs, folds)
     scored = []
-    for held_out in range(folds):
-        features = vocabularies[held_out].stages(inputs.text, FEATURES) if vocabularies else None
-        train = split.filter((F.col("fold") != held_out) & F.col("fold").isNotNull())
-        model = plan.fit(train, inputs, features)
-        scored.append(model.transform(split.filter(F.col("fold") == held_out)).select("fold", inputs.label, "prediction"))
+    for held_out, table in enumerate(per_fold):
+        train = table.filter(F.col("fold") != held_out)
+        model = PipelineModel(plan.classifier(packed(train, train.count()), inputs))
+        scored.append(model.transform(table.filter(F.col("fold") == held_out)).select("fold", inputs.label, "prediction"))
     everything = reduce(DataFrame.unionByName, scored)
     return everything.groupBy("fold").agg(accuracy(inputs.label).alias("accuracy"))
 
 
+def _fold_tables(split: DataFrame, plan: Plan, inputs: Inputs, folds: int) -> Iterator[DataFrame]:
+    """Per held-out fold all rows with the features fitted without it."""
+    for held_out in range(folds):
+        stages = plan.features(split.filter(F.col("fold") != held_out), inputs)
+        rows = apply(stages, split)
+        columns = [c for c in (inputs.key, inputs.label, "fold", FEATURES) if c in rows.columns]
+        yield materialise(rows.select(*columns), "fold")
+
+
+def _text_tables(split: DataFrame, plan: Plan, inputs: Inputs, folds: int) -> Iterator[DataFrame]:
+    """The same for texts alone, which are read twice for all folds together.
+
+    One pass counts all terms, and a fold's own counts are subtracted from them;
+    one pass writes the vectors of all vocabularies side by side.
+    """
+    models = fit_tfidf_by_fold(split, inputs.text, "fold", folds, plan.rules)
+    stages = term_stages(inputs.text, "terms", plan.rules)
+    for i, model in enumerate(models):
+        stages += model.weight_stages("terms", f"{FEATURES}_{i}")
+    rows = apply(stages, split)
+    table = materialise(
+        rows.select(inputs.key, inputs.label, "fold", *[f"{FEATURES}_{i}" for i in range(folds)]), "folds"
+    )
+    for i in range(folds):
+        yield table.select(inputs.key, inputs.label, "fold", F.col(f"{FEATURES}_{i}").alias(FEATURES))
+
+
 @dataclass(frozen=True)
 class GridResult:
     """One setting of the grid with all of its parameters, and its hold-out accuracy."""
