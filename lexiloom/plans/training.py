@@ -29,7 +29,7 @@ from lexiloom.plans.features import (
     text_stages,
     vector_metadata_stages,
 )
-from lexiloom.session import materialise
+from lexiloom.session import in_parallel, materialise
 from lexiloom.sources.tables import packed
 
 FeatureFit = Callable[[DataFrame, Inputs], list[Transformer]]
@@ -125,17 +125,21 @@ def score_unlabelled(labelled: DataFrame, unlabelled: DataFrame, plan: Plan, inp
     return plan.fit(prepare(labelled, inputs), inputs).transform(prepare(unlabelled, inputs))
 
 
-def cross_validate(df: DataFrame, plan: Plan, inputs: Inputs, folds: int = 5, seed: int = SEED) -> DataFrame:
+def cross_validate(
+    df: DataFrame, plan: Plan, inputs: Inputs, folds: int = 5, seed: int = SEED, parallelism: int = 5
+) -> DataFrame:
     """``fold, accuracy``: every fit, from vocabulary to weights, sees the other folds only."""
     plan.check(inputs)
     split = prepare(stratified_folds(df, inputs.key, inputs.label, folds, seed), inputs).filter("fold is not null")
     per_fold = _text_tables(split, plan, inputs, folds) if plan.rules else _fold_tables(split, plan, inputs, folds)
-    scored = []
-    for held_out, table in enumerate(per_fold):
+
+    def scored(held_out: int, table: DataFrame) -> DataFrame:
         train = table.filter(F.col("fold") != held_out)
         model = PipelineModel(plan.classifier(packed(train, train.count()), inputs))
-        scored.append(model.transform(table.filter(F.col("fold") == held_out)).select("fold", inputs.label, "prediction"))
-    everything = reduce(DataFrame.unionByName, scored)
+        return model.transform(table.filter(F.col("fold") == held_out)).select("fold", inputs.label, "prediction")
+
+    parts = in_parallel([partial(scored, i, table) for i, table in enumerate(per_fold)], parallelism)
+    everything = reduce(DataFrame.unionByName, parts)
     return everything.groupBy("fold").agg(accuracy(inputs.label).alias("accuracy"))
 
 
@@ -184,6 +188,7 @@ def grid_search(
     components: Sequence[int] = (32, 64, 128),
     share: float = 0.2,
     seed: int = SEED,
+    parallelism: int = 4,
 ) -> list[GridResult]:
     """Boosted trees on principal components over a grid, best setting first.
 
@@ -198,18 +203,20 @@ def grid_search(
     table = materialise(reduced.select(inputs.key, inputs.label, "split", "reduced", *outputs), "grid")
 
     rows = table.count()
-    results = []
-    for k in components:
+
+    def evaluated(k: int, r: int, d: int) -> GridResult:
         stages = [
             first_components("reduced", "leading", k),
             VectorAssembler(inputCols=["leading", *outputs], outputCol=FEATURES),
         ]
         features = apply(stages, table)
         train_rows = packed(features.filter("split = 'train'"), rows)
-        for r, d in itertools.product(rounds, depths):
-            model = PipelineModel(classifiers.boosted_trees(train_rows, inputs, r, d))
-            score = model.transform(features.filter("split = 'val'")).agg(accuracy(inputs.label)).first()[0]
-            results.append(GridResult(r, d, k, score))
+        model = PipelineModel(classifiers.boosted_trees(train_rows, inputs, r, d))
+        score = model.transform(features.filter("split = 'val'")).agg(accuracy(inputs.label)).first()[0]
+        return GridResult(r, d, k, score)
+
+    settings = itertools.product(components, rounds, depths)
+    results = in_parallel([partial(evaluated, *s) for s in settings], parallelism)
     return sorted(results, key=lambda x: -x.accuracy)
 
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cpus: int | str = 8, app_name: str = "lexiloom") -> SparkSession:
     """Session for tests and single-node runs; a cluster brings its own."""
@@ -56,3 +62,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+    """Run independent fits at the same time; their jobs share the executors."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [task() for task in tasks]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
