@@ -119,6 +119,17 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
     return _long(tfidf.fit_tfidf(df, "text"), df)
 
 
+@query(
+    "t6_tfidf_long_pruned",
+    f"""WITH {grams_sql('documents', 'doc_id', tfidf.LARGE)}, {vocabulary_sql('doc_id', tfidf.LARGE)}
+{weights_sql('doc_id')}""",
+)
+def t6_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The large rules, counted the way a large table is: n-grams of frequent words only."""
+    df = spread_documents(spark, sf, "doc_id", "text")
+    return _long(tfidf.fit_tfidf(df, "text", tfidf.LARGE, prune=True), df)
+
+
 @query(
     "t6_tfidf_unigrams",
     f"""WITH {grams_sql('documents', 'doc_id', replace(tfidf.SMALL, high=1))},

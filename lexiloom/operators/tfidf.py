@@ -7,21 +7,20 @@ by ``max_features``; with it every text becomes a vector inside its own row.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    NGram,
     Normalizer,
     SQLTransformer,
-    StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.stopwords import FRENCH
@@ -29,6 +28,8 @@ from lexiloom.functions.tokens import TOKEN
 from lexiloom.session import materialise
 
 MAX_VOCABULARY = 1 << 18
+MAX_WORDS = 20_000
+MANY_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -54,31 +55,37 @@ SMALL = TermRules(low=1, high=2, min_df=3, max_df=0.7, max_features=1000)
 LARGE = TermRules(low=1, high=3, min_df=2, max_df=0.85, max_features=5000)
 
 
-def term_stages(text: str, output: str, rules: TermRules) -> list[Transformer]:
-    """Text to the array of its n-grams, shortest first; repeated terms stay."""
+def term_stages(text: str, output: str, rules: TermRules, only: Iterable[str] | None = None) -> list[Transformer]:
+    """Text to the array of its n-grams, shortest first; repeated terms stay.
+
+    With ``only``, n-grams that hold any other word are left out.
+    """
     words, kept = f"{output}_words", f"{output}_kept"
     pattern = TOKEN.replace("\\", "\\\\")
-    grams = [f"{output}_{n}" for n in range(rules.low, rules.high + 1)]
-    stages: list[Transformer] = [
-        SQLTransformer(
-            statement=f"SELECT *, regexp_extract_all(lower(coalesce(`{text}`, '')), '{pattern}', 0) AS `{words}` FROM __THIS__"
-        ),
-        StopWordsRemover(inputCol=words, outputCol=kept, stopWords=list(rules.stop_words), caseSensitive=True),
-    ]
-    for n, name in zip(range(rules.low, rules.high + 1), grams, strict=True):
-        stages.append(NGram(n=n, inputCol=kept, outputCol=name))
-    joined = ", ".join(f"`{g}`" for g in grams)
+    tokens = f"regexp_extract_all(lower(coalesce(`{text}`, '')), '{pattern}', 0)"
+    stops = f"filter(`{words}`, t -> t NOT IN ({_listed(rules.stop_words)}))" if rules.stop_words else f"`{words}`"
+    steps = [(words, tokens), (kept, stops if only is None else f"transform({stops}, t -> CASE WHEN t IN ({_listed(only)}) THEN t END)")]
+    grams = [f"{output}_{n}" for n in range(1, rules.high + 1)]
+    for n, name in enumerate(grams, start=1):
+        if n == 1:
+            steps.append((name, f"`{kept}`"))
+            continue
+        pairs = f"zip_with(`{grams[n - 2]}`, slice(`{kept}`, {n}, size(`{kept}`)), (a, b) -> concat(a, ' ', b))"
+        steps.append((name, f"slice({pairs}, 1, greatest(size(`{kept}`) - {n - 1}, 0))"))
+    joined = "concat({})".format(", ".join(f"`{g}`" for g in grams[rules.low - 1 :]))
+    steps.append((output, joined if only is None else f"filter({joined}, t -> t IS NOT NULL)"))
+
+    statement = "__THIS__"
+    for name, expression in steps:
+        statement = f"(SELECT *, {expression} AS `{name}` FROM {statement})"
     gone = ", ".join(f"`{c}`" for c in [words, kept, *grams])
-    stages.append(
-        SQLTransformer(
-            statement=f"SELECT * EXCEPT ({gone}) FROM (SELECT *, concat({joined}) AS `{output}` FROM __THIS__)"
-        )
-    )
-    return stages
+    return [SQLTransformer(statement=f"SELECT * EXCEPT ({gone}) FROM {statement}")]
 
 
-def with_terms(df: DataFrame, text: str, rules: TermRules, output: str = "terms") -> DataFrame:
-    return PipelineModel(term_stages(text, output, rules)).transform(df)
+def with_terms(
+    df: DataFrame, text: str, rules: TermRules, output: str = "terms", only: Iterable[str] | None = None
+) -> DataFrame:
+    return PipelineModel(term_stages(text, output, rules, only)).transform(df)
 
 
 def term_counts(df: DataFrame, terms: str = "terms") -> DataFrame:
@@ -129,10 +136,15 @@ class TfidfModel:
             SQLTransformer(statement=f"SELECT * EXCEPT (`{counts}`, `{weighted}`) FROM __THIS__"),
         ]
 
+    def words(self) -> set[str]:
+        """The words the vocabulary is made of; no other word can matter."""
+        return {word for term in self.terms for word in term.split(" ")}
+
     def stages(self, text: str, output: str) -> list[Transformer]:
         terms = f"{output}_terms"
         drop = SQLTransformer(statement=f"SELECT * EXCEPT (`{terms}`) FROM __THIS__")
-        return [*term_stages(text, terms, self.rules), *self.weight_stages(terms, output), drop]
+        only = few(self.words())
+        return [*term_stages(text, terms, self.rules, only), *self.weight_stages(terms, output), drop]
 
     def transform(self, df: DataFrame, text: str, output: str = "tfidf") -> DataFrame:
         return PipelineModel(self.stages(text, output)).transform(df)
@@ -148,28 +160,99 @@ class TfidfModel:
         return cells.filter("weight > 0").join(F.broadcast(names), "position").select(key, "term", "weight")
 
 
-def fit_tfidf(df: DataFrame, text: str, rules: TermRules = SMALL) -> TfidfModel:
-    """Learn vocabulary and weights from the rows given, and from no others."""
-    counts = term_counts(with_terms(df.select(text), text, rules))
-    return _model(counts, df.count(), rules)
+def fit_tfidf(df: DataFrame, text: str, rules: TermRules = SMALL, prune: bool | None = None) -> TfidfModel:
+    """Learn vocabulary and weights from the rows given, and from no others.
+
+    ``prune`` counts n-grams of frequent words only, which gives the same
+    vocabulary (see ``_counts``); by default where there are many rows.
+    """
+    rows = df.count()
+    view = View(F.col("tf"), F.col("df"), rows)
+    counts = _counts(df.select(text), text, rules, term_counts, [view], _worth(rows, rules, prune))
+    return _model(counts, rows, rules)
 
 
-def fit_tfidf_by_fold(df: DataFrame, text: str, fold: str, folds: int, rules: TermRules = SMALL) -> list[TfidfModel]:
+def fit_tfidf_by_fold(
+    df: DataFrame, text: str, fold: str, folds: int, rules: TermRules = SMALL, prune: bool | None = None
+) -> list[TfidfModel]:
     """One model per fold, learnt from the other folds; the texts are read once for all."""
-    counts = term_counts_by_fold(with_terms(df.select(text, fold), text, rules), fold, folds)
-    everywhere = sum(F.col(f"df_{i}") for i in range(folds))
-    counts = materialise(counts.filter(everywhere >= rules.min_df), "term-counts")
     rows = {r[fold]: r["count"] for r in df.groupBy(fold).count().filter(F.col(fold).isNotNull()).collect()}
-    models = []
+    views = []
     for held_out in range(folds):
         others = [i for i in range(folds) if i != held_out]
-        train = counts.select(
-            "term",
-            sum(F.col(f"tf_{i}") for i in others).alias("tf"),
-            sum(F.col(f"df_{i}") for i in others).alias("df"),
-        )
-        models.append(_model(train, sum(rows.get(i, 0) for i in others), rules))
-    return models
+        tf, n = (sum(F.col(f"{c}_{i}") for i in others) for c in ("tf", "df"))
+        views.append(View(tf, n, sum(rows.get(i, 0) for i in others)))
+
+    def count(terms: DataFrame) -> DataFrame:
+        return term_counts_by_fold(terms, fold, folds)
+
+    total = sum(rows.values())
+    counts = _counts(df.select(text, fold), text, rules, count, views, _worth(total, rules, prune))
+    counts = materialise(counts.filter(_any(v.df >= rules.min_df for v in views)), "term-counts")
+    return [_model(counts.select("term", v.tf.alias("tf"), v.df.alias("df")), v.rows, rules) for v in views]
+
+
+@dataclass(frozen=True)
+class View:
+    """Counts of a term as one of several fits sees them, and its number of rows."""
+
+    tf: Column
+    df: Column
+    rows: int
+
+
+def few(words: Iterable[str]) -> set[str] | None:
+    """A set small enough to stand in an expression, or None."""
+    words = set(words)
+    return words if 0 < len(words) <= MAX_WORDS else None
+
+
+def _worth(rows: int, rules: TermRules, prune: bool | None) -> bool:
+    return rules.low == 1 and rules.high > 1 and (rows >= MANY_ROWS if prune is None else prune)
+
+
+def _counts(
+    df: DataFrame,
+    text: str,
+    rules: TermRules,
+    count: Callable[[DataFrame], DataFrame],
+    views: Sequence[View],
+    prune: bool,
+) -> DataFrame:
+    """Counts of all terms that can enter a vocabulary.
+
+    An n-gram occurs at most as often, and in at most as many rows, as each of
+    its words. So once single words are counted, an n-gram with a word rarer
+    than the last single word that would be kept cannot be kept itself. Leaving
+    it out costs a second reading of the texts and saves the shuffle of nearly
+    all distinct n-grams.
+    """
+    if not prune:
+        return count(with_terms(df, text, rules))
+    common = _any(v.df >= rules.min_df for v in views)
+    words = materialise(count(with_terms(df, text, replace(rules, high=1))).filter(common), "words")
+    frequent = []
+    for v in views:
+        kept = words.filter((v.df >= rules.min_df) & (v.df <= rules.max_df * v.rows)).select(v.tf.alias("tf"))
+        last = kept.orderBy(F.desc("tf")).limit(rules.max_features).agg(F.count("tf").alias("n"), F.min("tf").alias("tf")).first()
+        least = last["tf"] if last["n"] == rules.max_features else 1
+        frequent.append((v.tf >= least) & (v.df >= rules.min_df))
+    chosen = [r["term"] for r in words.filter(_any(frequent)).select("term").limit(MAX_WORDS + 1).collect()]
+    if not chosen:
+        return words
+    only = few(chosen)
+    if only is None:
+        return count(with_terms(df, text, rules))
+    return words.unionByName(count(with_terms(df, text, replace(rules, low=2), only=only)))
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _listed(words: Iterable[str]) -> str:
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in sorted(words))
+    return ", ".join(f"'{w}'" for w in quoted)
 
 
 def _model(counts: DataFrame, rows: int, rules: TermRules) -> TfidfModel:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.metrics import accuracy
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.splits import SEED, stratified_folds, stratified_holdout
-from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf_by_fold, term_stages
+from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, few, fit_tfidf_by_fold, term_stages
 from lexiloom.plans import classifiers
 from lexiloom.plans.features import (
     FEATURES,
@@ -159,7 +159,8 @@ def _text_tables(split: DataFrame, plan: Plan, inputs: Inputs, folds: int) -> It
     one pass writes the vectors of all vocabularies side by side.
     """
     models = fit_tfidf_by_fold(split, inputs.text, "fold", folds, plan.rules)
-    stages = term_stages(inputs.text, "terms", plan.rules)
+    only = few(set().union(*[m.words() for m in models]))
+    stages = term_stages(inputs.text, "terms", plan.rules, only)
     for i, model in enumerate(models):
         stages += model.weight_stages("terms", f"{FEATURES}_{i}")
     rows = apply(stages, split)

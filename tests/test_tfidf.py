@@ -77,9 +77,18 @@ def test_rows_to_score_never_change_the_fit(spark):
     np.testing.assert_allclose(matrix(model, frame(spark, other)), want, atol=1e-12)
 
 
-def test_one_count_serves_all_folds(spark):
+@pytest.mark.parametrize("high,features", [(2, 3), (2, 8), (3, 5), (3, 1000)])
+def test_pruned_counts_give_the_same_model(spark, high, features):
+    rules = TermRules(1, high, 1, 0.8, features)
+    df = frame(spark, [*TEXTS, "noir noir noir chat", "aa aa aa aa", "chat noir " * 9])
+    plain, pruned = (tfidf.fit_tfidf(df, "text", rules, prune) for prune in (False, True))
+    assert (plain.terms, plain.idf) == (pruned.terms, pruned.idf)
+
+
+@pytest.mark.parametrize("prune", [False, True])
+def test_one_count_serves_all_folds(spark, prune):
     folds = [0, 1, 2, 0, 1, 2, 0]
-    models = tfidf.fit_tfidf_by_fold(frame(spark, TEXTS, folds), "text", "fold", 3, RULES)
+    models = tfidf.fit_tfidf_by_fold(frame(spark, TEXTS, folds), "text", "fold", 3, RULES, prune)
     for f, model in enumerate(models):
         alone = tfidf.fit_tfidf(frame(spark, [t for t, g in zip(TEXTS, folds) if g != f]), "text", RULES)
         assert (model.terms, model.idf) == (alone.terms, alone.idf)
