@@ -235,8 +235,13 @@ def p14(spark: SparkSession, sf: str) -> DataFrame:
     return rows.take_rows(read_table(spark, sf, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey")
 
 
+NON_SPACE_SQL = (
+    r"[^\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f} \x{85}\x{a0}\x{1680}"
+    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+
 SURFACE_SQL = rf"""length(t)::BIGINT AS tweet_length,
-  len(regexp_extract_all(t, '{text.NON_SPACE}'))::BIGINT AS word_count,
+  len(regexp_extract_all(t, '{NON_SPACE_SQL}'))::BIGINT AS word_count,
   (length(t) - length(replace(t, '#', '')))::BIGINT AS hashtags_count,
   (length(t) - length(replace(t, '@', '')))::BIGINT AS mentions_count,
   ((length(t) - length(replace(t, 'http', ''))) // 4)::BIGINT AS urls_count"""

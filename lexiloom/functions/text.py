@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a whitespace split of a Unicode string treats as a gap.
-NON_SPACE = (
-    r"[^\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f} \x{85}\x{a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# The characters at which a whitespace split of a Unicode string cuts.
+WHITESPACE = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The prompt layout and the text of a missing value.
@@ -48,12 +49,18 @@ def occurrences(text: Column, needle: str) -> Column:
     return (removed / F.lit(len(needle))).cast("int")
 
 
+def word_count(text: Column) -> Column:
+    """Pieces between whitespace. A regex over all these characters is far slower."""
+    spaced = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.size(F.array_remove(F.split(spaced, " "), ""))
+
+
 def surface_features(text: str | Column, null_text: str = NULL_TEXT) -> dict[str, Column]:
     """Length, words, hashtags, mentions and links of one text column."""
     t = safe_text(text, null_text)
     return {
         "tweet_length": F.length(t),
-        "word_count": F.regexp_count(t, F.lit(NON_SPACE)),
+        "word_count": word_count(t),
         "hashtags_count": occurrences(t, "#"),
         "mentions_count": occurrences(t, "@"),
         "urls_count": occurrences(t, "http"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.groups import top_k
@@ -75,9 +75,12 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
         F.count(F.lit(1)).cast("double").alias("n")
     )
     # features x bins x classes rows are left
-    by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
-    by_cls = cells.groupBy("feature", "cls").agg(F.sum("n").alias("nc"))
-    total = cells.groupBy("feature").agg(F.sum("n").alias("nt"))
-    joined = cells.join(by_bin, ["feature", "bin"]).join(by_cls, ["feature", "cls"]).join(total, "feature")
+
+    def total(*keys: str):
+        return F.sum("n").over(Window.partitionBy("feature", *keys))
+
+    joined = cells.select(
+        "feature", "n", total("bin").alias("nb"), total("cls").alias("nc"), total().alias("nt")
+    )
     term = F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("nb") * F.col("nc")))
     return joined.groupBy("feature").agg(F.sum(term).alias("mi"))
