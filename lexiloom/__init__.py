@@ -5,4 +5,11 @@ whose state is bounded (means, levels, vocabulary, cut points) and whose
 ``transform`` is row-local.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python tasks travel with the task: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

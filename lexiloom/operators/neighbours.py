@@ -196,20 +196,17 @@ def _search(rows: DataFrame, k: int, rows_per_pivot: int, block_rows: int) -> Da
         cells = Cells(sample, one + 2, one, np.full((1, k + 1), np.inf), blocks, blocks)
     else:
         cells = _fit_cells(rows, k, pivots, block_rows)
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
     schema = "cell int, mb int, qb int, id long, v binary"
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
         for batch in _chunks(batches):
-            own = c.distances(_units(batch["v"])).argmin(axis=1)
-            yield _placed(batch, np.arange(len(batch)), own, c.members_blocks, c.query_blocks, "mb", "qb")
+            own = cells.distances(_units(batch["v"])).argmin(axis=1)
+            yield _placed(batch, np.arange(len(batch)), own, cells.members_blocks, cells.query_blocks, "mb", "qb")
 
     def queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
         for batch in _chunks(batches):
-            at, cell = np.nonzero(c.visits(_units(batch["v"]), k))
-            yield _placed(batch, at, cell, c.query_blocks, c.members_blocks, "qb", "mb")
+            at, cell = np.nonzero(cells.visits(_units(batch["v"]), k))
+            yield _placed(batch, at, cell, cells.query_blocks, cells.members_blocks, "qb", "mb")
 
     def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         return _nearest(q, m, k)
@@ -230,13 +227,11 @@ def _fit_cells(rows: DataFrame, k: int, count: int, block_rows: int) -> Cells:
     size = len(pivots)
     none = np.zeros(size)
     bare = Cells(pivots, none, none, np.full((size, k + 1), np.inf), none, none)
-    sc = rows.sparkSession.sparkContext
-    first = sc.broadcast(bare)
 
     def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for batch in _chunks(batches):
-            d = first.value.distances(_units(batch["v"]))
+            d = bare.distances(_units(batch["v"]))
             own = d.argmin(axis=1)
             parts.append(pd.DataFrame({"cell": own, "d": d[np.arange(len(d)), own], "n": 1}))
             if len(parts) > 64:
@@ -257,12 +252,11 @@ def _fit_cells(rows: DataFrame, k: int, count: int, block_rows: int) -> Cells:
     closest = np.where(members > 0, nearest[:, 0], 0)
     member_blocks = -(-members // block_rows)
     known = Cells(pivots, farthest, closest, nearest, member_blocks, none)
-    second = sc.broadcast(known)
 
     def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, dtype=np.int64)
         for batch in _chunks(batches):
-            total += second.value.visits(_units(batch["v"]), k).sum(axis=0)
+            total += known.visits(_units(batch["v"]), k).sum(axis=0)
         yield pd.DataFrame({"cell": np.arange(size), "n": total})
 
     visits = np.zeros(size, dtype=np.int64)

@@ -21,6 +21,8 @@ SEED = 42
 PREFIX = 3  # hex digits: 4,096 ranges per class
 MAX_CLASSES = 256
 
+_HASH = "_split_hash"
+
 
 def split_hash(key: str | Column, seed: int = SEED) -> Column:
     c = F.col(key) if isinstance(key, str) else key
@@ -36,15 +38,20 @@ class HashCuts:
     seed: int
     cuts: dict[Any, list[str]]
 
-    def side(self) -> Column:
-        """0 below the first cut, 1 from it on, and so forth; null for a row without class or key."""
-        h = split_hash(self.key, self.seed)
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the side: 0 below the first cut, 1 from it on, and so forth; null without class or key.
+
+        The hash is a column of its own first, so it is computed once per row.
+        """
+        hashed = df.withColumn(_HASH, split_hash(self.key, self.seed))
+        h = F.col(_HASH)
         if self.label is None:
-            return _cuts_below(h, self.cuts.get(None, []))
-        chosen = F.lit(None).cast("int")
-        for value, cuts in sorted(self.cuts.items(), reverse=True):
-            chosen = F.when(F.col(self.label) == value, _cuts_below(h, cuts)).otherwise(chosen)
-        return F.when(h.isNotNull(), chosen)
+            side = _cuts_below(h, self.cuts.get(None, []))
+        else:
+            side = F.lit(None).cast("int")
+            for value, cuts in sorted(self.cuts.items(), reverse=True):
+                side = F.when(F.col(self.label) == value, _cuts_below(h, cuts)).otherwise(side)
+        return hashed.withColumn(name, side).drop(_HASH)
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -62,20 +69,20 @@ def fit_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED)
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED) -> DataFrame:
     """Add ``fold``: per class, fold sizes differ by one at most. Rows without a label have none."""
-    return df.withColumn("fold", fit_folds(df, key, label, k, seed).side())
+    return fit_folds(df, key, label, k, seed).add(df, "fold")
 
 
 def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = SEED) -> DataFrame:
     """Add ``split``: ``ceil(share * n)`` rows of each class are ``val``, the others ``train``."""
     fitted = _fit(df, key, label, seed, lambda n: [_held_out(n, share)])
-    return df.withColumn("split", _name(fitted.side()))
+    return _named(fitted.add(df, "split"))
 
 
 def random_holdout(df: DataFrame, key: str, share: float = 0.1, seed: int = SEED, exact: bool = False) -> DataFrame:
     """Add ``split`` without looking at other rows; ``exact`` holds out ``ceil(share * n)`` rows."""
     if exact:
         fitted = _fit(df, key, None, seed, lambda n: [_held_out(n, share)])
-        return df.withColumn("split", _name(fitted.side()))
+        return _named(fitted.add(df, "split"))
     limit = min(round(share * 16**8), 16**8)
     below = F.conv(F.substring(split_hash(key, seed), 1, 8), 16, 10).cast("long") < limit
     return df.withColumn("split", F.when(below, "val").when(F.col(key).isNotNull(), "train"))
@@ -89,7 +96,7 @@ def group_holdout(df: DataFrame, group: str, share: float = 0.1, seed: int = SEE
     rows = df.filter(F.col(group).isNotNull())
     groups = rows.select(group).distinct()
     fitted = _fit(groups, group, None, seed, lambda n: [_held_out(n, share)])
-    return rows.withColumn("split", _name(fitted.side()))
+    return _named(fitted.add(rows, "split"))
 
 
 def first_per_train_group(df: DataFrame, group: str, key: str, share: float = 0.1, seed: int = SEED) -> DataFrame:
@@ -104,8 +111,8 @@ def _held_out(n: int, share: float) -> int:
     return math.ceil(round(share * n, 9))
 
 
-def _name(side: Column) -> Column:
-    return F.when(side == 0, "val").when(side == 1, "train")
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("split", F.when(F.col("split") == 0, "val").when(F.col("split") == 1, "train"))
 
 
 def _cuts_below(h: Column, cuts: list[str]) -> Column:

@@ -144,3 +144,16 @@ def test_token_table_pooling(spark):
     df = spark.createDataFrame(rows, "id long, pos int, mask int, vec array<double>")
     assert dict(encode.pool_token_table(df, "id", "vec", "mask", 2).collect()) == {1: [2.0, 3.0], 2: [0.0, 0.0]}
     assert dict(encode.first_token_table(df, "id", "vec", "pos").collect()) == {1: [1.0, 2.0], 2: [5.0, 5.0]}
+
+
+def test_python_tasks_do_not_need_the_package():
+    """What a task gets carries its own code."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(encode.HashEncoder)
+    code = "import sys, pickle; e = pickle.load(sys.stdin.buffer)(4); print(e.encode([['a', 'b'], []]).tolist())"
+    done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd="/", check=True)
+    assert done.stdout.decode().strip() == str(encode.HashEncoder(4).encode([["a", "b"], []]).tolist())
