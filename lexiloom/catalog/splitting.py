@@ -81,7 +81,7 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k4_leak_check",
-    f"""{GROUP_SQL} SELECT count(*) AS users, count_if(sides > 1) AS leaking
+    f"""{GROUP_SQL} SELECT count(*) AS users, count_if(sides > 1)::BIGINT AS leaking
 FROM (SELECT "user", count(DISTINCT split) AS sides FROM split GROUP BY "user")""",
 )
 def k4_leak(spark: SparkSession, sf: str) -> DataFrame:

@@ -233,7 +233,7 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
     "m6_softmax_argmax",
     """WITH t AS (SELECT vec_id, embedding[1:10]::DOUBLE[] AS s FROM embeddings),
 e AS (SELECT vec_id, s, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM t)
-SELECT vec_id, list_position(s, list_max(s)) - 1 AS prediction, generate_subscripts(e, 1) - 1 AS dim,
+SELECT vec_id, (list_position(s, list_max(s)) - 1)::BIGINT AS prediction, generate_subscripts(e, 1) - 1 AS dim,
   round(unnest(e) / list_sum(e), 6) AS p FROM e""",
 )
 def m6(spark: SparkSession, sf: str) -> DataFrame:
