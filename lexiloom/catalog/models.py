@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.catalog.registry import big, query, rounded
-from lexiloom.catalog.tables import documents
+from lexiloom.catalog.tables import documents, spread_documents
 from lexiloom.catalog.text import grams_sql, vocabulary_sql
 from lexiloom.functions.text import surface_features
 from lexiloom.operators.rows import except_rows
 from lexiloom.operators.tfidf import LARGE
 from lexiloom.plans import training
 from lexiloom.plans.features import Inputs, apply, prepare, text_metadata_stages
-from lexiloom.sources.tables import read_table, spread
+from lexiloom.sources.tables import read_table
 
 NUMBERS = ("tweet_length", "word_count", "hashtags_count", "mentions_count", "urls_count")
 TEXT = Inputs("doc_id", text="text")
@@ -26,9 +26,8 @@ VECTOR_CLASS = Inputs("vec_id", vector="embedding")
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with metadata; ``label`` is null where there is none."""
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = documents(spark, sf).select("doc_id", "text", "source")
-    both = spread(docs.join(labels, "doc_id", "left"), "doc_id")
-    return both.withColumns(surface_features("text"))
+    docs = spread_documents(spark, sf, "doc_id", "text", "source")
+    return docs.join(labels, "doc_id", "left").withColumns(surface_features("text"))
 
 
 def labelled(df: DataFrame) -> DataFrame:

@@ -265,6 +265,24 @@ def f_urls(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("page_id", *surface("t"))
 
 
+@query(
+    "f6_metadata_features",
+    f"""SELECT doc_id, {SURFACE_SQL}, n_chars AS total_tweets,
+  CASE WHEN lang IN ('fr', 'de') THEN 0 ELSE 1 END AS is_location_available
+FROM (SELECT *, CASE WHEN source = 'src1' THEN 'nan' ELSE text END AS t FROM documents)""",
+)
+def f6(spark: SparkSession, sf: str) -> DataFrame:
+    df = spread_documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars").select(
+        "doc_id",
+        F.when(F.col("source") != "src1", F.col("text")).alias("full_text"),
+        F.col("n_chars").alias("user_statuses_count"),
+        F.when(F.col("lang") == "fr", "").when(F.col("lang") != "de", F.col("lang")).alias("user_location"),
+    )
+    surface_names = text.surface_features("full_text")
+    features = text.metadata_features()
+    return df.select("doc_id", *[(big(c) if n in surface_names else c).alias(n) for n, c in features.items()])
+
+
 @query(
     "f_class_surface",
     f"""SELECT source, label, count(*) AS n,

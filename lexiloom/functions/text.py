@@ -67,6 +67,19 @@ def surface_features(text: str | Column, null_text: str = NULL_TEXT) -> dict[str
     }
 
 
+def metadata_features(
+    text: str | Column = "full_text",
+    statuses: str | Column = "user_statuses_count",
+    location: str | Column = "user_location",
+) -> dict[str, Column]:
+    """Surface features, the user's number of texts, and whether the user gives a location."""
+    return {
+        **surface_features(text),
+        "total_tweets": _col(statuses),
+        "is_location_available": is_available(location),
+    }
+
+
 def is_available(value: str | Column) -> Column:
     """0 for a missing or empty string, else 1."""
     c = _col(value)

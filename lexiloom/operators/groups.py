@@ -14,8 +14,9 @@ from lexiloom.functions.text import safe_text
 from lexiloom.operators.ordering import order_cuts, running_totals
 from lexiloom.session import materialise
 
-PART_ROWS = 1_000_000
-PART_CHARS = 64_000_000
+# an aggregation task may hold some hundred unfinished groups at once
+PART_ROWS = 250_000
+PART_CHARS = 8_000_000
 
 
 def group_ids(df: DataFrame, group: str, key: str, part_rows: int = PART_ROWS) -> DataFrame:

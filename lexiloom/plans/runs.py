@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,20 +78,19 @@ def train_metadata(
     """
     known = with_key(load_labelled(spark, labelled, schema))
     others = load_scoring(spark, scoring, scoring_schema, KEY)
-    label = known.select(KEY, "label")
     features = drop_all_null(align(known, others))
     kinds = column_kinds(features, (*excluded, KEY, "label"))
-    inputs = Inputs(KEY, numbers=tuple(kinds.all), category=category if category in features.columns else None)
+    has_category = category in features.columns
+    inputs = Inputs(KEY, numbers=tuple(kinds.all), category=category if has_category else None, vector="vector")
 
     def encode(df: DataFrame) -> DataFrame:
         return encode_texts(df, KEY, "full_text", encoder, max_length)
 
-    def with_vectors(df: DataFrame) -> DataFrame:
-        vectors = cached_vectors(spark, df.select(KEY, "full_text"), store, KEY, encoder_id, encode)
-        return df.join(vectors, KEY)
+    def with_vectors(df: DataFrame, *more: str) -> DataFrame:
+        used = [KEY, *kinds.all, *([category] if has_category else []), *more, "full_text"]
+        return cached_vectors(spark, df.select(*used), store, KEY, encoder_id, encode)
 
-    known = with_vectors(features.join(label, KEY))
-    return _run(known, with_vectors(others), model, replace(inputs, vector="vector"), folder, folds, parameters)
+    return _run(with_vectors(known, "label"), with_vectors(others), model, inputs, folder, folds, parameters)
 
 
 def user_table(df: DataFrame, group: str = "user_description", key: str = KEY, share: float = 0.1, seed: int = SEED) -> DataFrame:

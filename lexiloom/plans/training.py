@@ -138,7 +138,7 @@ def cross_validate(
         model = PipelineModel(plan.classifier(packed(train, train.count()), inputs))
         return model.transform(table.filter(F.col("fold") == held_out)).select("fold", inputs.label, "prediction")
 
-    parts = in_parallel([partial(scored, i, table) for i, table in enumerate(per_fold)], parallelism)
+    parts = in_parallel(df.sparkSession, [partial(scored, i, table) for i, table in enumerate(per_fold)], parallelism)
     everything = reduce(DataFrame.unionByName, parts)
     return everything.groupBy("fold").agg(accuracy(inputs.label).alias("accuracy"))
 
@@ -217,7 +217,7 @@ def grid_search(
         return GridResult(r, d, k, score)
 
     settings = itertools.product(components, rounds, depths)
-    results = in_parallel([partial(evaluated, *s) for s in settings], parallelism)
+    results = in_parallel(df.sparkSession, [partial(evaluated, *s) for s in settings], parallelism)
     return sorted(results, key=lambda x: -x.accuracy)
 
 

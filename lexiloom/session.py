@@ -64,9 +64,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_parallel(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
     """Run independent fits at the same time; their jobs share the executors."""
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda task: inheritable_thread_target(task)(), tasks)
+        return pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks)

@@ -38,7 +38,7 @@ def cached_vectors(
     encoder_id: str,
     encode: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Vectors of ``df`` from a Parquet store; only the missing ones are computed.
+    """``df`` with its ``vector`` from a Parquet store; only missing ones are computed, once per key.
 
     ``encode`` returns ``key`` and ``vector``. The store is split by encoder, so
     two encoders never share a row.
@@ -46,8 +46,8 @@ def cached_vectors(
     own = f"{path}/encoder_id={encoder_id}"
     known = _read_if_written(spark, own)
     missing = df if known is None else df.join(known.select(key), key, "left_anti")
-    encode(missing).select(key, "vector").write.mode("append").parquet(own)
-    return df.select(key).join(spark.read.parquet(own), key, "inner")
+    encode(missing.dropDuplicates([key])).select(key, "vector").write.mode("append").parquet(own)
+    return df.join(spark.read.parquet(own), key, "inner")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

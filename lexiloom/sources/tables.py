@@ -14,9 +14,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores when the scan has fewer splits than cores.
+    """Hash rows over all cores when a scan has fewer splits than cores.
 
-    A large scan already has many splits, so nothing is shuffled there.
+    A large scan already has many splits, so nothing is shuffled there. Only for
+    scans: asking a plan with a shuffle for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -48,6 +48,12 @@ def test_full_text_rules(spark):
     assert tuple(row) == ("a", "", "a", "", "[user description] nan\n\n[tweet content] a")
 
 
+def test_metadata_features(spark):
+    df = spark.sql("SELECT 'a #b' AS full_text, 7L AS user_statuses_count, '' AS user_location")
+    row = df.select(*[c.alias(n) for n, c in text.metadata_features().items()]).first()
+    assert tuple(row) == (4, 2, 1, 0, 0, 7, 0)
+
+
 def test_location(spark):
     values = [F.lit(v).cast("string") for v in (None, "", " ")]
     assert tuple(one(spark, *[text.is_available(v) for v in values])) == (0, 0, 1)

@@ -84,9 +84,10 @@ def test_cached_vectors_only_encode_what_is_missing(spark):
         return df.select("k", F.array(F.col("k").cast("double")).alias("vector"))
 
     path = scratch_path(spark, "store")
-    one = spark.createDataFrame([(1,), (2,)], "k long")
-    two = spark.createDataFrame([(2,), (3,)], "k long")
-    assert results.cached_vectors(spark, one, path, "k", "base", encode).count() == 2
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, t string")
+    two = spark.createDataFrame([(2, "b"), (3, "c")], "k long, t string")
+    got = results.cached_vectors(spark, one, path, "k", "base", encode)
+    assert sorted((r.k, r.t) for r in got.collect()) == [(1, "a"), (2, "b"), (2, "b")]  # copies stay
     both = results.cached_vectors(spark, two, path, "k", "base", encode)
     assert sorted((r.k, r.vector) for r in both.collect()) == [(2, [2.0]), (3, [3.0])]
     results.cached_vectors(spark, two, path, "k", "tuned", encode)
