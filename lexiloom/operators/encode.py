@@ -29,7 +29,6 @@ class HashEncoder:
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
-        self._slots: dict[str, tuple[int, float]] = {}
 
     def encode(self, tokens: list[np.ndarray]) -> np.ndarray:
         lengths = np.array([len(t) for t in tokens])

@@ -83,8 +83,9 @@ def random_holdout(df: DataFrame, key: str, share: float = 0.1, seed: int = SEED
     if exact:
         fitted = _fit(df, key, None, seed, lambda n: [_held_out(n, share)])
         return _named(fitted.add(df, "split"))
-    limit = min(round(share * 16**8), 16**8)
-    below = F.conv(F.substring(split_hash(key, seed), 1, 8), 16, 10).cast("long") < limit
+    # hashes are uniform hex strings of fixed length, so string order is number order
+    limit = f"{round(min(share, 1.0) * 16**8):09x}"
+    below = F.concat(F.lit("0"), F.substring(split_hash(key, seed), 1, 8)) < limit
     return df.withColumn("split", F.when(below, "val").when(F.col(key).isNotNull(), "train"))
 
 
