@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.catalog.registry import big, query, rounded
-from lexiloom.catalog.tables import documents, spread_documents
+from lexiloom.catalog.tables import documents, fold_sql, spread_documents
 from lexiloom.catalog.text import grams_sql, vocabulary_sql
 from lexiloom.functions.text import surface_features
 from lexiloom.operators.rows import except_rows
@@ -126,6 +126,19 @@ def m9(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(big("fold").alias("fold"), rounded("accuracy").alias("accuracy"))
 
 
+@query(
+    "m9_cv_majority",
+    f"""WITH f AS ({fold_sql('(SELECT doc_id, quality FROM labels)', 'doc_id', 'quality')}),
+m AS (SELECT h.fold, f.label AS prediction FROM (SELECT DISTINCT fold FROM f) h JOIN f ON f.fold <> h.fold GROUP BY h.fold, f.label
+      QUALIFY row_number() OVER (PARTITION BY h.fold ORDER BY count(*) DESC, f.label) = 1)
+SELECT fold, round(avg((label = prediction)::INT), 6) AS accuracy FROM f JOIN m USING (fold) GROUP BY fold""",
+)
+def m9_majority(spark: SparkSession, sf: str) -> DataFrame:
+    known = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    df = training.cross_validate(known, training.build("majority"), Inputs("doc_id"))
+    return df.select(big("fold").alias("fold"), rounded("accuracy").alias("accuracy"))
+
+
 @query("m10_score_unlabelled")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
     df = texts(spark, sf)

@@ -12,6 +12,9 @@ from lexiloom.catalog.tables import documents, spread_documents
 from lexiloom.catalog.text import TOKENS_SQL
 from lexiloom.functions import vectors
 from lexiloom.operators import encode, levels, neighbours, reduction, scaling, splits
+from lexiloom.operators.rows import take_rows
+from lexiloom.session import scratch_path
+from lexiloom.sources.results import cached_vectors
 from lexiloom.sources.tables import read_table
 
 CELLS_SQL = """cells AS (
@@ -229,6 +232,19 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
     return long(encode.encode_texts(df, "doc_id", "text"), "doc_id", "vector", "x")
 
 
+@query("s6_cached_vectors", ORACLES["v10_encode"])
+def s6_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The store holds the labelled documents first; then the missing ones are added, and all are read."""
+    df = spread_documents(spark, sf, "doc_id", "text")
+    path = scratch_path(spark, "vectors")
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        return encode.encode_texts(rows, "doc_id", "text")
+
+    cached_vectors(spark, take_rows(df, read_table(spark, sf, "labels"), "doc_id"), path, "doc_id", "hash64", encoded)
+    return long(cached_vectors(spark, df, path, "doc_id", "hash64", encoded), "doc_id", "vector", "x")
+
+
 @query(
     "m6_softmax_argmax",
     """WITH t AS (SELECT vec_id, embedding[1:10]::DOUBLE[] AS s FROM embeddings),
