@@ -139,6 +139,8 @@ def matched(block: Block, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndar
     sa = suffix_array(code, starts, items.depth)
     low, high = search(sa, code, items)
     window = np.flatnonzero(high > low)
+    if not len(window):
+        return none, none, none, none, w
     count = high[window] - low[window]
     place = word_at[sa[ranges(low[window], count)]]
     window = np.repeat(window, count)
