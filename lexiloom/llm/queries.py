@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import decontaminate, simhash, urls
+from lexiloom.llm import bpe, decontaminate, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,18 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query()
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    codec = bpe.Codec(spark, bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
+    docs = table(spark, folder, "documents").select("doc_id", codec.encode("text").alias("ids"))
+    return docs.withColumn("decoded", codec.decode("ids")).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        hex_of_list("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
