@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, line_rules, simhash, toxicity, urls
+from lexiloom.llm import bpe, decontaminate, line_rules, ppm, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,3 +143,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return toxicity.score_texts(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ppm.score_texts(docs).drop("text")
