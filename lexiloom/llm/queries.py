@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, line_rules, ppm, simhash, toxicity, urls
+from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +149,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ppm.score_texts(docs).drop("text")
+
+
+@query()
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages")).drop("html")
