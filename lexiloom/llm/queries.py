@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, toxicity, urls
+from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,13 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(table(spark, folder, "pages")).drop("html")
+
+END_OF_DOCUMENT = 50256
+
+
+@query()
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    codec = bpe.Codec(spark, bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
+    docs = table(spark, folder, "documents").select("doc_id", codec.encode("text").alias("ids"))
+    blocks = token_files.write_blocks(docs, "doc_id", "ids", END_OF_DOCUMENT)
+    return token_files.named_counts(blocks, END_OF_DOCUMENT).select("doc_id", "n_tokens")
