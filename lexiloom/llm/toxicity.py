@@ -124,24 +124,24 @@ def fit(
     l1: float = L1,
     l2: float = L2,
 ) -> Model:
-    spark = docs.sparkSession
     rows = materialise(training_rows(docs, labels, text, doc_id, label, sample), "toxic-training")
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (positive + 0.01) / (total + 1)
     offset = float(np.log(prior / (1 - prior)))
     l1 *= max(1.0, np.sqrt(total * prior * (1 - prior)))  # chance alone moves a common coordinate's z about that far
-    shared = rows.select(F.explode("coordinates").alias("at")).groupBy("at").count().where(F.col("count") >= MIN_TEXTS)
-    at = np.sort(shared.select("at").toPandas()["at"].to_numpy().astype(np.int64))
-    shared_at = spark.sparkContext.broadcast(at.astype(np.int32))
 
     def train(sample: pd.DataFrame) -> pd.DataFrame:
-        known = shared_at.value
         sample = sample.sort_values("order", kind="stable")
         found = [np.asarray(r, np.int32) for r in sample.pop("coordinates")]
-        found = [r[known[np.minimum(np.searchsorted(known, r), len(known) - 1)] == r] if len(known) else r[:0] for r in found]
-        weight = ftrl(found, sample["label"].to_numpy(), known, offset, epochs, alpha, beta, l1, l2)
-        used = np.append(np.flatnonzero(weight[:-1]), len(known))
-        return pd.DataFrame({"at": np.append(known, BIAS)[used], "weight": weight[used]})
+        held = np.zeros(1 << BITS, np.int32)
+        for r in found:
+            held[r] += 1
+        # a coordinate's z moves by less than 1 for each of its examples and epochs: the rest cannot pass the L1 term
+        keep = (held >= MIN_TEXTS) & (held * epochs > l1)
+        at = np.flatnonzero(keep).astype(np.int32)
+        weight = ftrl([r[keep[r]] for r in found], sample["label"].to_numpy(), at, offset, epochs, alpha, beta, l1, l2)
+        used = np.append(np.flatnonzero(weight[:-1]), len(at))
+        return pd.DataFrame({"at": np.append(at, BIAS)[used], "weight": weight[used]})
 
     # an online method has an order of examples: one task reads the bounded sample
     weights = rows.groupBy().applyInPandas(train, "at int, weight double").toPandas().sort_values("at")
