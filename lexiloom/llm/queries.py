@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls
+from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,3 +164,8 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", codec.encode("text").alias("ids"))
     blocks = token_files.write_blocks(docs, "doc_id", "ids", END_OF_DOCUMENT)
     return token_files.named_counts(blocks, END_OF_DOCUMENT).select("doc_id", "n_tokens")
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.score_quality(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
