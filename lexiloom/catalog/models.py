@@ -10,12 +10,14 @@ from lexiloom.catalog.registry import big, query, rounded
 from lexiloom.catalog.tables import documents, fold_sql, spread_documents
 from lexiloom.catalog.text import grams_sql, vocabulary_sql
 from lexiloom.functions.text import surface_features
+from lexiloom.operators.encode import encode_texts
 from lexiloom.operators.rows import except_rows
 from lexiloom.operators.tfidf import LARGE
 from lexiloom.plans import training
 from lexiloom.plans.features import Inputs, apply, prepare, text_metadata_stages
 from lexiloom.sources.tables import read_table
 
+GBT_ROUNDS = 20
 NUMBERS = ("tweet_length", "word_count", "hashtags_count", "mentions_count", "urls_count")
 TEXT = Inputs("doc_id", text="text")
 FULL = Inputs("doc_id", text="text", numbers=NUMBERS, category="source")
@@ -35,8 +37,10 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return labelled(texts(spark, sf)).join(vectors, "doc_id")
+    """Every labelled document with the vector of its text."""
+    rows = labelled(texts(spark, sf))
+    vectors = encode_texts(rows, "doc_id", "text", encoder_id="hash64-128").withColumnRenamed("vector", "embedding")
+    return rows.join(vectors, "doc_id")
 
 
 def vector_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +91,7 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_logreg_metadata_scores")
 def m1_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    plan = training.build("logistic_regression_metadata", tol=1e-4)
+    plan = training.build("logistic_regression_metadata")
     return probabilities(training.holdout_scores(labelled(texts(spark, sf)), plan, FULL), "doc_id")
 
 
@@ -99,7 +103,7 @@ def m2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m3_gbt_scores")
 def m3(spark: SparkSession, sf: str) -> DataFrame:
-    plan = training.build("boosted_trees", rounds=10, depth=5)
+    plan = training.build("boosted_trees", rounds=GBT_ROUNDS, depth=5)
     return probabilities(training.holdout_scores(with_vectors(spark, sf), plan, DENSE), "doc_id")
 
 
@@ -116,7 +120,7 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m5_mlp_scores")
 def m5(spark: SparkSession, sf: str) -> DataFrame:
-    plan = training.build("perceptron", max_iter=30)
+    plan = training.build("perceptron")
     return probabilities(training.holdout_scores(with_vectors(spark, sf), plan, DENSE), "doc_id")
 
 

@@ -14,6 +14,8 @@ from lexiloom.catalog.tables import TWEETS_SQL, documents, labelled, scored, spr
 from lexiloom.functions import clean, text
 from lexiloom.operators import rows, schema
 from lexiloom.operators.scaling import fit_vector_scaler
+from lexiloom.plans import training
+from lexiloom.plans.features import Inputs, prepare
 from lexiloom.session import scratch_path
 from lexiloom.sources import json_lines, results
 from lexiloom.sources.tables import read_table
@@ -136,6 +138,23 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
     return long.select("vec_id", big("dim").alias("dim"), rounded("z").alias("z"))
 
 
+@query("s7_saved_classifier", "SELECT vec_id, TRUE AS same_class, TRUE AS same_probability FROM embeddings")
+def s7_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """A trained classifier, saved and loaded, scores every vector as the one that was not saved."""
+    inputs = Inputs("vec_id", vector="embedding")
+    known = read_table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"))
+    ready = prepare(known, inputs)
+    model = training.build("logistic_regression_vectors").fit(ready, inputs)
+    path = scratch_path(spark, "model")
+    results.save_model(model, path)
+    p = vector_to_array("probability")[1]
+    before = model.transform(ready).select("vec_id", F.col("prediction").alias("c"), p.alias("p"))
+    after = results.load_model(path).transform(ready).select("vec_id", F.col("prediction").alias("d"), p.alias("q"))
+    return before.join(after, "vec_id").select(
+        "vec_id", (F.col("c") == F.col("d")).alias("same_class"), (F.abs(F.col("p") - F.col("q")) < 1e-12).alias("same_probability")
+    )
+
+
 @query("p2_full_text", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def p2(spark: SparkSession, sf: str) -> DataFrame:
     flat = json_lines.flatten(tweets(spark, sf))
@@ -144,14 +163,14 @@ def p2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p2b_full_text_nonempty",
-    """SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN doc_id % 2 = 0 THEN '' ELSE substr(text, 1, 140) END)
+    """SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END)
   ELSE text END) AS text_md5 FROM documents""",
 )
 def p2b(spark: SparkSession, sf: str) -> DataFrame:
     third, even = F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0
     df = documents(spark, sf).select(
         "doc_id",
-        F.when(~(third & even), F.substring("text", 1, 140)).alias("text"),
+        F.when(~(third & even), F.col("text")).alias("text"),
         F.when(third, "").otherwise(F.col("text")).alias("extended"),
     )
     return df.select("doc_id", F.md5(text.full_text_nonempty("text", "extended")).alias("text_md5"))
@@ -208,14 +227,18 @@ def p10(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "p11_profile",
     """SELECT 0 AS "position", 'doc_id' AS name, 'bigint' AS "type", count(doc_id) AS non_null, count(*) AS "rows" FROM documents
-UNION ALL SELECT 1, 'lang', 'string', count(CASE WHEN lang <> 'fr' THEN lang END), count(*) FROM documents
-UNION ALL SELECT 2, 'mean_chars', 'double', count(CASE WHEN n_chars > 500 THEN n_chars END), count(*) FROM documents""",
+UNION ALL SELECT 1, 'text', 'string', count(text), count(*) FROM documents
+UNION ALL SELECT 2, 'lang', 'string', count(CASE WHEN lang <> 'fr' THEN lang END), count(*) FROM documents
+UNION ALL SELECT 3, 'source', 'string', count(source), count(*) FROM documents
+UNION ALL SELECT 4, 'n_chars', 'bigint', count(n_chars), count(*) FROM documents
+UNION ALL SELECT 5, 'mean_chars', 'double', count(CASE WHEN n_chars > 500 THEN n_chars END), count(*) FROM documents""",
 )
 def p11(spark: SparkSession, sf: str) -> DataFrame:
-    df = documents(spark, sf).select(
-        "doc_id",
-        F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"),
-        F.when(F.col("n_chars") > 500, F.col("n_chars").cast("double")).otherwise(F.lit(float("nan"))).alias("mean_chars"),
+    df = documents(spark, sf).withColumns(
+        {
+            "lang": F.when(F.col("lang") != "fr", F.col("lang")),
+            "mean_chars": F.when(F.col("n_chars") > 500, F.col("n_chars").cast("double")).otherwise(F.lit(float("nan"))),
+        }
     )
     return schema.profile(df)
 

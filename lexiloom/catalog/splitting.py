@@ -206,7 +206,7 @@ FROM lineitem GROUP BY l_returnflag""",
 )
 def g7(spark: SparkSession, sf: str) -> DataFrame:
     items = read_table(spark, sf, "lineitem")
-    weights = groups.class_weights(items, "l_returnflag")
+    weights = groups.class_weight_table(items, "l_returnflag")
     weighted = groups.with_class_weight(groups.class_counts(items, "l_returnflag"), "l_returnflag", weights)
     return weighted.withColumn("weight", rounded("weight"))
 

@@ -72,15 +72,17 @@ def v2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "v4_concat",
-    """WITH t AS (SELECT doc_id, list_concat(embedding::DOUBLE[], [n_chars::DOUBLE, length(lang)::DOUBLE]) AS v
-           FROM documents JOIN embeddings ON doc_id = vec_id)
+    """WITH t AS (SELECT doc_id, list_concat(coalesce(embedding::DOUBLE[], list_transform(range(64), lambda i: 0.0::DOUBLE)),
+                                     [n_chars::DOUBLE, length(lang)::DOUBLE]) AS v
+           FROM documents LEFT JOIN embeddings ON doc_id = vec_id)
 SELECT doc_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v)::FLOAT::DOUBLE, 6) + 0.0::DOUBLE AS x FROM t""",
 )
 def v4(spark: SparkSession, sf: str) -> DataFrame:
     meta = F.array(F.col("n_chars").cast("double"), F.length("lang").cast("double"))
     df = documents(spark, sf).select("doc_id", meta.alias("meta")).join(
-        embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id"
+        embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left"
     )
+    df = df.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64)))
     combined = vectors.to_float(vectors.concat_vectors(F.col("embedding"), F.col("meta"))).cast("array<double>")
     return long(df.select("doc_id", combined.alias("v")), "doc_id", "v", "x")
 
@@ -234,26 +236,29 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s6_cached_vectors", ORACLES["v10_encode"])
 def s6_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The store holds the labelled documents first; then the missing ones are added, and all are read."""
+    """The store holds other texts under the ids of the labelled documents, then the right ones; all are read."""
     df = spread_documents(spark, sf, "doc_id", "text")
     path = scratch_path(spark, "vectors")
 
     def encoded(rows: DataFrame) -> DataFrame:
-        return encode.encode_texts(rows, "doc_id", "text")
+        return encode.encode_texts(rows, "digest", "text")
 
-    cached_vectors(spark, take_rows(df, read_table(spark, sf, "labels"), "doc_id"), path, "doc_id", "hash64", encoded)
-    return long(cached_vectors(spark, df, path, "doc_id", "hash64", encoded), "doc_id", "vector", "x")
+    known = take_rows(df, read_table(spark, sf, "labels"), "doc_id")
+    edited = known.withColumn("text", F.concat(F.lit("edited "), "text"))
+    for rows in (edited, known):
+        cached_vectors(spark, rows, path, "text", "hash64-128", encoded)
+    return long(cached_vectors(spark, df, path, "text", "hash64-128", encoded), "doc_id", "vector", "x")
 
 
 @query(
     "m6_softmax_argmax",
-    """WITH t AS (SELECT vec_id, embedding[1:10]::DOUBLE[] AS s FROM embeddings),
+    """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS s FROM embeddings),
 e AS (SELECT vec_id, s, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM t)
 SELECT vec_id, (list_position(s, list_max(s)) - 1)::BIGINT AS prediction, generate_subscripts(e, 1) - 1 AS dim,
   round(unnest(e) / list_sum(e), 6) AS p FROM e""",
 )
 def m6(spark: SparkSession, sf: str) -> DataFrame:
-    df = embeddings(spark, sf).select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("s"))
+    df = embeddings(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
     scored = df.select("vec_id", vectors.argmax(F.col("s")).alias("prediction"), vectors.softmax(F.col("s")).alias("p"))
     cells = scored.select("vec_id", "prediction", F.posexplode("p").alias("dim", "p"))
     return cells.select("vec_id", big("prediction").alias("prediction"), big("dim").alias("dim"), rounded("p").alias("p"))

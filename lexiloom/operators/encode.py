@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -19,7 +21,9 @@ from lexiloom.functions.vectors import MIN_LENGTH
 
 
 class Encoder(Protocol):
-    """Turns lists of tokens into one vector each."""
+    """Turns lists of tokens into one vector each; ``id`` names all that shapes them."""
+
+    id: str
 
     def encode(self, tokens: list[np.ndarray]) -> np.ndarray: ...
 
@@ -29,6 +33,7 @@ class HashEncoder:
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
+        self.id = f"hash{dim}"
 
     def encode(self, tokens: list[np.ndarray]) -> np.ndarray:
         lengths = np.array([len(t) for t in tokens])
@@ -47,14 +52,23 @@ class HashEncoder:
         return int.from_bytes(digest[:4]) % self.dim, 1.0 if digest[4] < 128 else -1.0
 
 
+def worker_encoder(make: Callable[[], Encoder], encoder_id: str) -> Encoder:
+    """One encoder per Python worker process, built by the first task that needs it."""
+    shelf = sys.modules.setdefault("_lexiloom_encoders", types.ModuleType("_lexiloom_encoders")).__dict__
+    if encoder_id not in shelf:
+        shelf[encoder_id] = make()
+    return shelf[encoder_id]
+
+
 def encode_texts(
     df: DataFrame,
     key: str,
     text: str,
     encoder: Callable[[], Encoder] = HashEncoder,
     max_length: int = 128,
+    encoder_id: str | None = None,
 ) -> DataFrame:
-    """``key, vector``: the encoder is built once per task and fed Arrow batches.
+    """``key, vector``: the encoder is fed Arrow batches, and with an ``encoder_id`` built once per worker.
 
     Tokens are cut to ``max_length`` before they cross to Python, as the encoder
     sees no more of them.
@@ -62,7 +76,7 @@ def encode_texts(
     tokens = df.select(key, truncate(word_tokens(safe_text(text)), max_length).alias("tokens"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = encoder()
+        model = worker_encoder(encoder, encoder_id) if encoder_id else encoder()
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "vector": list(model.encode(list(batch["tokens"])))})
 

@@ -7,7 +7,7 @@ Groups below the bound, normally all of them, have the single part 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import safe_text
@@ -92,21 +92,26 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_weights(df: DataFrame, label: str, max_classes: int = 10_000) -> dict[object, float]:
-    """Balanced weight ``n / (k * n_c)`` of each class."""
-    rows = class_counts(df, label).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{label!r} has more than {max_classes} classes")
-    n = sum(r["n"] for r in rows)
-    return {r[label]: n / (len(rows) * r["n"]) for r in rows}
+def class_weight_table(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """One row per class: ``label`` and its balanced weight ``n / (k * n_c)``."""
+    counts = class_counts(df, label)
+    every = Window.partitionBy()  # one row per class is left
+    share = F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))
+    return counts.select(label, share.alias(name))
 
 
-def with_class_weight(df: DataFrame, label: str, weights: dict[object, float], name: str = "weight") -> DataFrame:
-    """Row-local: the weights are literals."""
-    expr = F.lit(None).cast("double")
-    for value, weight in weights.items():
-        expr = F.when(F.col(label) == value, F.lit(weight)).otherwise(expr)
-    return df.withColumn(name, expr)
+def class_weights(df: DataFrame, label: str) -> dict[object, float]:
+    """The same as a dictionary, for callers that know the classes are few."""
+    return {r[0]: r[1] for r in class_weight_table(df, label).collect()}
+
+
+def with_class_weight(df: DataFrame, label: str, weights: DataFrame, name: str = "weight") -> DataFrame:
+    """Add the weight of the row's class, null for an unknown or missing one; ``weights`` is the table above.
+
+    The planner decides the join by the measured number of classes.
+    """
+    found = weights.toDF("_class", name)
+    return df.join(found, F.col(label) == F.col("_class"), "left").drop("_class")
 
 
 def group_ratio(df: DataFrame, group: str) -> DataFrame:

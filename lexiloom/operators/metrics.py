@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.ordering import order_cuts, running_totals
+from lexiloom.session import materialise
 
 # Fixed value: lowest probability the logarithm is taken of.
 MIN_PROBABILITY = 1e-15
@@ -66,7 +67,8 @@ def metric_row(
     """Accuracy, F1, precision, recall and AUC in one row.
 
     The confusion counts ride along with the counts per score, so the rows are
-    shuffled once and already reduced to distinct scores.
+    shuffled once and already reduced to distinct scores. A missing score (null or
+    NaN) only leaves the row out of the AUC, a missing prediction only out of the rest.
     """
     per_score = _by_score(df, label, score, confusion(label, prediction))
     tp, fp, fn, tn = (F.sum(c) for c in ("tp", "fp", "fn", "tn"))
@@ -96,12 +98,18 @@ def fold_report(df: DataFrame, fold: str = "fold", label: str = "label", predict
 
 def _by_score(df: DataFrame, label: str, score: str, extra: dict[str, Column]) -> DataFrame:
     """Per distinct score: positives, negatives, and the negatives with a lower score."""
-    scored = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-    y = F.col(label) == 1
-    per_score = scored.groupBy(score).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), *[c.alias(n) for n, c in extra.items()]
+    s, y = F.col(score), F.col(label) == 1
+    known = F.when(~F.isnan(s.cast("double")), s)
+    per_score = (
+        df.filter(F.col(label).isNotNull())
+        .groupBy(known.alias(score))
+        .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), *[c.alias(n) for n, c in extra.items()])
     )
-    (cuts,) = order_cuts(scored, [score])
+    # written once: the sketch and both sides of the running totals read the reduced table
+    per_score = materialise(per_score, "per-score")
+    found = {n: F.when(F.col(score).isNotNull(), F.col(n)).otherwise(F.lit(0)) for n in ("pos", "neg")}
+    per_score = per_score.withColumns(found)
+    (cuts,) = order_cuts(per_score, [score])
     return running_totals(per_score, [], score, {"neg_below": F.col("neg")}, cuts)
 
 

@@ -9,6 +9,7 @@ cuts lie changes only the balance, never the result.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,35 +20,41 @@ from pyspark.sql import functions as F
 
 QUANTILES = 256
 MAX_FINE = 512
-SMALL_ROWS = 200_000
 BUCKET_ROWS = 2_000_000
 
+NULL_BUCKET, NAN_BUCKET = -1, 1 << 30  # where Spark's own order puts them: nulls first, NaN last
+PREFIX_BYTES = 6  # of a string, as a number that a double holds exactly
+
 _BUCKET = "_bucket"
 
 
 @dataclass(frozen=True)
 class OrderCuts:
-    """Quantile cuts of a numeric column, each range cut again into equal steps.
+    """Quantile cuts of a column, each range cut again into equal steps.
 
     The quantiles follow the data roughly and come from a small sketch; the
-    steps make up to ``QUANTILES * MAX_FINE`` buckets out of them.
+    steps make up to ``QUANTILES * MAX_FINE`` buckets out of them. A string counts
+    as the number of its bytes after the first ``skip``, which all strings share.
     """
 
     cuts: list[float]
     low: float
     high: float
     fine: int
+    skip: int | None = None
 
     def add(self, df: DataFrame, order: str, bucket: str) -> DataFrame:
-        """Add a bucket number that never decreases with ``order``; null for null and NaN."""
+        """Add a bucket number that never decreases with ``order``; nulls and NaN have buckets of their own."""
+        value, coarse = f"{bucket}_x", f"{bucket}_q"
+        wide = df.withColumn(value, _as_number(F.col(f"`{order}`"), self.skip))
+        x = F.col(value)
+        missing = F.when(x.isNull(), F.lit(NULL_BUCKET)).when(F.isnan(x), F.lit(NAN_BUCKET))
         if not self.cuts:
-            return df.withColumn(bucket, F.when(_is_number(order), F.lit(0)))
+            return wide.withColumn(bucket, missing.otherwise(F.lit(0))).drop(value)
         infinity = float("inf")
-        wide, value, coarse = df, f"{bucket}_x", f"{bucket}_q"
-        wide = wide.withColumn(value, F.col(order).cast("double"))
         splits = [-infinity, *self.cuts, infinity]
         wide = Bucketizer(splits=splits, inputCol=value, outputCol=coarse, handleInvalid="keep").transform(wide)
-        q, x = F.col(coarse).cast("int"), F.col(value)
+        q = F.col(coarse).cast("int")
         number = q
         if self.fine > 1:
             starts = [self.low, *self.cuts]
@@ -55,7 +62,25 @@ class OrderCuts:
             share = (x - F.get(F.lit(starts), q)) / F.get(F.lit([w if w > 0 else 1.0 for w in widths]), q)
             step = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * self.fine).cast("int")
             number = q * self.fine + F.least(step, F.lit(self.fine - 1))
-        return wide.withColumn(bucket, F.when(_is_number(value), number)).drop(value, coarse)
+        return wide.withColumn(bucket, missing.otherwise(number)).drop(value, coarse)
+
+
+def _as_number(c: Column, skip: int | None) -> Column:
+    """A double that never decreases with the column."""
+    if skip is None:
+        return c.cast("double")
+    head = F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, PREFIX_BYTES))
+    return F.conv(F.rpad(head, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+
+
+def _shared_bytes(df: DataFrame, orders: Sequence[str]) -> dict[str, int]:
+    """For each string column, the number of first bytes that its least and its greatest value share."""
+    strings = [c for c in orders if dict(df.dtypes)[c] == "string"]
+    if not strings:
+        return {}
+    row = df.agg(*[f(f"`{c}`").alias(f"{n}{i}") for i, c in enumerate(strings) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = {c: [(row[f"{n}{i}"] or "").encode() for n in ("lo", "hi")] for i, c in enumerate(strings)}
+    return {c: len(os.path.commonprefix(pair)) for c, pair in ends.items()}
 
 
 def order_cuts(
@@ -63,18 +88,18 @@ def order_cuts(
     orders: Sequence[str],
     size: Column | None = None,
     bucket_size: int = BUCKET_ROWS,
-    small_rows: int = SMALL_ROWS,
     quantiles: int = QUANTILES,
     max_fine: int = MAX_FINE,
 ) -> list[OrderCuts]:
-    """Cuts for each of the columns from one narrow pass; no cuts where rows are few.
+    """Cuts for each of the columns from narrow passes.
 
     ``size`` is what a bucket is measured in, one per row unless given.
     """
     shares = [i / quantiles for i in range(1, quantiles)]
-    xs = [F.col(f"`{c}`").cast("double") for c in orders]
+    shared = _shared_bytes(df, orders)
+    xs = [_as_number(F.col(f"`{c}`"), shared.get(c)) for c in orders]
+    xs = [F.when(~F.isnan(x), x) for x in xs]
     row = df.agg(
-        F.count(F.lit(1)).alias("n"),
         F.sum(F.lit(1) if size is None else size).alias("size"),
         *[F.percentile_approx(x, shares, 2 * quantiles).alias(f"q{i}") for i, x in enumerate(xs)],
         *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
@@ -83,10 +108,10 @@ def order_cuts(
     fine = min(max_fine, math.ceil((row["size"] or 0) / (quantiles * bucket_size)))
     found = []
     for i in range(len(xs)):
-        cuts = sorted({c for c in row[f"q{i}"] or [] if math.isfinite(c)}) if row["n"] > small_rows else []
+        cuts = sorted({c for c in row[f"q{i}"] or [] if math.isfinite(c)})
         ends = (row[f"lo{i}"], row[f"hi{i}"])
         steps = max(1, fine) if all(e is not None and math.isfinite(e) for e in ends) else 1
-        found.append(OrderCuts(cuts, *ends, steps))
+        found.append(OrderCuts(cuts, *ends, steps, shared.get(orders[i])))
     return found
 
 
@@ -99,29 +124,29 @@ def running_totals(
 ) -> DataFrame:
     """Add one column per entry of ``totals``: its sum over the rows before this one.
 
-    ``order`` is numeric and unique inside a group. Rows stay as they are.
+    ``order`` is a number or a string and unique inside a group; rows come in Spark's
+    own order, so nulls are first and NaN last. Rows stay as they are. Null groups are one group.
     """
     inner = Window.partitionBy(*groups, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     bucketed = cuts.add(df, order, _BUCKET)
     zero = F.lit(0)
     local = bucketed.select("*", *[F.coalesce(F.sum(v).over(inner), zero).alias(name) for name, v in totals.items()])
-    if not cuts.cuts:
-        return local.drop(_BUCKET)
-
     sums = {f"_sum_{name}": v for name, v in totals.items()}
     per_bucket = bucketed.groupBy(*groups, _BUCKET).agg(*[F.sum(v).alias(s) for s, v in sums.items()])
     outer = Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.select(
         *groups, _BUCKET, *[F.coalesce(F.sum(s).over(outer), zero).alias(s) for s in sums]
     )
-    joined = local.join(before, [*groups, _BUCKET], "inner")
+    before = before.withColumnsRenamed({c: f"_of_{c}" for c in (*groups, _BUCKET)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, _BUCKET)])
+    joined = local.join(before, same, "inner")
     return joined.select(
         *df.columns, *[(F.col(name) + F.col(f"_sum_{name}")).alias(name) for name in totals]
     )
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], small_rows: int = SMALL_ROWS
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float]
 ) -> dict[str, list[float]]:
     """For each column the smallest value with at least that share of the rows at or below it.
 
@@ -131,12 +156,12 @@ def exact_quantiles(
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     xs = numbers.columns
     bucketed = numbers
-    for i, cuts in enumerate(order_cuts(numbers, xs, small_rows=small_rows, quantiles=128, max_fine=64)):
+    for i, cuts in enumerate(order_cuts(numbers, xs, quantiles=128, max_fine=64)):
         bucketed = cuts.add(bucketed, xs[i], f"b{i}")
     entries = [
         F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(x).alias("x")) for i, x in enumerate(xs)
     ]
-    cells = bucketed.select(F.inline(F.array(*entries))).filter("b is not null")
+    cells = bucketed.select(F.inline(F.array(*entries))).filter(F.col("b").between(0, NAN_BUCKET - 1))
 
     ends = (F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     per_bucket: dict[int, list] = {}
@@ -184,8 +209,3 @@ def _ranked_values(
             if r["upto"] - r["n"] < rank <= r["upto"]:
                 values |= {(r["i"], share): r["x"] for share in shares}
     return values
-
-
-def _is_number(name: str) -> Column:
-    c = F.col(name)
-    return c.isNotNull() & ~F.isnan(c.cast("double"))

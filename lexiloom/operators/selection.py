@@ -15,24 +15,26 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``feature, f``: between-class over within-class variance.
 
     All features share one aggregation by class; only its few result rows are
-    turned into one row per feature.
+    turned into one row per feature. Missing values (null or NaN) of a feature are
+    left out of that feature alone, and so is a class without any value of it.
     """
+    known = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`")) for c in features]
     per_class = (
         df.filter(F.col(label).isNotNull())
         .groupBy(label)
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(features)],
-            *[F.var_pop(f"`{c}`").alias(f"v{i}") for i, c in enumerate(features)],
+            *[F.count(x).alias(f"n{i}") for i, x in enumerate(known)],
+            *[F.avg(x).alias(f"m{i}") for i, x in enumerate(known)],
+            *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(known)],
         )
     )
     entries = F.array(
         *[
-            F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
+            F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
             for i, c in enumerate(features)
         ]
     )
-    long = per_class.select("n", F.inline(entries))
+    long = per_class.select(F.inline(entries)).filter("n > 0")
     mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
     sums = long.groupBy("feature").agg(
         F.sum("n").alias("n"),

@@ -8,6 +8,7 @@ gives the same rows.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -48,9 +49,10 @@ class HashCuts:
         if self.label is None:
             side = _cuts_below(h, self.cuts.get(None, []))
         else:
-            side = F.lit(None).cast("int")
-            for value, cuts in sorted(self.cuts.items(), reverse=True):
-                side = F.when(F.col(self.label) == value, _cuts_below(h, cuts)).otherwise(side)
+            # one lookup, however many classes there are
+            table = F.from_json(F.lit(json.dumps({_text(c): cuts for c, cuts in self.cuts.items()})), "map<string,array<string>>")
+            side = F.size(F.filter(F.try_element_at(table, F.col(self.label).cast("string")), lambda c: c <= h))
+            side = F.when(h.isNotNull() & F.col(self.label).isNotNull() & (side >= 0), side)
         return hashed.withColumn(name, side).drop(_HASH)
 
 
@@ -104,8 +106,13 @@ def first_per_train_group(df: DataFrame, group: str, key: str, share: float = 0.
     """The first row of each train group and every row of the validation groups."""
     rows = group_holdout(df, group, share, seed)
     train = rows.filter(F.col("split") == "train")
-    first = train.groupBy(group).agg(F.min(key).alias(key)).select(key)
-    return train.join(first, key, "left_semi").select(*rows.columns).unionByName(rows.filter(F.col("split") == "val"))
+    first = train.groupBy(group).agg(F.min_by(F.struct(*rows.columns), key).alias("_first")).select("_first.*")
+    return first.unionByName(rows.filter(F.col("split") == "val"))
+
+
+def _text(c: Any) -> str:
+    """As Spark casts a class to string."""
+    return str(c).lower() if isinstance(c, bool) else str(c)
 
 
 def _held_out(n: int, share: float) -> int:
@@ -151,13 +158,13 @@ def _fit(df: DataFrame, key: str, label: str | None, seed: int, starts: Callable
     pairs = sorted({(c, p) for c, spots in wanted.items() for p, _ in spots}, key=repr)
     found: dict[tuple[Any, str, int], str] = {}
     if pairs:
-        chosen = reduce(lambda a, b: a | b, [(F.col("cls") == c) & (F.col("p") == p) for c, p in pairs])
-        ranked = hashed.filter(chosen).withColumn("r", F.row_number().over(Window.partitionBy("cls", "p").orderBy("h")) - 1)
-        spots = reduce(
-            lambda a, b: a | b,
-            [(F.col("cls") == c) & (F.col("p") == p) & (F.col("r") == r) for c, s in wanted.items() for p, r in s],
-        )
-        found = {(r["cls"], r["p"], r["r"]): r["h"] for r in ranked.filter(spots).collect()}
+        kind = hashed.schema["cls"].dataType.simpleString()
+        spark = df.sparkSession
+        chosen = spark.createDataFrame(pairs, f"cls {kind}, p string")
+        spots = spark.createDataFrame([(c, p, r) for c, s in wanted.items() for p, r in s], f"cls {kind}, p string, r int")
+        inside = hashed.join(chosen, ["cls", "p"], "left_semi")
+        ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("cls", "p").orderBy("h")) - 1)
+        found = {(r["cls"], r["p"], r["r"]): r["h"] for r in ranked.join(spots, ["cls", "p", "r"], "left_semi").collect()}
 
     cuts = {c: [found[(c, p, r)] for p, r in spots] + ["g"] * whole[c] for c, spots in wanted.items()}
     return HashCuts(key, label, seed, {None: cuts.get(0, [])} if label is None else cuts)

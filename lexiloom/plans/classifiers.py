@@ -8,22 +8,20 @@ import numpy as np
 from pyspark.ml import Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, VectorAssembler, VectorSizeHint
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.groups import class_weights, majority_class, with_class_weight
+from lexiloom.operators.groups import class_weight_table, majority_class, with_class_weight
 from lexiloom.plans.features import FEATURES, Inputs, apply, vector_size
 from lexiloom.session import shared_dir
 
-MAX_NEWTON = 2048
-MANY_ROWS = 200_000
+SOLVERS = ("l-bfgs", "newton")
 
 
 def logistic_regression(
@@ -33,7 +31,7 @@ def logistic_regression(
     balanced: bool = False,
     max_iter: int = 1000,
     tol: float = 1e-6,
-    solver: str = "auto",
+    solver: str = "l-bfgs",
 ) -> list[Transformer]:
     """L2 logistic regression with strength ``c`` that penalises the intercept too.
 
@@ -41,20 +39,18 @@ def logistic_regression(
     constant columns to weight 0, so for half of the rows vector and label are
     both negated: the loss stays the same and the column is constant no more.
 
-    ``newton`` reaches the optimum in some ten passes over the rows, each with a
-    solve on the driver that grows with the cube of the columns. ``l-bfgs`` takes
-    some hundred cheap passes. ``auto`` takes the first for many rows of up to
-    ``MAX_NEWTON`` columns.
+    ``l-bfgs`` takes some hundred cheap passes over the rows. ``newton`` takes some
+    ten, each with a solve on the driver that grows with the cube of the columns, so
+    it is for few columns. Both add the same columns, reach the same optimum, and
+    honour ``max_iter`` and ``tol``.
     """
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver!r}; known are {SOLVERS}")
     size, rows = vector_size(train, FEATURES), train.count()
-    wide = [
-        SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__"),
-        VectorSizeHint(inputCol=FEATURES, size=size, handleInvalid="optimistic"),
-        VectorAssembler(inputCols=[FEATURES, "_one"], outputCol="_wide"),
-    ]
+    wide, drop = _with_one(size)
     df = apply(wide, train)
     if balanced:
-        df = with_class_weight(df, inputs.label, class_weights(train, inputs.label), "_weight")
+        df = with_class_weight(df, inputs.label, class_weight_table(train, inputs.label), "_weight")
     else:
         df = df.withColumn("_weight", F.lit(1.0))
     label = F.col(inputs.label).cast("double")
@@ -66,17 +62,18 @@ def logistic_regression(
     kept = df.filter(~flipped).select(F.col("_wide").alias("_x"), "_weight", "_label")
     table = kept.unionByName(mirrored)
 
-    drop = SQLTransformer(statement="SELECT * EXCEPT (_one, _wide) FROM __THIS__")
-    newton = solver == "newton" or (solver == "auto" and size < MAX_NEWTON and rows >= MANY_ROWS)
-    linear = _newton(table, c) if newton else None
-    if linear is not None:
+    if solver == "newton":
+        linear = _newton(table, c, max_iter, tol)
         logit = SQLTransformer(
-            statement="SELECT * EXCEPT (_logit), 1 / (1 + exp(_logit)) AS _p0, 1 / (1 + exp(-_logit)) AS _p1, "
-            "double(_logit > 0) AS prediction FROM __THIS__"
+            statement="SELECT * EXCEPT (_logit), -_logit AS _r0, _logit AS _r1, 1 / (1 + exp(_logit)) AS _p0, "
+            "1 / (1 + exp(-_logit)) AS _p1, double(_logit > 0) AS prediction FROM __THIS__"
         )
-        both = VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability")
-        tidy = SQLTransformer(statement="SELECT * EXCEPT (_p0, _p1) FROM __THIS__")
-        return [*wide, linear.setFeaturesCol("_wide").setPredictionCol("_logit"), logit, both, tidy, drop]
+        pairs = [
+            VectorAssembler(inputCols=["_r0", "_r1"], outputCol="rawPrediction"),
+            VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability"),
+        ]
+        tidy = SQLTransformer(statement="SELECT * EXCEPT (_r0, _r1, _p0, _p1) FROM __THIS__")
+        return [*wide, linear.setFeaturesCol("_wide").setPredictionCol("_logit"), logit, *pairs, tidy, drop]
 
     # class weights add up to the row count, so the penalty is the same in both forms
     model = LogisticRegression(
@@ -94,11 +91,40 @@ def logistic_regression(
     return [*wide, model.setFeaturesCol("_wide"), drop]
 
 
-def _newton(table: DataFrame, c: float, steps: int = 30, tol: float = 1e-8) -> LinearRegressionModel | None:
-    """Newton steps for the penalised logistic loss, each one a weighted ridge regression.
+def _with_one(size: int) -> tuple[list[Transformer], Transformer]:
+    """Stages that append a constant 1 to the features as ``_wide``, and one that takes the helpers away."""
+    wide = [
+        SQLTransformer(statement="SELECT *, 1.0D AS _one FROM __THIS__"),
+        VectorSizeHint(inputCol=FEATURES, size=size, handleInvalid="optimistic"),
+        VectorAssembler(inputCols=[FEATURES, "_one"], outputCol="_wide"),
+    ]
+    return wide, SQLTransformer(statement="SELECT * EXCEPT (_one, _wide) FROM __THIS__")
+
+
+def _ridge(table: DataFrame, target: str, weight: str, penalty: float) -> LinearRegressionModel | None:
+    """Minimise ``sum w (x b - t)^2 + penalty |b|^2`` without an intercept; None where the target does not vary."""
+    w, wz, wzz = table.agg(
+        F.sum(weight), F.sum(F.col(weight) * F.col(target)), F.sum(F.col(weight) * F.col(target) * F.col(target))
+    ).first()
+    spread = math.sqrt(max(wzz / w - (wz / w) ** 2, 0.0)) if w else 0.0
+    if not math.isfinite(spread) or spread == 0:
+        return None
+    # the ridge penalty of this solver counts per unit of weight and in units of the target's deviation
+    return LinearRegression(
+        featuresCol="_x",
+        labelCol=target,
+        weightCol=weight,
+        predictionCol="_logit",
+        fitIntercept=False,
+        standardization=False,
+        elasticNetParam=0.0,
+        solver="normal",
+        regParam=penalty * spread / w,
+    ).fit(table)
 
-    None when they do not settle; the caller then takes the slower way.
-    """
+
+def _newton(table: DataFrame, c: float, steps: int, tol: float) -> LinearRegressionModel:
+    """Newton steps for the penalised logistic loss, each one a weighted ridge regression."""
     logit = F.lit(0.0)
     scored, before = table, None
     for _ in range(steps):
@@ -106,49 +132,76 @@ def _newton(table: DataFrame, c: float, steps: int = 30, tol: float = 1e-8) -> L
         curve = F.greatest(p * (1 - p), F.lit(1e-12))
         working = scored.select(
             "_x",
-            "_label",
-            "_weight",
             (F.col("_weight") * curve).alias("_w"),
             (logit + (F.col("_label") - p) / curve).alias("_z"),
         )
-        w, wz, wzz = working.agg(
-            F.sum("_w"), F.sum(F.col("_w") * F.col("_z")), F.sum(F.col("_w") * F.col("_z") * F.col("_z"))
-        ).first()
-        spread = math.sqrt(max(wzz / w - (wz / w) ** 2, 0.0))
-        if not math.isfinite(spread) or spread == 0:
-            return None
-        # the ridge penalty of this solver counts per unit of weight and in units of the target's deviation
-        ridge = LinearRegression(
-            featuresCol="_x",
-            labelCol="_z",
-            weightCol="_w",
-            predictionCol="_logit",
-            fitIntercept=False,
-            standardization=False,
-            elasticNetParam=0.0,
-            solver="normal",
-            regParam=spread / (c * w),
-        )
-        model = ridge.fit(working)
+        model = _ridge(working, "_z", "_w", 1 / c)
+        if model is None:
+            raise ArithmeticError("Newton steps do not settle on these rows: take solver='l-bfgs'")
         now = model.coefficients.toArray()
         if before is not None and np.abs(now - before).max() <= tol * (1 + np.abs(now).max()):
             return model
         before = now
         scored = model.transform(table)
         logit = F.col("_logit")
-    return None
+    return model
 
 
-def linear_svm(train: DataFrame, inputs: Inputs, c: float = 1.0, max_iter: int = 200) -> list[Transformer]:
-    """Linear support vector machine with hinge loss."""
-    svm = LinearSVC(
-        featuresCol=FEATURES,
-        labelCol=inputs.label,
-        standardization=False,
-        regParam=1.0 / (c * train.count()),
-        maxIter=max_iter,
-    )
-    return [svm.fit(train)]
+def linear_svm(train: DataFrame, inputs: Inputs, c: float = 1.0, max_iter: int = 50, tol: float = 1e-8) -> list[Transformer]:
+    """Linear support vector machine with squared hinge loss; the intercept is penalised too.
+
+    Minimises ``|w|^2 / 2 + c * sum max(0, 1 - y w x)^2`` with a constant 1 in x.
+    On the rows with a margin below 1 that is a ridge regression towards y, so each
+    step solves one and looks which rows are active next. A step that does not lower
+    the objective is halved. The solve is on the driver and grows with the cube of
+    the columns; rows with a target of either sign stand for each row, so that no
+    column is constant.
+    """
+    size = vector_size(train, FEATURES)
+    wide, drop = _with_one(size)
+    y = F.when(F.col(inputs.label) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    spark = train.sparkSession
+    rows = apply(wide, train).select("_wide", y.alias("_y"))
+    now = np.zeros(size + 1)
+
+    def margins(weights: np.ndarray) -> DataFrame:
+        return _linear(spark, weights).transform(rows)
+
+    def objective(weights: np.ndarray) -> float:
+        slack = F.greatest(1 - F.col("_y") * F.col("_margin"), F.lit(0.0))
+        lost = margins(weights).agg(F.sum(slack * slack)).first()[0] or 0.0
+        return float(weights @ weights / 2 + c * lost)
+
+    best = objective(now)
+    for _ in range(max_iter):
+        active = margins(now).filter(F.col("_y") * F.col("_margin") < 1)
+        negate = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * (size + 1)), inputCol="_wide", outputCol="_x")
+        both = active.select(F.col("_wide").alias("_x"), "_y").unionByName(negate.transform(active).select("_x", (-F.col("_y")).alias("_y")))
+        model = _ridge(both.withColumn("_one_each", F.lit(1.0)), "_y", "_one_each", 1 / c)
+        if model is None:
+            break
+        step, found = 1.0, model.coefficients.toArray()
+        while step > 1e-6 and (value := objective(now + step * (found - now))) > best:
+            step /= 2
+        if step <= 1e-6:
+            break
+        moved = step * (found - now)
+        now, best = now + moved, value
+        if np.abs(moved).max() <= tol * (1 + np.abs(now).max()):
+            break
+    score = SQLTransformer(statement="SELECT * EXCEPT (_margin), -_margin AS _r0, _margin AS _r1, double(_margin > 0) AS prediction FROM __THIS__")
+    pair = VectorAssembler(inputCols=["_r0", "_r1"], outputCol="rawPrediction")
+    tidy = SQLTransformer(statement="SELECT * EXCEPT (_r0, _r1) FROM __THIS__")
+    return [*wide, _linear(spark, now), score, pair, tidy, drop]
+
+
+def _linear(spark: SparkSession, weights: np.ndarray) -> LinearRegressionModel:
+    """``_margin``, the product of ``_wide`` with the weights: the model that maps each unit vector to its weight."""
+    n = len(weights)
+    units = [(Vectors.sparse(n, [i], [1.0]), float(w)) for i, w in enumerate(weights)]
+    table = spark.createDataFrame([*units, (Vectors.sparse(n, [], []), 0.0)], ["_wide", "_w"])
+    exact = LinearRegression(featuresCol="_wide", labelCol="_w", predictionCol="_margin", fitIntercept=False, standardization=False, solver="normal")
+    return exact.fit(table)
 
 
 def boosted_trees(

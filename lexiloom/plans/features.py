@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSizeHint, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint, VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from lexiloom.functions.clean import bool_to_int, clean_number, list_length
 from lexiloom.functions.text import safe_text
-from lexiloom.operators.levels import fit_one_hot
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.scaling import fit_vector_scaler
 from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf
@@ -76,10 +75,10 @@ def number_stages(train: DataFrame, inputs: Inputs, output: str) -> list[Transfo
 
 
 def category_stages(train: DataFrame, inputs: Inputs, output: str) -> list[Transformer]:
-    """One slot per level seen in train; the slot of unknown levels is the one dropped."""
-    levels = fit_one_hot(train, inputs.category).levels
+    """One slot per level seen in train, however many; the slot of unknown levels is the one dropped."""
     index = f"{output}_index"
-    indexer = StringIndexerModel.from_labels(levels, inputCol=inputs.category, outputCol=index, handleInvalid="keep")
+    levels = StringIndexer(inputCol=inputs.category, outputCol=index, stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = levels.fit(train)
     encoder = OneHotEncoder(inputCol=index, outputCol=output, dropLast=True)
     return [indexer, encoder.fit(indexer.transform(train))]
 

@@ -10,10 +10,11 @@ from typing import Any
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.metrics import accuracy
+from lexiloom.operators.metrics import accuracy, metric_row
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.splits import SEED, stratified_folds, stratified_holdout
 from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, few, fit_tfidf_by_fold, term_stages
@@ -82,6 +83,10 @@ def _logistic_regression_metadata(rules: TermRules = LARGE, balanced: bool = Tru
     return Plan(partial(text_metadata_stages, rules=rules), fit, ("text", "numbers"))
 
 
+def _logistic_regression_vectors(**fit: Any) -> Plan:
+    return Plan(vector_metadata_stages, partial(classifiers.logistic_regression, **fit), ("vector",))
+
+
 def _boosted_trees(components: int | None = None, **trees: Any) -> Plan:
     features = partial(vector_metadata_stages, components=components)
     return Plan(features, partial(classifiers.boosted_trees, **trees), ("vector",))
@@ -99,6 +104,7 @@ MODELS: dict[str, Callable[..., Plan]] = {
     "logistic_regression": _logistic_regression,
     "svm": _svm,
     "logistic_regression_metadata": _logistic_regression_metadata,
+    "logistic_regression_vectors": _logistic_regression_vectors,
     "boosted_trees": _boosted_trees,
     "boosted_trees_pca": partial(_boosted_trees, components=128),
     "perceptron": _perceptron,
@@ -115,11 +121,20 @@ def build(name: str, **parameters: Any) -> Plan:
 
 def holdout_scores(df: DataFrame, plan: Plan, inputs: Inputs, share: float = 0.2, seed: int = SEED) -> DataFrame:
     """Fit on the train side of a stratified hold-out and score its other side."""
-    split = prepare(stratified_holdout(df, inputs.key, inputs.label, share, seed), inputs)
+    # the split and every feature fit pass over the repaired inputs: they are computed once
+    split = materialise(prepare(stratified_holdout(df, inputs.key, inputs.label, share, seed), inputs), "split")
     model = plan.fit(split.filter("split = 'train'"), inputs)
     return model.transform(split.filter("split = 'val'"))
 
 
+def report(scored: DataFrame, inputs: Inputs) -> DataFrame:
+    """Accuracy, F1, precision, recall and AUC of scored rows; the score is the probability of class 1, or the margin."""
+    source = next((c for c in ("probability", "rawPrediction") if c in scored.columns), None)
+    score = vector_to_array(source)[1] if source else F.col("prediction")
+    rows = scored.select(F.col(inputs.label).alias("label"), F.col("prediction"), score.alias("score"))
+    return metric_row(rows)
+
+
 def score_unlabelled(labelled: DataFrame, unlabelled: DataFrame, plan: Plan, inputs: Inputs) -> DataFrame:
     """Fit on all labelled rows and score the others; the key stays on each row."""
     return plan.fit(prepare(labelled, inputs), inputs).transform(prepare(unlabelled, inputs))
@@ -131,6 +146,7 @@ def cross_validate(
     """``fold, accuracy``: every fit, from vocabulary to weights, sees the other folds only."""
     plan.check(inputs)
     split = prepare(stratified_folds(df, inputs.key, inputs.label, folds, seed), inputs).filter("fold is not null")
+    split = materialise(split, "split")
     per_fold = _text_tables(split, plan, inputs, folds) if plan.rules else _fold_tables(split, plan, inputs, folds)
 
     def scored(held_out: int, table: DataFrame) -> DataFrame:

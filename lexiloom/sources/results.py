@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,12 @@ def write_submission(
     return path
 
 
+def content_key(text: str | Column) -> Column:
+    """Key of a vector: a digest of what was encoded, so that no two texts share one. A null text has its own."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.sha2(F.coalesce(F.concat(F.lit("="), c), F.lit("")), 256)
+
+
 def missing_rows(df: DataFrame, store: DataFrame, key: str, encoder_id: str) -> DataFrame:
     """Rows whose vector the store does not hold for this encoder."""
     known = store.filter(F.col("encoder_id") == encoder_id).select(key)
@@ -34,20 +40,27 @@ def cached_vectors(
     spark: SparkSession,
     df: DataFrame,
     path: str,
-    key: str,
+    text: str,
     encoder_id: str,
     encode: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """``df`` with its ``vector`` from a Parquet store; only missing ones are computed, once per key.
+    """``df`` with the ``vector`` of its text from a Parquet store; each missing text is encoded once.
 
-    ``encode`` returns ``key`` and ``vector``. The store is split by encoder, so
-    two encoders never share a row.
+    The store is keyed by the content of the text and split by ``encoder_id``, which
+    must name everything that shapes a vector. ``encode`` turns ``digest, <text>``
+    into ``digest, vector``. A row without a vector afterwards is an error.
     """
     own = f"{path}/encoder_id={encoder_id}"
+    rows = df.withColumn("digest", content_key(text))
     known = _read_if_written(spark, own)
-    missing = df if known is None else df.join(known.select(key), key, "left_anti")
-    encode(missing.dropDuplicates([key])).select(key, "vector").write.mode("append").parquet(own)
-    return df.join(spark.read.parquet(own), key, "inner")
+    texts = rows.select("digest", text)
+    missing = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
+    encode(missing.dropDuplicates(["digest"])).select("digest", "vector").write.mode("append").parquet(own)
+    # two runs may have appended the same text
+    store = spark.read.parquet(own).dropDuplicates(["digest"])
+    found = rows.join(store, "digest", "left").drop("digest")
+    lost = F.raise_error(F.lit("the store does not hold the vector of a text"))
+    return found.withColumn("vector", F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(lost.cast(found.schema["vector"].dataType)))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

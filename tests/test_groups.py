@@ -14,8 +14,7 @@ def skewed(spark):
 
 @pytest.fixture
 def many_buckets(monkeypatch):
-    monkeypatch.setattr(ordering.order_cuts, "__defaults__", (None, 10, 50, 8, 16))
-    monkeypatch.setattr(ordering.exact_quantiles, "__defaults__", (50,))
+    monkeypatch.setattr(ordering.order_cuts, "__defaults__", (None, 10, 8, 16))
 
 
 def members(df):
@@ -81,3 +80,20 @@ def test_first_label_weights_and_top_k(spark):
     assert [r.name for r in groups.top_k(scores, "s", "name", 4).collect()] == ["c", "a", "d", "b"]
     tied = spark.createDataFrame([(1,), (0,), (1,), (0,), (None,)], "label int")
     assert groups.majority_class(tied, "label") == 0
+
+
+@pytest.mark.parametrize("n", [150_000, 250_000])
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_a_hot_group_keeps_null_and_string_keys(spark, n, kind):
+    key = F.when(F.col("id") % 10 == 3, None).otherwise(F.col("id")) if kind == "bigint" else F.format_string("row%09d", "id")
+    df = spark.range(n).select(key.cast(kind).alias("k"), F.lit("hot").alias("g"), F.lit("ab").alias("t"))
+    parts = groups.user_texts(df, "g", "k", "t", part_chars=100_000)
+    assert parts.agg(F.sum(F.size(F.split("full_text_agg", " ")))).first()[0] == n
+    ids = groups.group_ids(df, "g", "k", part_rows=40_000)
+    assert ids.agg(F.sum(F.size("ids"))).first()[0] == df.where("k is not null").count()
+
+
+def test_weights_of_many_classes(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("label"))
+    weighted = groups.with_class_weight(df, "label", groups.class_weight_table(df, "label"))
+    assert weighted.where("abs(weight - 1) < 1e-12").count() == 20_000

@@ -20,7 +20,7 @@ def auc(y, s):
 @pytest.mark.parametrize("many", [False, True])
 def test_auc_with_ties(spark, monkeypatch, many):
     if many:
-        monkeypatch.setattr(ordering.order_cuts, "__defaults__", (None, 10, 50, 8, 16))
+        monkeypatch.setattr(ordering.order_cuts, "__defaults__", (None, 10, 8, 16))
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 300).tolist()
     s = np.where(rng.random(300) < 0.33, 0.5, rng.random(300).round(2)).tolist()
@@ -84,3 +84,32 @@ def test_best_epoch_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("b", 1, 0.1)], "run string, epoch int, acc double")
     got = {r.run: (r.epoch, r.acc) for r in training.best_epoch(df, "run", "epoch", "acc").collect()}
     assert got == {"a": (2, 0.7), "b": (1, 0.1)}
+
+
+def test_metrics_do_not_depend_on_the_number_of_rows(spark):
+    found = []
+    for n in (150_000, 250_000):
+        r = F.col("id") % 10
+        score = F.when(r < 3, F.lit(float("nan"))).when(r == 3, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000)
+        df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1000)) + r * 20 > 500).cast("int").alias("label"), (r < 7).cast("int").alias("prediction"), score.alias("score"))
+        row = metrics.metric_row(df).first()
+        assert row.accuracy == pytest.approx(df.select(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0])
+        known = df.where("score is not null and not isnan(score)")
+        assert row.auc == pytest.approx(metrics.roc_auc(known).first()[0]) and 0 <= row.auc <= 1
+        found.append(row.auc)
+    assert abs(found[0] - found[1]) < 0.01
+
+
+def test_anova_leaves_missing_values_out(spark):
+    rng = np.random.default_rng(3)
+    y, x = rng.integers(0, 3, 900), rng.normal(size=900)
+    x = x + y * 0.3
+    missing = rng.random(900)
+    rows = [(int(a), None if m < 0.1 else float("nan") if m < 0.2 else float(b)) for a, b, m in zip(y, x, missing)]
+    got = selection.anova_f(spark.createDataFrame(rows, "label int, x double"), ["x"], "label").first().f
+    keep = missing >= 0.2
+    parts = [x[keep & (y == c)] for c in range(3)]
+    n, mean = sum(map(len, parts)), x[keep].mean()
+    between = sum(len(p) * (p.mean() - mean) ** 2 for p in parts) / 2
+    within = sum(((p - p.mean()) ** 2).sum() for p in parts) / (n - 3)
+    assert got == pytest.approx(between / within)

@@ -76,22 +76,30 @@ def test_submission_file(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("3", "1"), ("4", "0")]
 
 
-def test_cached_vectors_only_encode_what_is_missing(spark):
+def test_cached_vectors_belong_to_the_text(spark):
     seen = []
 
     def encode(df):
-        seen.append(sorted(r.k for r in df.collect()))
-        return df.select("k", F.array(F.col("k").cast("double")).alias("vector"))
+        seen.append(sorted(str(r.t) for r in df.collect()))
+        return df.select("digest", F.array(F.length(F.coalesce("t", F.lit(""))).cast("double")).alias("vector"))
 
     path = scratch_path(spark, "store")
-    one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, t string")
-    two = spark.createDataFrame([(2, "b"), (3, "c")], "k long, t string")
-    got = results.cached_vectors(spark, one, path, "k", "base", encode)
-    assert sorted((r.k, r.t) for r in got.collect()) == [(1, "a"), (2, "b"), (2, "b")]  # copies stay
-    both = results.cached_vectors(spark, two, path, "k", "base", encode)
-    assert sorted((r.k, r.vector) for r in both.collect()) == [(2, [2.0]), (3, [3.0])]
-    results.cached_vectors(spark, two, path, "k", "tuned", encode)
-    assert seen == [[1, 2], [3], [2, 3]]
+    one = spark.createDataFrame([(1, "a"), (2, "bb"), (2, "bb"), (None, "bb"), (4, None)], "k long, t string")
+    two = spark.createDataFrame([(1, "ccc"), (2, "bb"), (3, "")], "k long, t string")  # an id with another text
+    got = results.cached_vectors(spark, one, path, "t", "base", encode)
+    assert sorted(((r.k, r.vector) for r in got.collect()), key=repr) == sorted([(1, [1.0]), (2, [2.0]), (2, [2.0]), (None, [2.0]), (4, [0.0])], key=repr)
+    both = results.cached_vectors(spark, two, path, "t", "base", encode)
+    assert sorted((r.k, r.vector) for r in both.collect()) == [(1, [3.0]), (2, [2.0]), (3, [0.0])]
+    results.cached_vectors(spark, two, path, "t", "tuned", encode)
+    assert seen == [["None", "a", "bb"], ["", "ccc"], ["", "bb", "ccc"]]
+    encode(one.limit(1).withColumn("digest", results.content_key("t"))).write.mode("append").parquet(f"{path}/encoder_id=base")
+    assert results.cached_vectors(spark, one, path, "t", "base", encode).count() == 5  # a text that was appended twice
+
+
+def test_a_missing_vector_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a")], "k long, t string")
+    with pytest.raises(Exception, match="does not hold"):
+        results.cached_vectors(spark, df, scratch_path(spark, "store"), "t", "none", lambda d: d.limit(0).select("digest", F.array(F.lit(1.0)).alias("vector"))).collect()
 
 
 def test_model_round_trip(spark):

@@ -72,3 +72,17 @@ def test_too_many_classes_is_refused(spark, monkeypatch):
     monkeypatch.setattr(splits, "MAX_CLASSES", 0)
     with pytest.raises(ValueError, match="classes"):
         splits.stratified_folds(spark.range(10).withColumn("label", F.col("id")), "id", "label")
+
+
+def test_first_rows_with_keys_that_repeat_across_groups(spark):
+    df = spark.range(200).selectExpr("id % 50 as g", "id div 50 as k", "id as v")
+    out = splits.first_per_train_group(df, "g", "k", 0.1)
+    train = out.where("split = 'train'").collect()
+    assert len(train) == 45 and all(r.k == 0 for r in train)
+    assert out.where("split = 'val'").count() == 20
+
+
+def test_folds_of_many_classes(spark):
+    df = spark.range(5000).selectExpr("id", "concat('c', id % 250) as label")
+    sizes = splits.stratified_folds(df, "id", "label").groupBy("label", "fold").count().collect()
+    assert len(sizes) == 1250 and all(r["count"] == 4 for r in sizes)
