@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.catalog.registry import big, query, rounded
@@ -13,8 +15,9 @@ from lexiloom.functions.text import surface_features
 from lexiloom.operators.encode import encode_texts
 from lexiloom.operators.rows import except_rows
 from lexiloom.operators.tfidf import LARGE
-from lexiloom.plans import training
-from lexiloom.plans.features import Inputs, apply, prepare, text_metadata_stages
+from lexiloom.plans import classifiers, training
+from lexiloom.plans.features import FEATURES, Inputs, apply, number_stages, prepare, text_metadata_stages
+from lexiloom.session import materialise
 from lexiloom.sources.tables import read_table
 
 GBT_ROUNDS = 20
@@ -95,6 +98,127 @@ def m1_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return probabilities(training.holdout_scores(labelled(texts(spark, sf)), plan, FULL), "doc_id")
 
 
+#: two standardised numbers of every labelled document, x1 and x2
+PLANE_SQL = """x AS (SELECT doc_id, quality AS t, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x1, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS x2
+  FROM (SELECT doc_id, quality, length(text)::DOUBLE AS a, (length(text) - length(replace(text, '#', '')))::DOUBLE AS b
+        FROM documents JOIN labels USING (doc_id)))"""
+PLANE = Inputs("doc_id", numbers=("tweet_length", "hashtags_count"))
+
+
+def _steps_sql(weight: str, target: str, c: float, steps: int) -> str:
+    """Repeated ridge regressions in three unknowns: (I + c X'WX) b = c X'Wz, solved by determinants.
+
+    ``weight`` and ``target`` may use t (0 or 1), m (the margin so far) and p (its logistic).
+    """
+    xs = ("x1", "x2", "1.0::DOUBLE")
+    sums = [f"{c}::DOUBLE * sum(w * {xs[i]} * {xs[j]}) + {int(i == j)} AS h{i}{j}" for i in range(3) for j in range(i, 3)]
+    sums += [f"{c}::DOUBLE * sum(w * z * {x}) AS r{i}" for i, x in enumerate(xs)]
+    return f"""s AS (SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+  UNION ALL
+  SELECT step + 1,
+    (r0 * (h11 * h22 - h12 * h12) - h01 * (r1 * h22 - h12 * r2) + h02 * (r1 * h12 - h11 * r2)) / det,
+    (h00 * (r1 * h22 - h12 * r2) - r0 * (h01 * h22 - h12 * h02) + h02 * (h01 * r2 - r1 * h02)) / det,
+    (h00 * (h11 * r2 - r1 * h12) - h01 * (h01 * r2 - r1 * h02) + r0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT step, {", ".join(sums)} FROM (
+      SELECT *, {weight} AS w, {target} AS z FROM (
+        SELECT *, 1 / (1 + exp(-m)) AS p FROM (SELECT s.step, x.*, b0 * x1 + b1 * x2 + b2 AS m FROM s, x WHERE s.step < {steps})))
+    GROUP BY step))),
+b AS (SELECT * FROM s WHERE step = {steps})"""
+
+
+def plane(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare(labelled(texts(spark, sf)), PLANE)
+
+
+@query(
+    "m1_logreg_two_numbers",
+    f"""WITH RECURSIVE {PLANE_SQL}, {_steps_sql("p * (1 - p)", "m + (t - p) / (p * (1 - p))", 1.0, 15)}
+SELECT doc_id, round(1 / (1 + exp(-(b0 * x1 + b1 * x2 + b2))), 4) AS probability FROM x, b""",
+)
+def m1_two(spark: SparkSession, sf: str) -> DataFrame:
+    df = plane(spark, sf)
+    plan = training.Plan(partial(number_stages, output=FEATURES), partial(classifiers.logistic_regression, solver="newton", tol=1e-12))
+    scored = plan.fit(df, PLANE).transform(df)
+    return scored.select("doc_id", F.round(vector_to_array("probability")[1], 4).alias("probability"))
+
+
+@query(
+    "m2_svm_two_numbers",
+    f"""WITH RECURSIVE {PLANE_SQL}, {_steps_sql("CASE WHEN (2 * t - 1) * m < 1 THEN 2.0::DOUBLE ELSE 0 END", "2.0::DOUBLE * t - 1", 1.0, 40)}
+SELECT doc_id, round(b0 * x1 + b1 * x2 + b2, 4) + 0.0::DOUBLE AS margin FROM x, b""",
+)
+def m2_two(spark: SparkSession, sf: str) -> DataFrame:
+    df = plane(spark, sf)
+    plan = training.Plan(partial(number_stages, output=FEATURES), classifiers.linear_svm)
+    scored = plan.fit(df, PLANE).transform(df)
+    return scored.select("doc_id", (F.round(vector_to_array("rawPrediction")[1], 4) + F.lit(0.0)).alias("margin"))
+
+
+#: rows of a hold-out are known to SQL; a model's scores are not, but it must give each row a probability and not lose to the majority
+CHECKED_SQL = """WITH s AS (SELECT doc_id, quality AS label,
+  row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id)) <= ceil(round(0.2::DOUBLE * count(*) OVER (PARTITION BY quality), 9)) AS val
+  FROM labels)
+SELECT doc_id, label, TRUE AS in_range, TRUE AS not_below_majority FROM s WHERE val"""
+
+
+def checked(scored: DataFrame, key: str = "doc_id") -> DataFrame:
+    known = scored.select(key, "label", F.col("prediction").cast("int").alias("c"), vector_to_array("probability")[1].alias("p"))
+    known = materialise(known, "scored")
+    right, ones, rows = known.agg(F.sum((F.col("c") == F.col("label")).cast("int")), F.sum("label"), F.count(F.lit(1))).first()
+    fair = right >= max(ones, rows - ones) * 0.97  # a tie with the majority counts, and chance on few rows
+    return known.select(key, "label", (F.col("p").between(0, 1) & F.col("c").isin(0, 1)).alias("in_range"), F.lit(fair).alias("not_below_majority"))
+
+
+@query("m3_gbt_checked", CHECKED_SQL)
+def m3_checked(spark: SparkSession, sf: str) -> DataFrame:
+    plan = training.build("boosted_trees", rounds=GBT_ROUNDS, depth=5)
+    return checked(training.holdout_scores(with_vectors(spark, sf), plan, DENSE))
+
+
+@query(
+    "m5_mlp_checked",
+    CHECKED_SQL.replace("doc_id", "vec_id").replace("quality", "(label < 5)::INT").replace("FROM labels", "FROM embeddings").replace(
+        ", TRUE AS not_below_majority", ""
+    ),
+)
+def m5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """These vectors hold nothing about their class, so no accuracy is asked for."""
+    scored = training.holdout_scores(vector_classes(spark, sf), training.build("perceptron"), VECTOR_CLASS)
+    return checked(scored, "vec_id").drop("not_below_majority")
+
+
+@query(
+    "m9_cv_checked",
+    f"""WITH f AS ({fold_sql('(SELECT doc_id, quality FROM labels)', 'doc_id', 'quality')})
+SELECT fold, TRUE AS in_range, TRUE AS not_below_majority FROM f GROUP BY fold""",
+)
+def m9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    df = labelled(texts(spark, sf))
+    base = training.cross_validate(df.select("doc_id", "label"), training.build("majority"), Inputs("doc_id"))
+    scored = training.cross_validate(df, training.build("logistic_regression"), TEXT)
+    both = scored.join(base.withColumnRenamed("accuracy", "base"), "fold")
+    fair = F.col("accuracy") >= F.col("base") * 0.97
+    return both.select(big("fold").alias("fold"), F.col("accuracy").between(0, 1).alias("in_range"), fair.alias("not_below_majority"))
+
+
+@query("m10_scored_rows", "SELECT doc_id AS \"ID\", TRUE AS is_class FROM documents ANTI JOIN labels USING (doc_id)")
+def m10_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return m10(spark, sf).select("ID", F.col("Prediction").isin(0, 1).alias("is_class"))
+
+
+@query(
+    "m11_grid_settings",
+    """SELECT 5 AS rounds, d AS depth, k AS components, TRUE AS in_range, 1::BIGINT AS best_settings
+FROM (VALUES (3), (5)) a(d), (VALUES (8), (16), (32)) b(k)""",
+)
+def m11_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """All settings of the grid, and that one of them is the best."""
+    best = F.sum((F.col("best") & F.col("highest")).cast("bigint")).over(Window.partitionBy())
+    rows = m11(spark, sf).withColumn("highest", F.col("accuracy") == F.max("accuracy").over(Window.partitionBy()))
+    return rows.select("rounds", "depth", "components", F.col("accuracy").between(0, 1).alias("in_range"), best.alias("best_settings"))
+
+
 @query("m2_svm_scores")
 def m2(spark: SparkSession, sf: str) -> DataFrame:
     plan = training.build("svm")

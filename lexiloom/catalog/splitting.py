@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.catalog.registry import big, query, rounded
 from lexiloom.catalog.tables import SCORED_SQL, documents, fold_sql, scored
 from lexiloom.operators import groups, metrics, selection, splits
-from lexiloom.sources.tables import read_table, spread
+from lexiloom.sources.tables import read_table
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +267,7 @@ p AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PART
 SELECT feature, round(sum(n / nt * ln(n * nt / (nb * nc))), 6) AS mi FROM p GROUP BY feature""",
 )
 def r3(spark: SparkSession, sf: str) -> DataFrame:
-    items = spread(read_table(spark, sf, "lineitem").select("l_orderkey", *FEATURES, "l_returnflag"), "l_orderkey")
+    items = read_table(spark, sf, "lineitem").select(*FEATURES, "l_returnflag")
     df = selection.mutual_information(items, FEATURES, "l_returnflag")
     return df.withColumn("mi", rounded("mi"))
 

@@ -107,6 +107,20 @@ def v5_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return reduced.select("vec_id", rounded(length2).alias("length2"))
 
 
+@query(
+    "v5_pca_products",
+    f"""WITH {CELLS_SQL}, z AS (SELECT vec_id, dim, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM cells WINDOW w AS (PARTITION BY dim))
+SELECT a.vec_id, round(sum(a.z * b.z), 5) + 0.0::DOUBLE AS product FROM z a JOIN z b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim GROUP BY a.vec_id""",
+)
+def v5_products(spark: SparkSession, sf: str) -> DataFrame:
+    """All components together keep the inner product of every vector with the next one."""
+    df = embeddings(spark, sf).select("vec_id", array_to_vector("embedding").alias("v"))
+    reduced = PipelineModel(reduction.fit_pca(df, "v", "p", 64)).transform(df).select("vec_id", vector_to_array("p").alias("p"))
+    other = reduced.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    product = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return reduced.join(other, "vec_id").select("vec_id", (F.round(product, 5) + F.lit(0.0)).alias("product"))
+
+
 @query(
     "v5_covariance",
     f"""WITH {CELLS_SQL}, z AS (SELECT vec_id, dim, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM cells WINDOW w AS (PARTITION BY dim))

@@ -153,11 +153,12 @@ class TfidfModel:
         """``key, term, weight`` of the non-zero entries, without a shuffle."""
         spark = df.sparkSession
         names = spark.createDataFrame(list(enumerate(self.terms)), "position int, term string")
-        cells = self.transform(df.select(key, text), text, "v").select(
-            key, F.posexplode(vector_to_array("v")).alias("position", "weight")
-        )
+        entries = F.transform(vector_to_array("v"), lambda w, i: F.struct(i.alias("position"), w.alias("weight")))
+        # only what is not zero leaves the row
+        found = F.inline(F.filter(entries, lambda e: e["weight"] > 0))
+        cells = self.transform(df.select(key, text), text, "v").select(key, found)
         # the vocabulary holds max_features rows at most
-        return cells.filter("weight > 0").join(F.broadcast(names), "position").select(key, "term", "weight")
+        return cells.join(F.broadcast(names), "position").select(key, "term", "weight")
 
 
 def fit_tfidf(df: DataFrame, text: str, rules: TermRules = SMALL, prune: bool | None = None) -> TfidfModel:

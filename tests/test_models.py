@@ -43,6 +43,41 @@ def test_logistic_regression_reaches_the_stated_optimum(points, solver, balanced
     assert set(features.apply(stages, df).columns) >= {"id", "label", "prediction", "probability"}
 
 
+@pytest.mark.parametrize("c", [0.05, 2.0])
+def test_svm_reaches_the_optimum_of_the_squared_hinge(points, c):
+    df = points.withColumn("features", array_to_vector("v"))
+    stages = classifiers.linear_svm(df, Inputs("id"), c=c)
+    rows = df.orderBy("id").collect()
+    x = np.array([[*r.v, 1.0] for r in rows])
+    y = np.array([2 * r.label - 1 for r in rows])
+    w = next(s for s in stages if hasattr(s, "coefficients")).coefficients.toArray()
+    gradient = w - 2 * c * x.T @ (y * np.maximum(1 - y * (x @ w), 0))
+    assert np.abs(gradient).max() < 1e-6
+    scored = features.apply(stages, df).orderBy("id").select(vector_to_array("rawPrediction")[1], "prediction").collect()
+    np.testing.assert_allclose([r[0] for r in scored], x @ w, atol=1e-9)
+    assert [r[1] for r in scored] == (x @ w > 0).astype(float).tolist()
+
+
+def test_both_solvers_give_the_same_columns_and_rows(points):
+    df = points.withColumn("features", array_to_vector("v"))
+    found = []
+    for solver in classifiers.SOLVERS:
+        out = features.apply(classifiers.logistic_regression(df, Inputs("id"), tol=1e-12, solver=solver), df)
+        rows = out.orderBy("id").select(vector_to_array("rawPrediction")[1].alias("m"), vector_to_array("probability")[1].alias("p")).collect()
+        found.append((set(out.columns), np.array([[r.m, r.p] for r in rows])))
+    assert found[0][0] == found[1][0]
+    np.testing.assert_allclose(found[0][1], found[1][1], atol=1e-4)
+    with pytest.raises(ValueError, match="solver"):
+        classifiers.logistic_regression(df, Inputs("id"), solver="auto")
+
+
+def test_a_category_of_many_levels(spark):
+    df = spark.range(12_000).selectExpr("id", "concat('s', id % 5000) as c", "double(id) as n", "cast(id % 2 as int) as label")
+    inputs = Inputs("id", numbers=("n",), category="c")
+    stages, _ = features.metadata_stages(prepare(df, inputs), inputs)
+    assert features.apply(stages, prepare(df, inputs)).first().meta_levels.size == 5000
+
+
 @pytest.mark.parametrize(
     "name,parameters",
     [
