@@ -116,7 +116,7 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
 )
 def t6(spark: SparkSession, sf: str) -> DataFrame:
     df = spread_documents(spark, sf, "doc_id", "text")
-    return _long(tfidf.fit_tfidf(df, "text"), df)
+    return _long(tfidf.fit_tfidf(df, "text", prune=False), df)
 
 
 @query(

@@ -29,7 +29,6 @@ from lexiloom.session import materialise
 
 MAX_VOCABULARY = 1 << 18
 MAX_WORDS = 20_000
-MANY_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -161,20 +160,20 @@ class TfidfModel:
         return cells.join(F.broadcast(names), "position").select(key, "term", "weight")
 
 
-def fit_tfidf(df: DataFrame, text: str, rules: TermRules = SMALL, prune: bool | None = None) -> TfidfModel:
+def fit_tfidf(df: DataFrame, text: str, rules: TermRules = SMALL, prune: bool = True) -> TfidfModel:
     """Learn vocabulary and weights from the rows given, and from no others.
 
     ``prune`` counts n-grams of frequent words only, which gives the same
-    vocabulary (see ``_counts``); by default where there are many rows.
+    vocabulary (see ``_counts``), with a second reading of the texts.
     """
     rows = df.count()
     view = View(F.col("tf"), F.col("df"), rows)
-    counts = _counts(df.select(text), text, rules, term_counts, [view], _worth(rows, rules, prune))
+    counts = _counts(df.select(text), text, rules, term_counts, [view], _worth(rules, prune))
     return _model(counts, rows, rules)
 
 
 def fit_tfidf_by_fold(
-    df: DataFrame, text: str, fold: str, folds: int, rules: TermRules = SMALL, prune: bool | None = None
+    df: DataFrame, text: str, fold: str, folds: int, rules: TermRules = SMALL, prune: bool = True
 ) -> list[TfidfModel]:
     """One model per fold, learnt from the other folds; the texts are read once for all."""
     rows = {r[fold]: r["count"] for r in df.groupBy(fold).count().filter(F.col(fold).isNotNull()).collect()}
@@ -187,8 +186,7 @@ def fit_tfidf_by_fold(
     def count(terms: DataFrame) -> DataFrame:
         return term_counts_by_fold(terms, fold, folds)
 
-    total = sum(rows.values())
-    counts = _counts(df.select(text, fold), text, rules, count, views, _worth(total, rules, prune))
+    counts = _counts(df.select(text, fold), text, rules, count, views, _worth(rules, prune))
     counts = materialise(counts.filter(_any(v.df >= rules.min_df for v in views)), "term-counts")
     return [_model(counts.select("term", v.tf.alias("tf"), v.df.alias("df")), v.rows, rules) for v in views]
 
@@ -208,8 +206,8 @@ def few(words: Iterable[str]) -> set[str] | None:
     return words if 0 < len(words) <= MAX_WORDS else None
 
 
-def _worth(rows: int, rules: TermRules, prune: bool | None) -> bool:
-    return rules.low == 1 and rules.high > 1 and (rows >= MANY_ROWS if prune is None else prune)
+def _worth(rules: TermRules, prune: bool) -> bool:
+    return prune and rules.low == 1 and rules.high > 1
 
 
 def _counts(
