@@ -10,12 +10,25 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 HASH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
 BASE, SALT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most ``BATCH_BYTES``, unless the session has a setting of its own.
+
+    The setting only shapes the transfer. With Spark's default a batch of long texts
+    takes 64 MB several times over: in the JVM, on the way, and in each Python worker.
+    """
+    if spark.conf.get(BATCH_SETTING) in DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Block(NamedTuple):
     """Rows ``first`` to ``first + rows`` of a batch; ``offsets`` has rows + 1 entries."""
 

@@ -27,11 +27,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import Block, blocks, lists, ranges, runs_hash
+from lexiloom.llm.blocks import Block, blocks, bounded_batches, lists, ranges, runs_hash
 
-REMEMBERED = 1_000_000
+REMEMBERED = 1 << 19
 FOREST_BYTES = 256  # longer pieces have a tree of their own
-FOREST_CELLS = 1 << 20
+FOREST_CELLS = 1 << 18
 NONE = np.int64((1 << 63) - 1)
 LETTER, DIGIT, OTHER, SPACE = range(4)
 
@@ -331,6 +331,7 @@ class Codec:
     """Column functions of one vocabulary, which is broadcast once."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        bounded_batches(spark)
         self.shared = spark.sparkContext.broadcast(Vocabulary(ranks))
 
     def encode(self, text: str | Column) -> Column:

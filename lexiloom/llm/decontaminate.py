@@ -25,10 +25,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import ALPHANUMERIC, Block, Words, blocks, lists, ranges, runs_hash, words
+from lexiloom.llm.blocks import ALPHANUMERIC, Block, Words, blocks, bounded_batches, lists, ranges, runs_hash, words
 
 WINDOW = 10
 ITEM_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 FOUND = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -167,7 +168,7 @@ def matched(block: Block, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _find(items: Items, texts: pa.Array) -> pa.Array:
     n_words, n_hit, counts = [], [], []
     parts: list[list[np.ndarray]] = [[], [], [], []]
-    for block in blocks(texts):
+    for block in blocks(texts, most=SHARD_BYTES):
         row, place, length, test, w = matched(block, items)
         change = np.zeros(len(w.start) + 1, np.int64)
         np.add.at(change, place, 1)
@@ -226,6 +227,7 @@ def find_benchmark(
     the item. With several blocks of items, spans of all blocks are united.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     added = ("n_words", "n_hit", "items", "matches")
     out = docs.withColumn("__text", F.col(text).cast("string"))
     names: list[str] = []

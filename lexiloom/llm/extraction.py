@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.blocks import bounded_batches
+
 #: tags whose content is never text of the page
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title|select|textarea|button|datalist"
 TOKEN = re.compile(
@@ -55,6 +57,9 @@ BOILERPLATE_NAMES = frozenset(
     "promotion recommended related replies reply respond search share sharing sidebar sidenav signup social sponsor sponsored subscribe tags teaser toolbar "
     "topbar warning widget alert complementary contentinfo discussion".split()
 )
+#: parts that decide wherever they stand, and parts that take the meaning away
+ALWAYS = frozenset("ad ads advert adverts advertisement comment comments disqus".split())
+ABSENT = frozenset("with without has no not".split())
 CONTENT_NAMES = frozenset("article articlebody content entry main post story text".split())
 
 #: the classifier: fixed weights
@@ -82,13 +87,24 @@ class TextBlock(NamedTuple):
     outside: int
 
 
-def named(attributes: str) -> set[str]:
-    parts: set[str] = set()
+def named(attributes: str, inside: bool) -> int:
+    """What class, id and role say: -1 boilerplate, 1 content, 0 nothing.
+
+    The last part of a compound says what an element is, the first where it belongs;
+    "with-sidebar" says neither. A header inside an article heads the article.
+    """
+    found = 0
     for match in NAME.finditer(attributes):
-        value = match[1] or match[2] or match[3] or ""
-        parts.update(x.lower() for x in PART.findall(value))
-        parts.update(value.lower().split())
-    return parts
+        for value in (match[1] or match[2] or match[3] or "").split():
+            parts = [x.lower() for x in PART.findall(value)]
+            if not parts or ABSENT.intersection(parts):
+                continue
+            if inside and parts[-1] == "header":
+                continue
+            if ALWAYS.intersection(parts) or parts[-1] in BOILERPLATE_NAMES or parts[0] in BOILERPLATE_NAMES:
+                return -1
+            found |= not CONTENT_NAMES.isdisjoint(parts) or value.lower() in CONTENT_NAMES
+    return int(found)
 
 
 def text_blocks(page: str) -> list[TextBlock]:
@@ -97,6 +113,7 @@ def text_blocks(page: str) -> list[TextBlock]:
     opened: dict[str, int] = {}
     blocks: list[TextBlock] = []
     parts: list[str] = []
+    parents: dict[int, int] = {}
     linked, links, numbers, at = 0, 0, 0, 0
 
     def flush() -> None:
@@ -108,8 +125,6 @@ def text_blocks(page: str) -> list[TextBlock]:
             blocks.append(TextBlock(text, min(linked, len(text)), own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), own.number, up, parents.get(up, 0), own.inside, own.outside))
         parts, linked = [], 0
 
-    parents: dict[int, int] = {}
-
     def close(to: int) -> None:
         nonlocal links
         while len(stack) > to:
@@ -150,12 +165,11 @@ def text_blocks(page: str) -> list[TextBlock]:
         numbers += 1
         outside, inside = around.outside, around.inside
         if tag in BLOCK or attributes:
-            names = named(attributes) if attributes else set()
-            # a header inside an article heads the article
-            bad = tag in BOILERPLATE_TAGS or (tag == "header" and not inside) or (names & BOILERPLATE_NAMES and tag not in ("html", "body", "article", "main", "a", "b"))
+            name = named(attributes, inside) if attributes and tag not in ("html", "body") else 0
+            bad = name < 0 or tag in BOILERPLATE_TAGS or (tag == "header" and not inside)
             if bad or (attributes and HIDDEN.search(attributes)):
                 outside = outside or numbers
-            elif tag in CONTENT_TAGS or names & CONTENT_NAMES:
+            elif tag in CONTENT_TAGS or name > 0:
                 inside = True
         if tag in BLOCK:
             parent = next((e.number for e in reversed(stack) if e.tag in BLOCK), 0)
@@ -281,6 +295,7 @@ def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     """Add ``text``, the main text, and ``n_chars``, its code points."""
+    bounded_batches(pages.sparkSession)
     out = pages.withColumn("__main", F.arrow_udf(_extract, "string")(F.col(page).cast("string")))
     kept: list[Column] = [F.col(c) for c in pages.columns if c not in ("text", "n_chars")]
     return out.select(*kept, F.col("__main").alias("text"), F.length("__main").cast("bigint").alias("n_chars"))

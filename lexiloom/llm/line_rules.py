@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import BASE, LOWER, NOT_SPACE, Block, Words, blocks, byte_set, lists, mix, per_row, runs_hash, words
+from lexiloom.llm.blocks import BASE, LOWER, NOT_SPACE, Block, Words, blocks, bounded_batches, byte_set, lists, mix, per_row, runs_hash, words
 
 SYMBOLS = byte_set(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 REPEAT_WINDOW = 5
@@ -154,6 +154,7 @@ def without_lines(text: str | Column, removed: str | Column) -> Column:
 
 def frequent_lines(docs: DataFrame, text: str, host: str, max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Lines of distinct texts that are too frequent at their host: (__host, __text, line, words)."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64(host).alias("__host"), F.xxhash64(text).alias("__text"), F.col(text).cast("string").alias("__own"))
     lines = (
         keyed.select("__host", "__text", F.inline(text_lines("__own")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, lists, per_row, runs_hash, words
+from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, bounded_batches, per_row, runs_hash, words
 from lexiloom.session import materialise
 
 ORDER = 3
@@ -38,7 +38,7 @@ SYMBOLS = 257
 END = 256
 BITS = 9
 MIN_SHARE = 2.0**-16
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 END_TOKEN = 0
 FOLDS, HELD_OUT = 7, 2
 
@@ -147,6 +147,7 @@ def build(order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, min_share: float = MIN_SHARE) -> Model:
     """The trie of all texts of ``docs``; the texts are read once, and only kept contexts reach the driver."""
+    bounded_batches(docs.sparkSession)
     runs = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counter(order), "run long, n long")
     runs = materialise(runs.groupBy("run").agg(F.sum("n").alias("n")), "runs")
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -187,11 +188,10 @@ def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
     return F.arrow_udf(score, "double")
 
 
-def _tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Distinct tokens of each text with their number, the end token with 1."""
-    for texts in batches:
-        tokens, held, counts = [], [], []
-        for block in blocks(texts):
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct tokens of each text with their number, the end token with 1; one block of texts at a time."""
+    for batch in batches:
+        for block in blocks(batch.column("text")):
             w = words(block, NOT_SPACE)
             h = runs_hash(block.data, w.start, w.end)
             h[h == END_TOKEN] = 1
@@ -202,16 +202,16 @@ def _tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             head = np.ones(len(h), bool)
             head[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
             head = np.flatnonzero(head)
-            tokens.append(h[head])
-            held.append(np.diff(np.append(head, len(h))))
-            counts.append(np.bincount(row[head], minlength=block.rows))
-        join = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, held, counts)]
-        values = pa.StructArray.from_arrays([pa.array(join[0].view(np.int64)), pa.array(join[1].astype(np.int32))], names=["token", "tf"])
-        yield lists(values, join[2])
+            at = pa.array(block.first + row[head])
+            keys = [batch.column(c).take(at) for c in ("__id", "__hash", "__held")]
+            counts = np.diff(np.append(head, len(h))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(h[head].view(np.int64)), pa.array(counts)], names=["__id", "__hash", "__held", "token", "tf"])
 
 
-def text_tokens(text: str | Column) -> Column:
-    return F.arrow_udf(_tokens, "array<struct<token:bigint,tf:int>>")(text)
+def text_tokens(keyed: DataFrame) -> DataFrame:
+    """(__id, __hash, __held, text) to (__id, __hash, __held, token, tf)."""
+    kind = keyed.schema["__id"].dataType.simpleString()
+    return keyed.mapInArrow(_token_rows, f"__id {kind}, __hash long, __held boolean, token long, tf int")
 
 
 def _token_numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -229,7 +229,7 @@ def _token_numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def unigram_scores(keyed: DataFrame) -> DataFrame:
     """(__id, __hash, __held, text) to one row per (__id, __hash): n_known, train_tokens, base_score."""
-    tokens = keyed.select("__id", "__hash", "__held", F.inline(text_tokens("text")))
+    tokens = text_tokens(keyed)
     counts = materialise(tokens.where(~F.col("__held")).groupBy("token").agg(F.sum("tf").alias("c")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = F.coalesce("c", F.lit(0))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, ranges, words
+from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, bounded_batches, ranges, words
 from lexiloom.llm.components import stars
 from lexiloom.session import materialise
 
@@ -194,6 +194,7 @@ def node_components(nodes: DataFrame, radius: int = RADIUS, kept: int = KEPT) ->
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, kept: int = KEPT) -> DataFrame:
     """One row for each row: ``doc_id``, ``fingerprint`` (hex), ``component_id``; the texts are read once."""
+    bounded_batches(docs.sparkSession)
     rows = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text).cast("string")).alias("fp")), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = materialise(nodes.join(node_components(nodes, radius, kept), "fp"), "roots")
@@ -209,6 +210,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius
 
     A row is known by its id and the hash of its text; of rows equal in both, one stays.
     """
+    bounded_batches(docs.sparkSession)
     key = (F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"))
     rows = materialise(docs.select(*key, fingerprint(F.col(text).cast("string")).alias("fp")), "fingerprints")
     order = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import lists
+from lexiloom.llm.blocks import bounded_batches, lists
 from lexiloom.session import materialise
 
 WIDTH = 2  # bytes of an identifier, little-endian
@@ -107,6 +107,7 @@ def _separators(separator: int, width: int) -> Callable[[Iterator[pa.Array]], It
 
 def count_tokens(blocks: DataFrame, separator: int, width: int = WIDTH) -> DataFrame:
     """(file, block, data) to one row per document: file, ordinal in it, start, n_tokens, ended."""
+    bounded_batches(blocks.sparkSession)
     scan = F.arrow_udf(_separators(separator, width), "struct<tokens:bigint,at:array<int>>")
     found = materialise(blocks.select("file", "block", scan("data").alias("s")).select("file", "block", "s.tokens", "s.at"), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

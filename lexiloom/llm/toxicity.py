@@ -13,8 +13,8 @@ row-local over whole texts.
 
 Defined results: a null, empty or wordless text scores the bias alone; an id with
 several labels counts as 1 if any is 1; null labels, and labels of ids without a
-text, are not examples; repeated rows are repeated examples. Without any example
-the score is the prior 0.01 everywhere.
+row, are not examples; an id with several rows is one example, the text of least
+hash. Without any example the score is the prior 0.01 everywhere.
 """
 
 from collections.abc import Callable, Iterator
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import ALPHANUMERIC, Block, blocks, lists, mix, runs_hash, words
+from lexiloom.llm.blocks import ALPHANUMERIC, Block, blocks, bounded_batches, lists, mix, runs_hash, words
 from lexiloom.session import materialise
 
 BITS = 20
@@ -104,9 +104,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, la
     n = known.count()
     if n > sample:
         # a hash is below the bound for sample / n of the ids: what is broadcast does not grow with the table
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) < int((1 << 40) * sample / n))
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
-    rows = texts.join(F.broadcast(known), "__id")
+    # one text for each id: an id that a third of the rows share does not widen the sample
+    rows = texts.join(F.broadcast(known), "__id").groupBy("__id").agg(
+        F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("label").alias("label")
+    )
     found = F.arrow_udf(_coordinate_sets, "array<int>")("__text")
     return rows.select(F.xxhash64("__id", "__text").alias("order"), "label", found.alias("coordinates"))
 
@@ -124,6 +127,7 @@ def fit(
     l1: float = L1,
     l2: float = L2,
 ) -> Model:
+    bounded_batches(docs.sparkSession)
     rows = materialise(training_rows(docs, labels, text, doc_id, label, sample), "toxic-training")
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (positive + 0.01) / (total + 1)
@@ -160,6 +164,7 @@ def block_scores(block: Block, dense: np.ndarray, bias: float) -> np.ndarray:
 
 def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
     """Column function: text to the probability of label 1."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

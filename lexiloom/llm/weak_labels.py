@@ -5,7 +5,7 @@ known; expectation-maximisation estimates, for each labeller, how often it casts
 each vote on good and on bad texts, together with the share of bad texts. Votes are
 counted by pattern in Spark, and there are at most ``3 ** labellers`` patterns at any
 corpus size, so EM runs over all texts in a few numbers. The posteriors of a bounded
-sample (``SAMPLE``, by hash) are the soft targets of a logistic scorer over hashed
+sample of distinct texts (``SAMPLE``, by hash) are the soft targets of a logistic scorer over hashed
 word shapes and pairs of shapes, which then judges every text. No label is read.
 
 Defined results: null, empty and wordless texts are bad by rule (score 0); repeated
@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import NOT_SPACE, Block, Words, blocks, byte_set, mix, per_row, runs_hash, words
+from lexiloom.llm.blocks import NOT_SPACE, Block, Words, blocks, bounded_batches, byte_set, mix, per_row, runs_hash, words
 from lexiloom.session import materialise
 
 SAMPLE = 16_384
@@ -206,13 +206,14 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """All texts count for the accuracies; about ``sample`` of them, chosen by hash, train the scorer."""
+    bounded_batches(docs.sparkSession)
     own = F.col(text).cast("string")
     voted = materialise(docs.select(votes(own).alias("votes")), "votes")
     accuracies, posterior = fit_accuracies(voted)
     n = voted.count()
     chosen = docs.select(own.alias("text"), F.xxhash64(text, F.lit("sample")).alias("__order")).where(
-        F.pmod("__order", F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1)))
-    )
+        F.pmod("__order", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(n, 1)))
+    ).dropDuplicates(["__order"])  # copies of one text would widen the sample
     good = F.create_map(*(F.lit(x) for pair in posterior.items() for x in pair))[F.col("votes")]
     found = F.arrow_udf(_features, "array<double>")("text")
     rows = chosen.select(votes("text").alias("votes"), found.alias("f")).select("f", F.coalesce(good, F.lit(0.5)).alias("p"))
@@ -229,6 +230,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 
 def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
     """Column function: text to the probability that it is good."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -54,6 +54,8 @@ def test_given_pages(spark):
         ("<div id='cookie-notice'>We use cookies on this site.</div><form><p>Your name, please, and your age.</p></form><div><p>A long plain sentence without any hint of what it is.</p><p>And one more sentence that follows it closely here.</p></div>", "A long plain sentence without any hint of what it is. And one more sentence that follows it closely here."),
         ("<article><p>a<script>var x='</p>';</script>b</p><!-- c --><style>p{}</style><p title=\"a>b\">d &am e &copy;</p>", "ab d &am e ©"),
         ("<article>" + "<div>" * 5000 + "deep text" + "</b>" * 50 + "</div>" * 5000 + "</article>", "deep text"),
+        ("<div class='content-with-sidebar'><div class='post-body'><p>The long text of this page is here.</p></div><div class='post-comments'><p>I do not agree with this at all, sorry.</p></div><div class='sidebar-content'><p>More pages that may be of interest to you.</p></div></div>", "The long text of this page is here."),
+        ("<article><header class='article-header'><h1>Head</h1></header><p>Body of the text.</p></article><header><p>Site name, and a long slogan of it.</p></header>", "Head Body of the text."),
         ("<article><p>one<br>two</p><p hidden>not this one</p><pre>x\n  y</pre>", "one two x y"),
     ],
 )
