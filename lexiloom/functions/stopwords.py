@@ -1,6 +1,6 @@
 """French stop words; every operator that takes a list accepts another one."""
 
-# Common French function words.
+# Common French function words, the list of the public Snowball stemming project as NLTK ships it.
 FRENCH = tuple(
     """
     au aux avec ce ces dans de des du elle en et eux il ils je la le les leur lui ma mais me même
