@@ -84,6 +84,7 @@ def blocks(texts: pa.Array, lower: bool = True, most: int = BLOCK_BYTES) -> Iter
         own = data[offsets[first] : offsets[last]]
         yield Block(first, last - first, LOWER[own] if lower else own, offsets[first : last + 1] - offsets[first])
         first = last
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks: what they do not need goes back
 
 
 def words(block: Block, table: np.ndarray) -> Words:

@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,24 +133,34 @@ def fit(
     offset = float(np.log(prior / (1 - prior)))
     l1 *= max(1.0, np.sqrt(total * prior * (1 - prior)))  # chance alone moves a common coordinate's z about that far
 
-    def train(sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values("order", kind="stable")
-        found = [np.asarray(r, np.int32) for r in sample.pop("coordinates")]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, targets, sizes, flat = [], [], [], []
         held = np.zeros(1 << BITS, np.int32)
-        for r in found:
-            held[r] += 1
+        for batch in batches:
+            orders.append(batch.column("order").to_numpy())
+            targets.append(batch.column("label").to_numpy())
+            own = batch.column("coordinates")
+            sizes.append(np.diff(own.offsets.to_numpy()))
+            flat.append(own.flatten().to_numpy().astype(np.int32))
+            held += np.bincount(flat[-1], minlength=1 << BITS).astype(np.int32)
         # a coordinate's z moves by less than 1 for each of its examples and epochs: the rest cannot pass the L1 term
         keep = (held >= MIN_TEXTS) & (held * epochs > l1)
         at = np.flatnonzero(keep).astype(np.int32)
-        weight = ftrl([r[keep[r]] for r in found], sample["label"].to_numpy(), at, offset, epochs, alpha, beta, l1, l2)
+        rows: list[np.ndarray] = []
+        for n, own in zip(sizes, flat, strict=True):
+            rows += [r[keep[r]] for r in np.split(own, np.cumsum(n)[:-1])]
+        flat.clear()
+        turn = np.argsort(np.concatenate(orders), kind="stable") if orders else []
+        label = np.concatenate(targets)[turn] if orders else np.zeros(0)
+        weight = ftrl([rows[i] for i in turn], label, at, offset, epochs, alpha, beta, l1, l2)
         used = np.append(np.flatnonzero(weight[:-1]), len(at))
-        return pd.DataFrame({"at": np.append(at, BIAS)[used], "weight": weight[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BIAS)[used], pa.int32()), pa.array(weight[used])], names=["at", "weight"])
 
     # an online method has an order of examples: one task reads the bounded sample
-    weights = rows.groupBy().applyInPandas(train, "at int, weight double").toPandas().sort_values("at")
-    bias = float(weights.loc[weights["at"] == BIAS, "weight"].sum())
-    weights = weights[weights["at"] != BIAS]
-    return Model(weights["at"].to_numpy(np.int32), weights["weight"].to_numpy(np.float32), offset + bias)
+    found = rows.coalesce(1).mapInArrow(train, "at int, weight double").collect()
+    bias = sum(r.weight for r in found if r.at == BIAS)
+    found = sorted((r.at, r.weight) for r in found if r.at != BIAS)
+    return Model(np.array([r[0] for r in found], np.int32), np.array([r[1] for r in found], np.float32), offset + bias)
 
 
 def block_scores(block: Block, dense: np.ndarray, bias: float) -> np.ndarray:
