@@ -37,14 +37,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Ids of every text; texts whose ids do not decode to their bytes would show in ``round_trip``."""
     codec = bpe.Codec(spark, bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
-    encoded = docs.withColumn("token_ids", codec.encode("text")).withColumn("__decoded", codec.decode("token_ids"))
+    encoded = docs.withColumn("__r", codec.round_trip("text"))
     return encoded.select(
         "doc_id",
         "lang",
         "source",
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        "token_ids",
-        (F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
+        F.size("__r.ids").cast("bigint").alias("n_tokens"),
+        F.col("__r.ids").alias("token_ids"),
+        (F.col("__r.decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("round_trip"),
     )
 
 

@@ -327,6 +327,17 @@ def _decode(shared: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Arr
     return decode
 
 
+def _round_trip(shared: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    encode, decode = _encode(shared), _decode(shared)
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in encode(batches):
+            (decoded,) = decode(iter([ids]))
+            yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    return both
+
+
 class Codec:
     """Column functions of one vocabulary, which is broadcast once."""
 
@@ -338,6 +349,10 @@ class Codec:
         """Text to array of token ids."""
         return F.arrow_udf(_encode(self.shared), "array<int>")(text)
 
+    def round_trip(self, text: str | Column) -> Column:
+        """Text to its ids and to the bytes that these ids decode to, in one Python worker."""
+        return F.arrow_udf(_round_trip(self.shared), "struct<ids:array<int>,decoded:binary>")(text)
+
     def decode(self, tokens: str | Column) -> Column:
         """Array of token ids to bytes; a null array has no bytes."""
         return F.arrow_udf(_decode(self.shared), "binary")(tokens)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, bounded_batches, per_row, runs_hash, words
+from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, bounded_batches, runs_hash, words
 from lexiloom.session import materialise
 
 ORDER = 3
@@ -214,21 +214,8 @@ def text_tokens(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_token_rows, f"__id {kind}, __hash long, __held boolean, token long, tf int")
 
 
-def _token_numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        parts = []
-        for b in blocks(texts):
-            inside = NOT_SPACE[b.data]
-            first = inside.copy()
-            first[1:] &= ~inside[:-1]
-            cut = b.offsets[(b.offsets > 0) & (b.offsets < len(inside))]
-            first[cut] = inside[cut]
-            parts.append(per_row(first, b.offsets) + 1)
-        yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-
-
 def unigram_scores(keyed: DataFrame) -> DataFrame:
-    """(__id, __hash, __held, text) to one row per (__id, __hash): n_known, train_tokens, base_score."""
+    """(__id, __hash, __held, text) to one row per (__id, __hash): n_tokens, n_known, train_tokens, base_score."""
     tokens = text_tokens(keyed)
     counts = materialise(tokens.where(~F.col("__held")).groupBy("token").agg(F.sum("tf").alias("c")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -236,13 +223,14 @@ def unigram_scores(keyed: DataFrame) -> DataFrame:
     cost = F.log10((known + 1) / F.lit(float(total + distinct + 1)))
     rows = tokens.join(counts.hint("shuffle_hash"), "token", "left").groupBy("__id", "__hash").agg(
         F.sum(F.when(F.col("token") == END_TOKEN, 1).otherwise(0)).alias("copies"),
+        F.sum("tf").alias("n_tokens"),
         F.sum(F.when(known > 0, F.col("tf")).otherwise(0)).alias("n_known"),
         F.sum(cost * F.col("tf")).alias("base_score"),
     )
     return rows.select(
         "__id",
         "__hash",
-        (F.col("n_known") / F.col("copies")).cast("bigint").alias("n_known"),
+        *((F.col(n) / F.col("copies")).cast("bigint").alias(n) for n in ("n_tokens", "n_known")),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base_score") / F.col("copies")).alias("base_score"),
     )
@@ -258,14 +246,14 @@ def score_texts(
     score = scorer(docs, fit(keyed.where(~F.col("__held")), order=order, min_share=min_share))
     added = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     rows = docs.withColumns(
-        {"__id": F.col(doc_id), "__hash": F.xxhash64(text), "__held": held, "__n": F.arrow_udf(_token_numbers, "long")(own), "__score": score(own)}
+        {"__id": F.col(doc_id), "__hash": F.xxhash64(text), "__held": held, "__score": score(own)}
     )
     base = unigram_scores(keyed).withColumnsRenamed({"__id": "__of", "__hash": "__of_hash"})
     same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__of_hash"))
     return rows.drop(*added).join(base, same).select(
         *(F.col(c) for c in docs.columns if c not in added),
         F.col("__held").alias("held_out"),
-        F.col("__n").alias("n_tokens"),
+        "n_tokens",
         "n_known",
         "train_tokens",
         "base_score",

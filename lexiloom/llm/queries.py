@@ -102,8 +102,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 @query()
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     codec = bpe.Codec(spark, bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
-    docs = table(spark, folder, "documents").select("doc_id", codec.encode("text").alias("ids"))
-    return docs.withColumn("decoded", codec.decode("ids")).select(
+    docs = table(spark, folder, "documents").select("doc_id", codec.round_trip("text").alias("r")).select("doc_id", "r.*")
+    return docs.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         hex_of_list("ids").alias("ids_sha256"),
@@ -111,58 +111,13 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w FROM documents),
-lines AS (SELECT doc_id, source, t, line, {LOWER_SQL.replace("text", "line", 1)} AS low FROM
-          (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD_SQL}')),
-normal AS (SELECT doc_id, source, t, line, array_to_string(regexp_extract_all(low, '{WORD_SQL}'), ' ') AS norm,
-                  len(regexp_extract_all(low, '{WORD_SQL}')) AS n FROM lines),
-texts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
-frequent AS (SELECT source, norm FROM normal JOIN texts USING (source) GROUP BY source, norm
-             HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) > any_value(texts) * 0.02::DOUBLE),
-lost AS (SELECT doc_id, sum(n) AS lost FROM normal JOIN frequent USING (source, norm) GROUP BY doc_id),
-again AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM normal GROUP BY doc_id),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
-c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
-             coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words
-      FROM d LEFT JOIN again USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND lost_words <= n_words * 0.5::DOUBLE AND n_words - lost_words >= 10 AS kept FROM c
-"""
-)
-def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return line_rules.line_rules(docs, host="source").select("doc_id", *line_rules.COUNTS, "base_failed", "kept", "lost_words")
-
-
-@query()
-def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return toxicity.score_texts(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
-
-
-@query()
-def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return ppm.score_texts(docs).drop("text")
-
-
-@query()
-def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
-    return extraction.extract(table(spark, folder, "pages")).drop("html")
-
 END_OF_DOCUMENT = 50256
 
 
 @query()
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     codec = bpe.Codec(spark, bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
-    docs = table(spark, folder, "documents").select("doc_id", codec.encode("text").alias("ids"))
-    blocks = token_files.write_blocks(docs, "doc_id", "ids", END_OF_DOCUMENT)
+    blocks = token_files.write_texts(table(spark, folder, "documents"), "doc_id", "text", codec, END_OF_DOCUMENT)
     return token_files.named_counts(blocks, END_OF_DOCUMENT).select("doc_id", "n_tokens")
 
 

@@ -16,11 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.llm.blocks import blocks as texts_in_blocks
 from lexiloom.llm.blocks import bounded_batches, lists
+from lexiloom.llm.bpe import Codec, Encoder
 from lexiloom.session import materialise
 
 WIDTH = 2  # bytes of an identifier, little-endian
@@ -41,7 +43,19 @@ def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS
     )
 
 
-def _writer(separator: int, width: int, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _as_tokens(batch: pa.RecordBatch, encoder: Encoder | None) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids of documents, their tokens one after another, and where each begins; texts are encoded block by block."""
+    ids, column = batch.column(0).to_pylist(), batch.column(1)
+    if encoder is None:
+        offsets = column.offsets.to_numpy()
+        yield ids, column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+        return
+    for block in texts_in_blocks(column, lower=False):
+        flat, counts = encoder.encode(block)
+        yield ids[block.first : block.first + block.rows], flat, np.concatenate(([0], np.cumsum(counts)))
+
+
+def _writer(separator: int, width: int, block_tokens: int, vocabulary: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = np.dtype(f"<u{width}")
 
     def block(number: int, tokens: np.ndarray, first: int, ids: list) -> pa.RecordBatch:
@@ -53,12 +67,10 @@ def _writer(separator: int, width: int, block_tokens: int) -> Callable[[Iterator
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, names, ends, held, number, first = [], [], [], 0, 0, 0
-        for batch in batches:
-            ids, tokens = batch.column(0).to_pylist(), batch.column(1)
-            offsets = tokens.offsets.to_numpy()
-            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+        encoder = None if vocabulary is None else Encoder(vocabulary.value)
+        for ids, flat, offsets in (part for batch in batches for part in _as_tokens(batch, encoder)):
             for i, doc in enumerate(ids):
-                own = flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]]
+                own = flat[offsets[i] : offsets[i + 1]]
                 if len(own) and (own.min() < 0 or own.max() >= 1 << 8 * width or (own == separator).any()):
                     raise ValueError("an identifier is the separator or wider than the file")
                 waiting += [own, np.array([separator])]
@@ -77,6 +89,9 @@ def _writer(separator: int, width: int, block_tokens: int) -> Callable[[Iterator
     return write
 
 
+BLOCKS_SQL = "file long, block long, data binary, first long, doc_ids array<long>"
+
+
 def write_blocks(
     tokens: DataFrame, doc_id: str, ids: str, separator: int, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
@@ -84,8 +99,18 @@ def write_blocks(
 
     Beside the data stands which documents end in a block (``first`` ordinal, ``doc_ids``); the scan does not read that.
     """
+    bounded_batches(tokens.sparkSession)
     rows = tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
-    return materialise(rows.mapInArrow(_writer(separator, width, block_tokens), "file long, block long, data binary, first long, doc_ids array<long>"), "token-blocks")
+    return materialise(rows.mapInArrow(_writer(separator, width, block_tokens), BLOCKS_SQL), "token-blocks")
+
+
+def write_texts(
+    docs: DataFrame, doc_id: str, text: str, codec: Codec, separator: int, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
+    """The same from texts, encoded in the task that writes them."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return materialise(rows.mapInArrow(_writer(separator, width, block_tokens, codec.shared), BLOCKS_SQL), "token-blocks")
 
 
 def _separators(separator: int, width: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:

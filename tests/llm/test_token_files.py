@@ -50,6 +50,18 @@ def test_documents_find_their_names(spark):
         assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=repr) == sorted(((i, len(t or ())) for i, t in docs), key=repr)
 
 
+def test_texts_are_encoded_as_they_are_written(spark):
+    import public_tokenizers as P
+
+    from lexiloom.llm import bpe
+
+    codec = bpe.Codec(spark, bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else f"Some words, {i} times " * (i % 5)) for i in range(60)], "doc_id long, text string").repartition(2)
+    want = {r.doc_id: r.n for r in df.select("doc_id", token_files.F.size(codec.encode("text")).alias("n")).collect()}
+    blocks = token_files.write_texts(df, "doc_id", "text", codec, 50256, block_tokens=100)
+    assert {r.doc_id: r.n_tokens for r in token_files.named_counts(blocks, 50256).collect()} == want
+
+
 def test_empty_and_wrong_tables(spark):
     df = spark.createDataFrame([], "doc_id long, ids array<int>")
     assert token_files.named_counts(token_files.write_blocks(df, "doc_id", "ids", EOD), EOD).collect() == []
