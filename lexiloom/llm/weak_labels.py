@@ -191,11 +191,14 @@ def block_features(block: Block) -> np.ndarray:
     return np.bincount(rows * BUCKETS + found.astype(np.int64), weights=weight, minlength=block.rows * BUCKETS).reshape(-1, BUCKETS)
 
 
-def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _examples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Votes and features together: one Python worker for each task."""
     for texts in batches:
+        (votes,) = _votes(iter([texts]))
         parts = [block_features(b).ravel() for b in blocks(texts, lower=False)]
         flat = np.concatenate(parts) if parts else np.zeros(0)
-        yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BUCKETS), pa.int32()), pa.array(flat))
+        found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BUCKETS), pa.int32()), pa.array(flat))
+        yield pa.StructArray.from_arrays([votes, found], names=["votes", "f"])
 
 
 class Model(NamedTuple):
@@ -215,8 +218,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         F.pmod("__order", F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(n, 1)))
     ).dropDuplicates(["__order"])  # copies of one text would widen the sample
     good = F.create_map(*(F.lit(x) for pair in posterior.items() for x in pair))[F.col("votes")]
-    found = F.arrow_udf(_features, "array<double>")("text")
-    rows = chosen.select(votes("text").alias("votes"), found.alias("f")).select("f", F.coalesce(good, F.lit(0.5)).alias("p"))
+    examples = F.arrow_udf(_examples, "struct<votes:string,f:array<double>>")("text")
+    rows = chosen.select(examples.alias("e")).select("e.*").select("f", F.coalesce(good, F.lit(0.5)).alias("p"))
     # a soft target is two rows, one of each class
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w"))))
     train = rows.select(array_to_vector("f").alias("features"), sides.alias("s")).select("features", "s.label", "s.w").where("w > 0.001")
@@ -228,19 +231,34 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     return Model(model.coefficients.toArray(), float(model.intercept), accuracies)
 
 
+def block_scores(block: Block, model: Model) -> np.ndarray:
+    found = 1 / (1 + np.exp(-np.clip(block_features(block) @ model.weight + model.bias, -60, 60)))
+    found[per_row(NOT_SPACE[block.data], block.offsets) == 0] = 0.0
+    return found
+
+
+def judge(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
+    """Column function: text to its votes and the probability that it is good."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            (votes,) = _votes(iter([texts]))
+            parts = [block_scores(b, shared.value) for b in blocks(texts, lower=False)]
+            yield pa.StructArray.from_arrays([votes, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["votes", "score"])
+
+    return F.arrow_udf(score, "struct<votes:string,score:double>")
+
+
 def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
     """Column function: text to the probability that it is good."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
         for texts in batches:
-            parts = []
-            for b in blocks(texts, lower=False):
-                found = 1 / (1 + np.exp(-np.clip(block_features(b) @ own.weight + own.bias, -60, 60)))
-                found[per_row(NOT_SPACE[b.data], b.offsets) == 0] = 0.0
-                parts.append(found)
+            parts = [block_scores(b, shared.value) for b in blocks(texts, lower=False)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return F.arrow_udf(score, "double")
@@ -248,15 +266,14 @@ def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
 
 def score_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Add ``votes``, ``quality_score`` and ``good``."""
-    own = F.col(text).cast("string")
-    score = scorer(docs, fit(docs, text, sample))
+    judged = judge(docs, fit(docs, text, sample))
     added = ("votes", "quality_score", "good")
-    out = docs.withColumns({"__votes": votes(own), "__score": score(own)})
+    out = docs.withColumn("__judged", judged(F.col(text).cast("string")))
     return out.select(
         *(F.col(c) for c in docs.columns if c not in added),
-        F.col("__votes").alias("votes"),
-        F.col("__score").alias("quality_score"),
-        (F.col("__score") >= THRESHOLD).alias("good"),
+        F.col("__judged.votes").alias("votes"),
+        F.col("__judged.score").alias("quality_score"),
+        (F.col("__judged.score") >= THRESHOLD).alias("good"),
     )
 
 
