@@ -7,12 +7,16 @@ context one byte shorter, where symbols that the longer one offers are excluded.
 Below order 0 all remaining symbols are equally likely. Every text ends with an end
 symbol, and begins in the context of end symbols.
 
-Counting: tasks count runs of ORDER + 1 symbols of all training texts, and Spark
-sums them. Shorter contexts are sums of longer ones. A context stays in the trie if
-it has at least ``MIN_SHARE`` of all symbols, so no order has more than 1 / MIN_SHARE
-contexts at any corpus size; that bounds what is broadcast. Since the trie is then
-fixed, the cost of each symbol in each context is worked out once, and scoring is
-one table lookup for a byte.
+Counting: tasks cut their texts into chunks of about ``CHUNK_BYTES``, and count the
+distinct runs of ORDER + 1 symbols of each chunk; Spark sums those of the training
+texts. Shorter contexts are sums of longer ones. Every counted context is part of the
+model (``min_share`` is 0), at any corpus size.
+
+Scoring: the symbols seen after a context were also seen after its suffixes, so the
+cost of a run follows from its own count, the sums of its context, and the row of the
+run one symbol shorter: one join and one window an order, in groups of at most 257
+rows. A run keeps the list of its chunks; its cost goes to each of them, ahead of the
+texts, and is looked up as the texts pass. Neither the driver nor a broadcast holds the model.
 
 The base counts tokens exactly: every distinct token of a text is one row, joined
 with the corpus counts by token. Nothing that grows with the vocabulary is broadcast.
@@ -27,20 +31,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.blocks import NOT_SPACE, Block, blocks, bounded_batches, runs_hash, words
 from lexiloom.session import materialise
 
-ORDER = 3
+ORDER = 5
 SYMBOLS = 257
 END = 256
 BITS = 9
-MIN_SHARE = 2.0**-16
-FLUSH = 1 << 20
+MIN_SHARE = 0.0
+CHUNK_BYTES = 32 << 20
+ROWS = 1 << 16
 END_TOKEN = 0
 FOLDS, HELD_OUT = 7, 2
+CHUNK_COLUMNS = ["chunk", "__id", "__hash", "text", "run", "n"]
 
 
 def symbol_runs(block: Block, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,26 +75,39 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return distinct, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def _counter(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def out(parts: list) -> pa.RecordBatch:
+def _chunks(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The texts, each with the number of its chunk, and after them the distinct runs of the chunk with their training counts."""
+
+    def run_rows(chunk: int, parts: list, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         keys, counts = merge_counts(parts)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["run", "n"])
+        for i in range(0, len(keys), ROWS):
+            own = keys[i : i + ROWS]
+            empty = [pa.nulls(len(own), t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), *empty, pa.array(own), pa.array(counts[i : i + ROWS])], names=CHUNK_COLUMNS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, parts, kinds = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                symbols, _, at = symbol_runs(block, order)
-                parts.append(np.unique(packed(symbols, at, order), return_counts=True))
-                if len(parts) > 15:
+            kinds = [batch.schema.field(c).type for c in CHUNK_COLUMNS[1:4]]
+            for block in blocks(batch.column("text")):
+                symbols, start, at = symbol_runs(block, order)
+                keys, place = np.unique(packed(symbols, at, order), return_inverse=True)
+                held = batch.column("__held").slice(block.first, block.rows).to_numpy(zero_copy_only=False).astype(bool)
+                trained = np.repeat(~held, np.diff(start) - order)
+                parts.append((keys, np.bincount(place, weights=trained, minlength=len(keys)).astype(np.int64)))
+                if len(parts) > 3:
                     parts = [merge_counts(parts)]
-                    if len(parts[0][0]) > FLUSH:
-                        yield out(parts)
-                        parts = []
+                own = [batch.column(c).slice(block.first, block.rows) for c in CHUNK_COLUMNS[1:4]]
+                none = pa.nulls(block.rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(block.rows, chunk)), *own, none, none], names=CHUNK_COLUMNS)
+                size += len(block.data)
+                if size >= CHUNK_BYTES:
+                    yield from run_rows(chunk, parts, kinds)
+                    chunk, size, parts = chunk + 1, 0, []
         if parts:
-            yield out(parts)
+            yield from run_rows(chunk, parts, kinds)
 
-    return count
+    return rows
 
 
 class Model(NamedTuple):
@@ -128,7 +148,7 @@ def costs(keys: np.ndarray, order: int, levels: list[tuple[np.ndarray, np.ndarra
 
 
 def build(order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """``levels[k]``: kept contexts of k symbols, and the runs of k + 1 symbols in them with their counts, all ascending."""
+    """The costs of a small model in one table. ``levels[k]``: kept contexts of k symbols, and the runs of k + 1 symbols in them with their counts, all ascending."""
     used = np.unique(np.concatenate([np.zeros(0, np.int64), *((c >> (BITS * j)) & ((1 << BITS) - 1) for k, (c, _, _) in enumerate(levels) for j in range(k))]))
     code = np.full(SYMBOLS, len(used), np.int64)
     code[used] = np.arange(len(used))
@@ -145,47 +165,89 @@ def build(order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return Model(order, code, rows.ravel(), np.concatenate(tables))
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, min_share: float = MIN_SHARE) -> Model:
-    """The trie of all texts of ``docs``; the texts are read once, and only kept contexts reach the driver."""
-    bounded_batches(docs.sparkSession)
-    runs = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counter(order), "run long, n long")
-    runs = materialise(runs.groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
+def run_costs(runs: DataFrame, order: int, min_share: float = MIN_SHARE) -> DataFrame:
+    """(run, n) with one row for each run of order + 1 symbols in any text to (run, cost), log10 of its last symbol's probability.
+
+    ``deep`` is the cost of the last symbol where the context has not seen it, without the escape from that context.
+    """
+    least = (runs.agg(F.sum("n")).first()[0] or 0) * min_share if min_share else 0
+    n, lost = F.col("n"), F.col("all") < least
+    level = None
     for k in range(order + 1):
         gram = F.col("run").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1))
-        grams = runs.groupBy(gram.alias("gram")).agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("gram", BITS))
-        kept = grams.groupBy("context").agg(F.sum("n").alias("all")).where((F.col("all") >= total * min_share) | F.lit(k == 0))
-        found = grams.join(kept, "context").select("gram", "n").toPandas()
-        keys = found["gram"].to_numpy(np.int64)
-        by = np.argsort(keys)
-        keys, counts = keys[by], found["n"].to_numpy(np.int64)[by]
-        levels.append((np.unique(keys >> BITS) if k else np.zeros(1, np.int64), keys, counts))
-    return build(order, levels)
-
-
-def block_scores(block: Block, model: Model) -> np.ndarray:
-    symbols, start, at = symbol_runs(block, model.order)
-    coded = model.code[symbols]
-    width = round(len(model.rows) ** (1 / model.order)) if model.order else 1
-    context = np.zeros(len(at), np.int64)
-    for k in range(model.order, 0, -1):
-        context = context * width + coded[at - k]
-    cost = np.zeros(len(symbols))
-    cost[at] = model.table.ravel()[model.rows[context].astype(np.int64) * SYMBOLS + symbols[at]]
-    return np.add.reduceat(cost, start[:-1])
-
-
-def scorer(docs: DataFrame, model: Model) -> Callable[[str | Column], Column]:
-    """Column function: text to log10 of its probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [block_scores(b, shared.value) for b in blocks(texts)]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
-
-    return F.arrow_udf(score, "double")
+        grams = runs.select(F.col("run").alias("gram"), "n") if k == order else runs.groupBy(gram.alias("gram")).agg(F.sum("n").alias("n"))
+        if level is not None:
+            low = level.select(*(F.col(c).alias(f"low_{c}") for c in level.columns))
+            grams = grams.join(low, F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)) == F.col("low_gram"))
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        sums = {"all": F.sum("n").over(context), "kinds": F.sum((n > 0).cast("long")).over(context)}
+        if level is not None:
+            sums["taken"] = F.sum(F.when(n > 0, F.col("low_n")).otherwise(0)).over(context)
+        grams = grams.withColumns(sums)
+        if level is None:
+            deep = -F.log10(F.greatest(SYMBOLS - F.col("kinds"), F.lit(1)).cast("double"))
+        else:
+            if least:
+                grams = grams.withColumns({c: F.when(lost, 0).otherwise(F.col(c)) for c in ("n", "kinds", "taken", "all")})
+            left = F.col("low_all") - F.col("taken")
+            escapes = F.when(F.col("low_kinds") == SYMBOLS, 0).otherwise(F.col("low_kinds") - F.col("kinds"))
+            deep = (
+                F.when(left == 0, F.col("low_deep"))
+                .when(F.col("low_n") > 0, F.log10(F.col("low_n") / (left + escapes)))
+                .otherwise(F.log10(escapes / (left + escapes)) + F.col("low_deep"))
+            )
+        level = grams.select("gram", "n", "all", "kinds", deep.alias("deep"))
+    escapes = F.when(F.col("kinds") == SYMBOLS, 0).otherwise(F.col("kinds"))
+    whole = F.col("all") + escapes
+    cost = F.when(n > 0, F.log10(n / whole)).when(F.col("all") > 0, F.log10(escapes / whole) + F.col("deep")).otherwise(F.col("deep"))
+    return level.select(F.col("gram").alias("run"), cost.alias("cost"))
+
+
+def _scored(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by chunk, the costs of its runs in ascending order before its texts, to one score a text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, runs, costs = None, [], []
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            is_text = batch.column("run").is_null().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, len(chunks)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if chunks[a] != chunk:
+                    chunk, runs, costs = chunks[a], [], []
+                if not is_text[a]:
+                    runs.append(part.column("run").to_numpy().copy())
+                    costs.append(part.column("cost").to_numpy().copy())
+                    continue
+                if len(runs) > 1:
+                    runs, costs = [np.concatenate(runs)], [np.concatenate(costs)]
+                for block in blocks(part.column("text")):
+                    symbols, start, at = symbol_runs(block, order)
+                    keys, place = np.unique(packed(symbols, at, order), return_inverse=True)
+                    cost = np.zeros(len(symbols))
+                    cost[at] = costs[0][np.searchsorted(runs[0], keys)][place]
+                    own = [part.column(c).slice(block.first, block.rows) for c in ("__id", "__hash")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.add.reduceat(cost, start[:-1]))], names=["__id", "__hash", "score"])
+
+    return rows
+
+
+def ppm_scores(keyed: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+    """(__id, __hash, __held, text) to one row per (__id, __hash): log10 of the text's probability."""
+    bounded_batches(keyed.sparkSession)
+    kind = keyed.schema["__id"].dataType.simpleString()
+    chunks = materialise(keyed.mapInArrow(_chunks(order), f"chunk long, __id {kind}, __hash long, text string, run long, n long"), "chunks")
+    of_chunk = chunks.where(F.col("run").isNotNull())
+    runs = materialise(of_chunk.groupBy("run").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "runs")
+    costs = run_costs(runs.select("run", "n"), order, min_share).join(runs.select("run", "chunks"), "run")
+    costs = costs.select(F.explode("chunks").alias("chunk"), "run", "cost")
+    texts = chunks.where(F.col("run").isNull()).select("chunk", "__id", "__hash", "text")
+    rows = texts.unionByName(costs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("run"))
+    scores = rows.mapInArrow(_scored(order), f"__id {kind}, __hash long, score double")
+    return scores.groupBy("__id", "__hash").agg(F.first("score").alias("score"))
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +305,13 @@ def score_texts(
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     own = F.col(text).cast("string")
     keyed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"), held.alias("__held"), own.alias("text"))
-    score = scorer(docs, fit(keyed.where(~F.col("__held")), order=order, min_share=min_share))
     added = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    rows = docs.withColumns(
-        {"__id": F.col(doc_id), "__hash": F.xxhash64(text), "__held": held, "__score": score(own)}
-    )
+    rows = docs.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text), "__held": held})
     base = unigram_scores(keyed).withColumnsRenamed({"__id": "__of", "__hash": "__of_hash"})
+    scores = ppm_scores(keyed, order, min_share).withColumnsRenamed({"__id": "__in", "__hash": "__in_hash", "score": "__score"})
     same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__of_hash"))
-    return rows.drop(*added).join(base, same).select(
+    also = F.col("__of").eqNullSafe(F.col("__in")) & (F.col("__of_hash") == F.col("__in_hash"))
+    return rows.drop(*added).join(base.join(scores, also), same).select(
         *(F.col(c) for c in docs.columns if c not in added),
         F.col("__held").alias("held_out"),
         "n_tokens",

@@ -101,3 +101,16 @@ def test_pruning_keeps_a_distribution():
     levels[3] = tuple(x[:3] for x in levels[3])
     model = ppm.build(3, levels)
     assert np.allclose((10.0**model.table).sum(axis=1), 1, atol=1e-5)
+
+
+def test_rare_contexts_stay(spark):
+    """A context with a tiny share of all symbols predicts like any other, in chunks of any size."""
+    rare = "щука ловит рыбу"
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, "the cat sat on the mat, " * 800) for i in ids] + [(None, rare), (None, rare), (100, rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    follow = plain_model([t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], ppm.ORDER)
+    got = [r.score for r in ppm.score_texts(df).collect() if r.text == rare]
+    assert len(got) == 3
+    for score in got:
+        assert score == pytest.approx(plain_score(rare, follow, ppm.ORDER), rel=1e-5)
