@@ -12,7 +12,8 @@ Pages are independent rows: no shuffle, memory bounded by one batch of pages and
 page's blocks.
 
 Defined results: null, empty and textless pages give an empty text; unclosed tags end
-where the enclosing element or the page ends; unknown end tags are skipped; broken
+where the enclosing element or the page ends; a self-closed svg, and in XHTML any
+self-closed element without text of the page, ends where it stands; unknown end tags are skipped; broken
 character references stay as they are; repeated rows get the same text.
 """
 
@@ -28,12 +29,24 @@ from pyspark.sql import functions as F
 from lexiloom.llm.blocks import bounded_batches
 
 #: tags whose content is never text of the page
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|title|select|textarea|button|datalist"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+SILENT = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|title|select|textarea|button|datalist"
+#: attributes up to a slash that ends the element; the slash of an unquoted value does not
+SELF_CLOSED = r"""(?=[\s/])(?:[\s/]*+[^\s"'=<>/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+\s*+/>"""
+
+
+def tokens(self_closed: str) -> re.Pattern[str]:
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?:{self_closed}){SELF_CLOSED}"
+        rf"|<({SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+        r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
+        re.S | re.I,
+    )
+
+
+#: HTML lets only foreign elements end themselves, XHTML all
+TOKEN, XHTML_TOKEN = tokens("svg"), tokens(SILENT)
+XHTML = re.compile(r"\A\W*<\?xml\b|<!doctype[^>]*\bxhtml\b|<html\b[^>]*\bxmlns\s*=", re.I)
+HEAD = 4096
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true|(?:^|\s)hidden(?:\s|=|/|$)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -132,7 +145,7 @@ def text_blocks(page: str) -> list[TextBlock]:
             opened[gone.tag] -= 1
             links -= gone.tag == "a"
 
-    for token in TOKEN.finditer(page):
+    for token in (XHTML_TOKEN if XHTML.search(page, 0, HEAD) else TOKEN).finditer(page):
         if token.start() > at:
             raw = html.unescape(page[at : token.start()])
             parts.append(raw)

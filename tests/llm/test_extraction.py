@@ -63,6 +63,24 @@ def test_pages(page, text):
     assert extraction.main_text(page) == text
 
 
+XHTML = '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><body>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<svg class='icon' width=\"1\"/><article><p>All of this text stays.</p></article>", "All of this text stays."),
+        ("<article><p>One <svg/>two.</p><p>Three <svg width=9 />four.</p><svg><text>no</text></svg></article>", "One two. Three four."),
+        ("<article><p>One <svg width=9/>no</svg>two.</p></article>", "One two."),
+        ("<article><p>One <math/>two.</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "One two. Where x=2 holds."),
+        (XHTML + "<script src='a.js'/><iframe src=\"b\"/><article><p>One <object/>two <canvas id='c' />three.</p></article></body></html>", "One two three."),
+        ("<article><p>One <iframe src='b'/>no</iframe>two.</p></article>", "One two."),
+    ],
+)
+def test_self_closed_elements(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_empty_table_and_repeats(spark):
     assert extraction.extract(spark.createDataFrame([], "html string")).collect() == []
     df = spark.createDataFrame([("<article>x y z</article>", 1)] * 2 + [(None, 2)], "html string, text int")
