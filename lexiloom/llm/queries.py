@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls, weak_labels
+from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls, warc, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +169,24 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return weak_labels.score_quality(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+#: base 32 of a SHA-1: five hex digits are four digits
+_BASE32_SQL = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1) FOR s IN [15, 10, 5, 0]], '')"
+
+
+@query(
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT t, sha1(t) AS h, max(page_id) AS best FROM p GROUP BY t),
+b AS (SELECT t, h, best, [('0x' || substr(h, 5 * i + 1, 5))::BIGINT FOR i IN range(8)] AS vs FROM d),
+c AS (SELECT t, best, array_to_string([{_BASE32_SQL} FOR v IN vs], '') AS digest FROM b)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < best THEN best END AS refers_to
+FROM p JOIN c USING (t)
+"""
+)
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

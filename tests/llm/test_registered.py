@@ -13,10 +13,11 @@ NAMES = {
     "op8_simhash",
     "op9_quality_rules",
     "op10_lm_scores",
+    "op13_warc",
     "pipeline",
 }
 
 
 def test_all_operators_are_registered():
     assert NAMES <= set(entry.queries())
-    assert {"op3_url_filter", "op4_decontamination", "op9_quality_rules"} <= set(entry.oracle_sql())
+    assert {"op3_url_filter", "op4_decontamination", "op9_quality_rules", "op13_warc"} <= set(entry.oracle_sql())
