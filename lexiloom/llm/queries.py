@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontaminate, extraction, line_rules, ppm, simhash, token_files, toxicity, urls, warc, weak_labels
+from lexiloom.llm import bpe, decontaminate, extraction, line_rules, phrases, ppm, simhash, token_files, toxicity, urls, warc, weak_labels, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,6 +171,35 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return weak_labels.score_quality(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
+@query()
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query(
+    rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, unnest(flatten([[w[i:i + k] FOR i IN range(1, len(w) - k + 1)] FOR k IN range(5)])) AS g FROM p),
+f AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, g, f AS a, n FROM f JOIN n USING (lang) WHERE k > 1),
+i AS (SELECT lang, s AS g, max(a) AS inside
+      FROM (SELECT lang, a, unnest(flatten([[g[i:i + k] FOR i IN range(1, len(g) - k + 1)] FOR k IN range(1, len(g) - 1)])) AS s FROM c) GROUP BY lang, s),
+kept AS (SELECT c.* FROM c LEFT JOIN i USING (lang, g) WHERE inside IS NULL OR 100 * inside < 100 * a),
+cut AS (SELECT lang, g, a, n, unnest(range(1, len(g))) AS k FROM kept),
+s AS (SELECT cut.lang, cut.g, a, n, cut.k, x.f AS l, y.f AS r, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:cut.k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[cut.k + 1:]),
+low AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, n, l, r, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low
+QUALIFY rank <= 2000
+"""
+)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 #: base 32 of a SHA-1: five hex digits are four digits
 _BASE32_SQL = "array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1) FOR s IN [15, 10, 5, 0]], '')"
 

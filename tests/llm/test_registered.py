@@ -13,6 +13,8 @@ NAMES = {
     "op8_simhash",
     "op9_quality_rules",
     "op10_lm_scores",
+    "op11_whitening",
+    "op12_collocations",
     "op13_warc",
     "pipeline",
 }
@@ -20,4 +22,4 @@ NAMES = {
 
 def test_all_operators_are_registered():
     assert NAMES <= set(entry.queries())
-    assert {"op3_url_filter", "op4_decontamination", "op9_quality_rules", "op13_warc"} <= set(entry.oracle_sql())
+    assert {"op3_url_filter", "op4_decontamination", "op9_quality_rules", "op12_collocations", "op13_warc"} <= set(entry.oracle_sql())
