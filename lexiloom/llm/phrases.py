@@ -6,16 +6,16 @@ pieces. A candidate has ``f >= min_count``. Cutting it into a first and a remain
 and r gives ``floor(1000 * a * n / (l * r))``; its score is the lowest of its cuts. A candidate inside a
 longer one that is as frequent (``percent`` of it) is dropped.
 
-How: words are counted first. A phrase with a word below ``min_count`` cannot be a candidate, so such
-words end a window like a piece end does; tasks know the frequent words by a bitmap of fixed size, whose
-false hits cost work and change nothing. From each position a task takes the window of up to five
-frequent words and counts it in a HAT-trie over word ids: the first id leads to a hash container of
-suffixes, and a container that outgrows ``BURST`` becomes a node with a container for each second id.
-When a task holds ``ENTRIES`` suffixes, whole subtrees, largest first, leave as sorted runs, packed with
-their words. Runs go to the partition of their prefix (the first three words, and the pairs of first two
-apart) and are merged there; the sums of a prefix over its sorted windows are the frequencies of the
-shorter phrases. Only phrases at ``min_count`` leave the merge; everything after is joins on (language,
-phrase), in decimals where products pass 64 bits.
+How: words are counted first, then pairs of words, then longer phrases. A phrase with a word or a pair
+below ``min_count`` cannot be a candidate, so such words, and then such pairs, end a window like a piece
+end does; tasks know the frequent ones by bitmaps of fixed size, whose false hits cost work and change
+nothing. From each position a task takes the window of up to five words and counts it in a HAT-trie over
+word ids: the first id leads to a hash container of suffixes, and a container that outgrows ``BURST``
+becomes a node with a container for each second id. When a task holds ``ENTRIES`` suffixes, whole
+subtrees, largest first, leave as sorted runs, packed with their words. Runs go to the partition of their
+prefix (both words of a pair, the first three of a window) and are merged there; the sums of a prefix over
+its sorted windows are the frequencies of the shorter phrases. Only phrases at ``min_count`` leave the
+merge; everything after is joins on (language, phrase), in decimals where products pass 64 bits.
 
 Skew: a passage in a third of all rows is one entry of each run. A language is split over all prefix
 partitions, joins carry the phrase, its word total is repeated over ``SALTS``, and the first ``most`` of
@@ -48,7 +48,8 @@ BURST, ENTRIES, CHUNK = 1 << 13, 1 << 20, 1 << 19
 IDS = 1 << 16
 #: positions for each prefix partition, and windows a merge holds before it adds them up
 POSITIONS, PENDING = 3_000_000, 1_000_000
-BITS = 1 << 24
+#: flags for words and for pairs
+BITS, PAIR_BITS = 1 << 24, 1 << 26
 BITMAP = 32768
 SALTS = 64
 
@@ -103,29 +104,43 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _hash_column(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for langs, texts in batches:
-        out = np.zeros(len(langs), np.int64)
-        encoded = langs.dictionary_encode()
-        codes = encoded.indices.to_numpy(zero_copy_only=False)
-        for code, lang in enumerate(encoded.dictionary.to_pylist()):
-            own = texts.filter(pa.array(codes == code)).cast(pa.large_string()).cast(pa.large_binary())
-            out[codes == code] = (value_hashes(own, lang) % np.uint64(BITS)).astype(np.int64)
-        yield pa.array(out)
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(BASE) + second)
 
 
-def frequent_bitmap(counts: DataFrame, min_count: int) -> np.ndarray:
-    """One of ``BITS`` flags is set for each frequent word: 2 MB, however many words there are."""
-    bit = F.arrow_udf(_hash_column, "bigint")("lang", "word") + 1
-    bits = counts.where(F.col("f") >= min_count).select(bit.alias("bit"))
+def _bit_column(size: int):
+    """Flag number of one word, or of a pair of words, of a language."""
+
+    def bits(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for langs, *texts in batches:
+            out = np.zeros(len(langs), np.int64)
+            encoded = langs.dictionary_encode()
+            codes = encoded.indices.to_numpy(zero_copy_only=False)
+            for code, lang in enumerate(encoded.dictionary.to_pylist()):
+                mask = pa.array(codes == code)
+                h = [value_hashes(t.filter(mask).cast(pa.large_string()).cast(pa.large_binary()), lang) for t in texts]
+                out[codes == code] = ((h[0] if len(h) == 1 else pair_hashes(*h)) % np.uint64(size)).astype(np.int64)
+            yield pa.array(out)
+
+    return F.arrow_udf(bits, "bigint")
+
+
+def frequent_bitmap(counts: DataFrame, columns: list[str], size: int) -> np.ndarray:
+    """One of ``size`` flags is set for each row: a few MB, however many rows there are."""
+    bits = counts.select((_bit_column(size)("lang", *columns) + 1).alias("bit"))
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in parts.collect():
         at = (row.bucket - 1) * (BITMAP // 8)
         out[at : at + BITMAP // 8] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
+def flagged(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes % np.uint64(8 * len(bitmap))
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 class HatTrie:
     """Counts of windows of one language: a first id, and the ids after it as one 64-bit suffix.
 
@@ -133,8 +148,8 @@ class HatTrie:
     containers by second id. Id 0 stands for no word.
     """
 
-    def __init__(self, lang: str):
-        self.lang = lang
+    def __init__(self, lang: str, bursts: bool = True):
+        self.lang, self.bursts = lang, bursts
         self.clear()
 
     def clear(self) -> None:
@@ -168,7 +183,7 @@ class HatTrie:
                 before = len(child)
                 child.update(keys[a:b])
                 self.size += len(child) - before
-                if len(child) > BURST:
+                if self.bursts and len(child) > BURST:
                     self.root[word] = self._burst(child)
             else:
                 second = suffix[a:b] >> np.uint64(48)
@@ -252,8 +267,8 @@ def _sorted_sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray
     return order[at], np.add.reduceat(counts[order], at) if len(at) else counts
 
 
-def trie_runs(trie: HatTrie, parts: int, down_to: int) -> Iterator[pa.RecordBatch]:
-    """Spilled subtrees as sorted runs: windows of three words and more, and pairs of first words."""
+def trie_runs(trie: HatTrie, parts: int, down_to: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Spilled subtrees as sorted runs, one for each prefix partition: of pairs, or of whole windows."""
     first, suffix, counts = trie.spill(down_to)
     if not len(first):
         return
@@ -263,85 +278,95 @@ def trie_runs(trie: HatTrie, parts: int, down_to: int) -> Iterator[pa.RecordBatc
     values = [trie.words[i] for i in rank_to_id]
     flat = pa.array(values, pa.large_binary())
     hashes = value_hashes(flat, "")
-    ids = [rank[first], *(rank[((suffix >> np.uint64(s)) & np.uint64(IDS - 1)).astype(np.int64)] for s in (48, 32, 16, 0))]
-
+    shifts, depth = ((48,), 2) if pairs else ((48, 32, 16, 0), 3)
+    columns = [rank[first], *(rank[((suffix >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in shifts)]
+    key = np.zeros(len(counts), np.uint64)
+    for c in columns[:depth]:
+        key = mix(key * np.uint64(BASE) + hashes[c])
+    part = (key % np.uint64(parts)).astype(np.int64)
+    at, counts = _sorted_sums([part, *_keys(columns, 16)], counts)
+    edges = np.searchsorted(part[at], np.arange(parts + 1))
+    table = np.column_stack(columns)[at]
     out: dict[str, list] = {"part": [], "run": []}
-    for columns, depth, own in ((ids[:2], 2, counts), ([c[ids[2] > 0] for c in ids], 3, counts[ids[2] > 0])):
-        key = np.zeros(len(own), np.uint64)
-        for c in columns[:depth]:
-            key = mix(key * np.uint64(BASE) + hashes[c])
-        part = (key % np.uint64(parts)).astype(np.int64)
-        at, own = _sorted_sums([part, *_keys(columns, 16)], own)
-        edges = np.searchsorted(part[at], np.arange(parts + 1))
-        table = np.column_stack(columns)[at]
-        for p in np.flatnonzero(np.diff(edges)):
-            rows = table[edges[p] : edges[p + 1]]
-            used = np.flatnonzero(np.bincount(rows.ravel(), minlength=1))
-            used = used[used > 0]
-            local = np.zeros(len(values), np.uint16)
-            local[used] = np.arange(1, len(used) + 1)
-            out["part"].append(int(p))
-            out["run"].append(pack_run([values[i] for i in used], local[rows], own[edges[p] : edges[p + 1]]))
+    for p in np.flatnonzero(np.diff(edges)):
+        rows = table[edges[p] : edges[p + 1]]
+        used = np.flatnonzero(np.bincount(rows.ravel(), minlength=1))
+        used = used[used > 0]
+        local = np.zeros(len(values), np.uint16)
+        local[used] = np.arange(1, len(used) + 1)
+        out["part"].append(int(p))
+        out["run"].append(pack_run([values[i] for i in used], local[rows], counts[edges[p] : edges[p + 1]]))
     yield pa.RecordBatch.from_arrays(
         [pa.array(out["part"], pa.int32()), pa.array([trie.lang] * len(out["part"]), pa.string()), pa.array(out["run"], pa.binary())],
         names=["part", "lang", "run"],
     )
 
 
-def windows(ids: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First ids and suffixes of the windows that start at each word and have two words at least."""
+def windows(ids: np.ndarray, segments: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, first ids and suffixes of the windows of ``shortest`` to ``longest`` words, the longest at each word."""
     n = len(ids)
     suffix = np.zeros(n, np.uint64)
-    for k in range(1, min(LONGEST, n)):
+    size = np.ones(n, np.int64)
+    for k in range(1, min(longest, n)):
         same = segments[k:] == segments[: n - k]
         suffix[: n - k][same] |= ids[k:][same].astype(np.uint64) << np.uint64(16 * (LONGEST - 1 - k))
-    full = suffix > 0
-    return ids[full], suffix[full]
+        size[: n - k][same] = k + 1
+    full = np.flatnonzero(size >= shortest)
+    return full, ids[full], suffix[full]
 
 
-def run_maker(bitmap: np.ndarray, parts: int):
-    """The task that turns texts into runs."""
+def run_maker(bitmap: np.ndarray, parts: int, pair_bitmap: np.ndarray | None = None):
+    """The task that turns texts into runs: of pairs, or, where the frequent pairs are known, of windows of three words and more."""
+    pairs = pair_bitmap is None
+    shortest, longest = (2, 2) if pairs else (3, LONGEST)
 
-    def insert(trie: HatTrie, w: BlockWords, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = frequent[w.codes]
+    def insert(trie: HatTrie, w: BlockWords) -> Iterator[pa.RecordBatch]:
+        hashes = value_hashes(w.values, trie.lang)
+        keep = flagged(bitmap, hashes)[w.codes]
         at = np.flatnonzero(keep)
         segments = (w.pieces + np.cumsum(~keep))[at]
         codes = w.codes[at]
+        if not pairs and len(at):
+            h = hashes[codes]
+            segments = segments + np.concatenate(([0], np.cumsum(~flagged(pair_bitmap, pair_hashes(h[:-1], h[1:])))))
+            # words that no window holds need no id
+            near = np.zeros(len(at), bool)
+            start = windows(np.zeros(len(at), np.uint16), segments, shortest, shortest)[0]
+            for k in range(shortest):
+                near[start + k] = True
+            segments, codes = segments[near], codes[near]
         low = 0
-        while low < len(at):
-            high = min(low + CHUNK, len(at))
+        while low < len(codes):
+            high = min(low + CHUNK, len(codes))
             while True:  # a chunk's words must fit the ids of a trie
-                reach = min(high + LONGEST - 1, len(at))
+                reach = min(high + longest - 1, len(codes))
                 used = np.unique(codes[low:reach])
                 if len(used) < IDS or high - low <= 1:
                     break
                 high = low + (high - low) // 2
             if len(trie.words) + len(used) > IDS:
-                yield from trie_runs(trie, parts, 0)
+                yield from trie_runs(trie, parts, 0, pairs)
                 trie.clear()
             number = np.zeros(len(w.values), np.uint16)
             number[used] = trie.numbered(w.values.take(pa.array(used)).to_pylist())
-            first, suffix = windows(number[codes[low:reach]], segments[low:reach])
-            whole = np.flatnonzero(segments[low : reach - 1] == segments[low + 1 : reach]) < high - low
-            trie.add(first[whole], suffix[whole])
+            place, first, suffix = windows(number[codes[low:reach]], segments[low:reach], shortest, longest)
+            own = place < high - low
+            trie.add(first[own], suffix[own])
             low = high
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
         for batch in batches:
             for lang, block in by_language(batch):
-                w = BlockWords(block)
-                bit = value_hashes(w.values, lang) % np.uint64(BITS)
-                frequent = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 trie = tries.get(lang)
                 if trie is None:
-                    trie = tries[lang] = HatTrie(lang)
-                yield from insert(trie, w, frequent)
+                    trie = tries[lang] = HatTrie(lang, bursts=not pairs)
+                yield from insert(trie, BlockWords(block))
                 if sum(t.size for t in tries.values()) > ENTRIES:
                     largest = max(tries.values(), key=lambda t: t.size)
-                    yield from trie_runs(largest, parts, largest.size // 4)
+                    yield from trie_runs(largest, parts, largest.size // 4, pairs)
         for trie in tries.values():
-            yield from trie_runs(trie, parts, 0)
+            yield from trie_runs(trie, parts, 0, pairs)
 
     return make
 
@@ -416,8 +441,16 @@ def frequent_phrases(texts: DataFrame, counts: DataFrame, min_count: int = MIN_C
     """``lang, phrase, f`` of all phrases of 2 to 5 words at ``min_count``; ``counts`` are those of the words."""
     positions = counts.agg(F.sum("f")).first()[0] or 0
     parts = max(1, -(-positions // POSITIONS))
-    runs = texts.mapInArrow(run_maker(frequent_bitmap(counts, min_count), parts), RUNS)
-    return runs.repartitionById(parts, F.col("part")).mapInArrow(run_merger(min_count), "lang string, phrase string, f bigint")
+
+    def merged(make) -> DataFrame:
+        runs = texts.mapInArrow(make, RUNS).repartitionById(parts, F.col("part"))
+        return runs.mapInArrow(run_merger(min_count), "lang string, phrase string, f bigint")
+
+    frequent = frequent_bitmap(counts.where(F.col("f") >= min_count), ["word"], BITS)
+    pairs = materialise(merged(run_maker(frequent, parts)), "pairs")
+    word = F.split("phrase", " ")
+    flags = frequent_bitmap(pairs.select("lang", word[0].alias("first"), word[1].alias("second")), ["first", "second"], PAIR_BITS)
+    return pairs.unionByName(merged(run_maker(frequent, parts, flags)))
 
 
 def _part(first: Column, size: Column) -> Column:

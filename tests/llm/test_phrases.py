@@ -84,15 +84,16 @@ def test_bounds_do_not_matter(monkeypatch, burst, entries, chunk, ids, pending):
     if real_insert_limit < phrases.IDS:
         monkeypatch.setattr(phrases, "IDS", real_insert_limit)
         monkeypatch.setattr(phrases, "trie_runs", small_ids(phrases.trie_runs))
-    everything = np.full(phrases.BITS // 8, 255, np.uint8)
-    runs = list(phrases.run_maker(everything, 3)(iter(batches)))
+    everything = np.full(8, 255, np.uint8)
     got = Counter()
-    for part in range(3):
-        own = [b.filter(pa.array([p == part for p in b.column(0).to_pylist()])) for b in runs]
-        for b in phrases.run_merger(2)(iter(own)):
-            for lang, phrase, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                assert (lang, phrase) not in got
-                got[lang, phrase] = f
+    for make in (phrases.run_maker(everything, 3), phrases.run_maker(everything, 3, everything)):
+        runs = list(make(iter(batches)))
+        for part in range(3):
+            own = [b.filter(pa.array([p == part for p in b.column(0).to_pylist()])) for b in runs]
+            for b in phrases.run_merger(2)(iter(own)):
+                for lang, phrase, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    assert (lang, phrase) not in got
+                    got[lang, phrase] = f
     expected, _ = plain_counts(rows)
     assert got == {(lang, " ".join(w)): f for (lang, w), f in expected.items() if f >= 2 and len(w) > 1}
 
@@ -117,12 +118,13 @@ def test_runs_round_trip():
         assert got[0] == values and got[1].tolist() == [[1, 2, 0], [3, 1, 2]] and got[2].tolist() == counts
 
 
-def test_bitmap_holds_the_frequent_words(spark):
-    rows = [("en", f"w{i}", 99 + i % 2) for i in range(2000)]
-    bitmap = phrases.frequent_bitmap(spark.createDataFrame(rows, "lang string, word string, f long"), 100)
-    hashes = phrases.value_hashes(pa.array([w.encode() for _, w, _ in rows], pa.large_binary()), "en") % np.uint64(phrases.BITS)
-    inside = np.unpackbits(bitmap, bitorder="little")[hashes.astype(np.int64)]
-    assert inside[1::2].all() and inside[::2].sum() < 5
+def test_bitmaps_hold_the_rows(spark):
+    rows = [("en", f"w{i}", f"v{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows[::2], "lang string, word string, other string")
+    first, second = (phrases.value_hashes(pa.array([r[k].encode() for r in rows], pa.large_binary()), "en") for k in (1, 2))
+    for columns, size, hashes in ((["word"], 1 << 24, first), (["word", "other"], 1 << 26, phrases.pair_hashes(first, second))):
+        inside = phrases.flagged(phrases.frequent_bitmap(df, columns, size), hashes)
+        assert inside[::2].all() and inside[1::2].sum() < 5
 
 
 def test_empty_table(spark):
