@@ -82,3 +82,24 @@ def test_empty_tables(spark):
     row = decontaminate.find_benchmark(docs, items).first()
     assert (row.n_words, row.n_hit, row["items"], row.matches) == (2, 0, [], [])
     assert decontaminate.find_benchmark(docs.where("false"), items).count() == 0
+
+
+def test_many_copies_of_a_short_item_against_many_places(spark):
+    """20,000 ids of one word and 20,000 places of it: places are matches once, ids are attached once."""
+    items = spark.range(20_000).selectExpr("id as item_id", "if(id % 2 = 0, 'Word', ' word!') as text")
+    df = spark.createDataFrame([(1, "word " * 20_000), (2, "another")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_benchmark(df, items).collect()}
+    assert (got[1].n_words, got[1].n_hit, len(got[1]["items"]), len(got[1].matches)) == (20_000, 20_000, 20_000, 20_000)
+    assert {m.item for m in got[1].matches} == {"0"} and got[2]["items"] == []
+
+
+def test_words_that_share_a_hash_do_not_match(monkeypatch):
+    import pyarrow as pa
+
+    real = decontaminate.runs_hash
+    items = decontaminate.Items([(1, "aa bb cc")], 3)
+    # a block whose words all hash like the items' words
+    monkeypatch.setattr(decontaminate, "runs_hash", lambda data, start, end: real(data, start, end) if len(start) != 6 else real(items.block.data, items.words.start, items.words.end)[[0, 1, 2, 0, 1, 2]])
+    found = decontaminate._find(items, pa.array(["aa bx cc aa bb cc"])).to_pylist()[0]
+    assert (found["n_words"], found["n_hit"], found["items"]) == (6, 3, ["1"])
+    assert [(m["word"], m["words"]) for m in found["matches"]] == [(3, 3)]
