@@ -1,20 +1,23 @@
 """Quality rules: per-text counts, and lines that too many documents of one host share.
 
 Per text: words, their characters, symbols, lines equal to an earlier line, and
-words inside 5-word windows that occur twice or more. Across texts: every line is
+words inside 5-word windows that occur twice or more. Across documents: every line is
 normalised (lower case, single spaces) and hashed; a line's count is the number of
-distinct texts of its host that have it, so exact copies count once. Lines in more
-than ``max_share`` of the texts of their host, and in at least ``min_texts``, are
-removed; a text that loses more than ``max_lost`` of its words, or keeps fewer than
-``min_words``, is rejected.
+distinct documents (ids) of its host that have it. Lines in at least ``min_docs``
+documents that are in more than ``max_share`` of the documents of their host, or in more
+than ``max_docs`` documents, are removed; a document that loses more than ``max_lost`` of
+its words, or keeps fewer than ``min_words``, is rejected.
 
-How: lines leave a task once per text. Counting is a distinct and a sum, both
-combined before the shuffle, so a line that a third of all rows hold is one row
-per task. Decisions come back by (host, text hash), joined without any broadcast
-that the planner did not measure.
+How: lines leave a task once per document and are written once, placed by (host, line,
+document), so a line that a third of all rows hold is spread over all tasks. Counts of a
+line are summed per task before they meet. Decisions come back by (host, document, text
+hash), joined without any broadcast that the planner did not measure.
 
 Defined results: null, empty and blank texts have no words and lines, fail the base
-rule, and are not kept; null hosts are one host; repeated rows get the same row.
+rule, and are not kept; null hosts are one host; null ids are one document of each host;
+rows with the same id are one document, each judged by its own text; repeated rows get the
+same row; a very long text is a block of its own; columns of ``docs`` named like results
+give way to them.
 """
 
 from collections.abc import Iterator
@@ -25,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.blocks import BASE, LOWER, NOT_SPACE, Block, Words, blocks, bounded_batches, byte_set, lists, mix, per_row, runs_hash, words
+from lexiloom.session import materialise
 
 SYMBOLS = byte_set(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MAX_SHARE, MIN_TEXTS, MAX_LOST = 0.02, 10, 0.5
+MAX_SHARE, MIN_DOCS, MAX_DOCS, MAX_LOST = 0.02, 10, 500, 0.5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS_SQL = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>"
 
@@ -152,40 +156,44 @@ def without_lines(text: str | Column, removed: str | Column) -> Column:
     return F.arrow_udf(_without, "string")(text, removed)
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """Lines of distinct texts that are too frequent at their host: (__host, __text, line, words)."""
+def frequent_lines(docs: DataFrame, key: str, text: str, host: str, max_share: float, min_docs: int, max_docs: int) -> DataFrame:
+    """Lines of documents that are too frequent at their host: (__host, __doc, __text, line, words)."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.xxhash64(host).alias("__host"), F.xxhash64(text).alias("__text"), F.col(text).cast("string").alias("__own"))
-    lines = (
-        keyed.select("__host", "__text", F.inline(text_lines("__own")))
-        .groupBy("__host", "__text", "line")
-        .agg(F.first("words").alias("words"))
+    keyed = docs.select(
+        F.xxhash64(host).alias("__host"), F.xxhash64(key).alias("__doc"), F.xxhash64(text).alias("__text"), F.col(text).cast("string").alias("__own")
     )
-    texts = keyed.select("__host", "__text").distinct().groupBy("__host").agg(F.count("*").alias("texts"))
-    counted = lines.groupBy("__host", "line").agg(F.count("*").alias("holders")).where(F.col("holders") >= min_texts)
-    limit = counted.join(texts, "__host").where(F.col("holders") > F.col("texts") * max_share).select("__host", "line")
-    return lines.join(limit, ["__host", "line"])
+    lines = keyed.select("__host", "__doc", "__text", F.inline(text_lines("__own"))).repartition("__host", "line", "__doc")
+    lines = materialise(lines.groupBy("__host", "line", "__doc", "__text").agg(F.first("words").alias("words")), "lines")
+    documents = keyed.select("__host", "__doc").distinct().groupBy("__host").agg(F.count("*").alias("documents"))
+    holders = lines.select("__host", "line", "__doc").distinct().groupBy("__host", "line").agg(F.count("*").alias("holders"))
+    counted = holders.where(F.col("holders") >= min_docs).join(documents, "__host")
+    above = (F.col("holders") > F.col("documents") * max_share) | (F.col("holders") > max_docs)
+    return lines.join(counted.where(above).select("__host", "line"), ["__host", "line"])
 
 
 def line_rules(
     docs: DataFrame,
     text: str = "text",
     host: str = "host",
+    key: str = "doc_id",
     max_share: float = MAX_SHARE,
-    min_texts: int = MIN_TEXTS,
+    min_docs: int = MIN_DOCS,
+    max_docs: int = MAX_DOCS,
     max_lost: float = MAX_LOST,
 ) -> DataFrame:
     """Add the counts, ``base_failed``, ``lost_words``, ``kept`` and ``clean_text`` (lines above the limit removed)."""
     added = (*COUNTS, "base_failed", "lost_words", "kept", "clean_text")
-    found = frequent_lines(docs, text, host, max_share, min_texts)
-    lost = found.groupBy("__host", "__text").agg(F.sum("words").alias("__lost"), F.collect_list("line").alias("__lines"))
+    found = frequent_lines(docs, key, text, host, max_share, min_docs, max_docs)
+    place = ["__host", "__doc", "__text"]
+    lost = found.groupBy(*place).agg(F.sum("words").alias("__lost"), F.collect_list("line").alias("__lines"))
+    own = F.col(text).cast("string")
     rows = docs.withColumns(
-        {"__host": F.xxhash64(host), "__text": F.xxhash64(text), "__own": F.col(text).cast("string"), "__counts": text_counts(F.col(text).cast("string"))}
+        {"__host": F.xxhash64(host), "__doc": F.xxhash64(key), "__text": F.xxhash64(text), "__own": own, "__counts": text_counts(own)}
     )
     n = F.col("__counts.n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("__counts.n_repeat_words") > MAX_REPEAT_PERCENT * n)
     gone = F.coalesce("__lost", F.lit(0).cast("bigint"))
-    return rows.join(lost, ["__host", "__text"], "left").select(
+    return rows.join(lost, place, "left").select(
         *(F.col(c) for c in docs.columns if c not in added),
         *(F.col(f"__counts.{c}").alias(c) for c in COUNTS),
         failed.alias("base_failed"),

@@ -118,9 +118,9 @@ lines AS (SELECT doc_id, source, t, line, {LOWER_SQL.replace("text", "line", 1)}
           (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD_SQL}')),
 normal AS (SELECT doc_id, source, t, line, array_to_string(regexp_extract_all(low, '{WORD_SQL}'), ' ') AS norm,
                   len(regexp_extract_all(low, '{WORD_SQL}')) AS n FROM lines),
-texts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
-frequent AS (SELECT source, norm FROM normal JOIN texts USING (source) GROUP BY source, norm
-             HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) > any_value(texts) * 0.02::DOUBLE),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+frequent AS (SELECT source, norm FROM normal JOIN hosts USING (source) GROUP BY source, norm
+             HAVING count(DISTINCT doc_id) >= 10 AND (count(DISTINCT doc_id) > any_value(docs) * 0.02::DOUBLE OR count(DISTINCT doc_id) > 500)),
 lost AS (SELECT doc_id, sum(n) AS lost FROM normal JOIN frequent USING (source, norm) GROUP BY doc_id),
 again AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM normal GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
