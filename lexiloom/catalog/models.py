@@ -20,7 +20,7 @@ from lexiloom.plans.features import FEATURES, Inputs, apply, number_stages, prep
 from lexiloom.session import materialise
 from lexiloom.sources.tables import read_table
 
-GBT_ROUNDS = 20
+GBT_ROUNDS = 300
 NUMBERS = ("tweet_length", "word_count", "hashtags_count", "mentions_count", "urls_count")
 TEXT = Inputs("doc_id", text="text")
 FULL = Inputs("doc_id", text="text", numbers=NUMBERS, category="source")
@@ -209,8 +209,8 @@ def m10_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "m11_grid_settings",
-    """SELECT 5 AS rounds, d AS depth, k AS components, TRUE AS in_range, 1::BIGINT AS best_settings
-FROM (VALUES (3), (5)) a(d), (VALUES (8), (16), (32)) b(k)""",
+    """SELECT r AS rounds, 5 AS depth, k AS components, TRUE AS in_range, 1::BIGINT AS best_settings
+FROM (VALUES (100), (300)) a(r), (VALUES (32), (64)) b(k)""",
 )
 def m11_settings(spark: SparkSession, sf: str) -> DataFrame:
     """All settings of the grid, and that one of them is the best."""
@@ -280,7 +280,7 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
 def m11(spark: SparkSession, sf: str) -> DataFrame:
     """The whole grid; ``best`` marks the chosen setting."""
     results = training.grid_search(
-        vector_classes(spark, sf), VECTOR_CLASS, rounds=(5,), depths=(3, 5), components=(8, 16, 32)
+        vector_classes(spark, sf), VECTOR_CLASS, rounds=(100, 300), depths=(5,), components=(32, 64)
     )
     rows = [(r.rounds, r.depth, r.components, round(r.accuracy, 6), i == 0) for i, r in enumerate(results)]
     return spark.createDataFrame(rows, "rounds int, depth int, components int, accuracy double, best boolean")
@@ -294,3 +294,13 @@ QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_c
 def m12(spark: SparkSession, sf: str) -> DataFrame:
     runs = read_table(spark, sf, "customer").selectExpr("c_nationkey AS run", "c_custkey AS epoch", "c_acctbal AS accuracy")
     return training.best_epoch(runs, "run", "epoch", "accuracy")
+
+
+@query("m12_epochs")
+def m12_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every epoch of a head, and what the restored best one does on the held-out rows."""
+    states, scored = training.epochs(with_vectors(spark, sf), DENSE)
+    restored = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    best = F.row_number().over(Window.orderBy(F.desc("accuracy"), "epoch")) == 1  # one row an epoch
+    rows = states.select("epoch", rounded("loss").alias("loss"), rounded("accuracy").alias("accuracy"), best.alias("best"))
+    return rows.withColumn("restored", F.when(F.col("best"), F.lit(round(restored, 6))))

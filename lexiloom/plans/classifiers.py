@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.ml import Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.groups import class_weight_table, majority_class, with_class_weight
+from lexiloom.plans.boosting import BINS, BoostedTrees, Rules, fit_trees
 from lexiloom.plans.features import FEATURES, Inputs, apply, vector_size
-from lexiloom.session import shared_dir
+from lexiloom.plans.head import HeadScore, best_state, fit_head, head_rows
+from lexiloom.plans.head import Rules as HeadRules
+from lexiloom.plans.linear import fit_linear
 
 SOLVERS = ("l-bfgs", "newton")
 
@@ -39,42 +35,32 @@ def logistic_regression(
     constant columns to weight 0, so for half of the rows vector and label are
     both negated: the loss stays the same and the column is constant no more.
 
-    ``l-bfgs`` takes some hundred cheap passes over the rows. ``newton`` takes some
-    ten, each with a solve on the driver that grows with the cube of the columns, so
-    it is for few columns. Both add the same columns, reach the same optimum, and
-    honour ``max_iter`` and ``tol``.
+    ``l-bfgs`` stops on the change of the objective. ``newton`` goes on to a gradient of
+    ``tol`` times the first one, with passes that never form the matrix of second
+    derivatives. Both take any number of columns, add the same columns to a table, reach
+    the same optimum, and honour ``max_iter``.
     """
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}; known are {SOLVERS}")
-    size, rows = vector_size(train, FEATURES), train.count()
-    wide, drop = _with_one(size)
-    df = apply(wide, train)
+    size = vector_size(train, FEATURES)
+    df = train
     if balanced:
         df = with_class_weight(df, inputs.label, class_weight_table(train, inputs.label), "_weight")
     else:
         df = df.withColumn("_weight", F.lit(1.0))
     label = F.col(inputs.label).cast("double")
-    df = df.select(inputs.key, "_wide", "_weight", label.alias("_label"))
+    if solver == "newton":
+        return [fit_linear(df.select(FEATURES, (2 * label - 1).alias("_sign"), "_weight"), size, FEATURES, "logistic", c, max_iter, tol)]
 
+    rows = train.count()
+    wide, drop = _with_one(size)
+    df = apply(wide, df).select(inputs.key, "_wide", "_weight", label.alias("_label"))
     flipped = F.pmod(F.xxhash64(inputs.key), F.lit(2)) == 1
     negate = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * (size + 1)), inputCol="_wide", outputCol="_x")
     mirrored = negate.transform(df.filter(flipped)).select("_x", "_weight", (1 - F.col("_label")).alias("_label"))
     kept = df.filter(~flipped).select(F.col("_wide").alias("_x"), "_weight", "_label")
     table = kept.unionByName(mirrored)
 
-    if solver == "newton":
-        linear = _newton(table, c, max_iter, tol)
-        logit = SQLTransformer(
-            statement="SELECT * EXCEPT (_logit), -_logit AS _r0, _logit AS _r1, 1 / (1 + exp(_logit)) AS _p0, "
-            "1 / (1 + exp(-_logit)) AS _p1, double(_logit > 0) AS prediction FROM __THIS__"
-        )
-        pairs = [
-            VectorAssembler(inputCols=["_r0", "_r1"], outputCol="rawPrediction"),
-            VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability"),
-        ]
-        tidy = SQLTransformer(statement="SELECT * EXCEPT (_r0, _r1, _p0, _p1) FROM __THIS__")
-        return [*wide, linear.setFeaturesCol("_wide").setPredictionCol("_logit"), logit, *pairs, tidy, drop]
-
     # class weights add up to the row count, so the penalty is the same in both forms
     model = LogisticRegression(
         featuresCol="_x",
@@ -101,138 +87,79 @@ def _with_one(size: int) -> tuple[list[Transformer], Transformer]:
     return wide, SQLTransformer(statement="SELECT * EXCEPT (_one, _wide) FROM __THIS__")
 
 
-def _ridge(table: DataFrame, target: str, weight: str, penalty: float) -> LinearRegressionModel | None:
-    """Minimise ``sum w (x b - t)^2 + penalty |b|^2`` without an intercept; None where the target does not vary."""
-    w, wz, wzz = table.agg(
-        F.sum(weight), F.sum(F.col(weight) * F.col(target)), F.sum(F.col(weight) * F.col(target) * F.col(target))
-    ).first()
-    spread = math.sqrt(max(wzz / w - (wz / w) ** 2, 0.0)) if w else 0.0
-    if not math.isfinite(spread) or spread == 0:
-        return None
-    # the ridge penalty of this solver counts per unit of weight and in units of the target's deviation
-    return LinearRegression(
-        featuresCol="_x",
-        labelCol=target,
-        weightCol=weight,
-        predictionCol="_logit",
-        fitIntercept=False,
-        standardization=False,
-        elasticNetParam=0.0,
-        solver="normal",
-        regParam=penalty * spread / w,
-    ).fit(table)
-
-
-def _newton(table: DataFrame, c: float, steps: int, tol: float) -> LinearRegressionModel:
-    """Newton steps for the penalised logistic loss, each one a weighted ridge regression."""
-    logit = F.lit(0.0)
-    scored, before = table, None
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-logit))
-        curve = F.greatest(p * (1 - p), F.lit(1e-12))
-        working = scored.select(
-            "_x",
-            (F.col("_weight") * curve).alias("_w"),
-            (logit + (F.col("_label") - p) / curve).alias("_z"),
-        )
-        model = _ridge(working, "_z", "_w", 1 / c)
-        if model is None:
-            raise ArithmeticError("Newton steps do not settle on these rows: take solver='l-bfgs'")
-        now = model.coefficients.toArray()
-        if before is not None and np.abs(now - before).max() <= tol * (1 + np.abs(now).max()):
-            return model
-        before = now
-        scored = model.transform(table)
-        logit = F.col("_logit")
-    return model
-
-
-def linear_svm(train: DataFrame, inputs: Inputs, c: float = 1.0, max_iter: int = 50, tol: float = 1e-8) -> list[Transformer]:
+def linear_svm(train: DataFrame, inputs: Inputs, c: float = 1.0, max_iter: int = 100, tol: float = 1e-9) -> list[Transformer]:
     """Linear support vector machine with squared hinge loss; the intercept is penalised too.
 
     Minimises ``|w|^2 / 2 + c * sum max(0, 1 - y w x)^2`` with a constant 1 in x.
-    On the rows with a margin below 1 that is a ridge regression towards y, so each
-    step solves one and looks which rows are active next. A step that does not lower
-    the objective is halved. The solve is on the driver and grows with the cube of
-    the columns; rows with a target of either sign stand for each row, so that no
-    column is constant.
     """
-    size = vector_size(train, FEATURES)
-    wide, drop = _with_one(size)
-    y = F.when(F.col(inputs.label) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    spark = train.sparkSession
-    rows = apply(wide, train).select("_wide", y.alias("_y"))
-    now = np.zeros(size + 1)
-
-    def margins(weights: np.ndarray) -> DataFrame:
-        return _linear(spark, weights).transform(rows)
-
-    def objective(weights: np.ndarray) -> float:
-        slack = F.greatest(1 - F.col("_y") * F.col("_margin"), F.lit(0.0))
-        lost = margins(weights).agg(F.sum(slack * slack)).first()[0] or 0.0
-        return float(weights @ weights / 2 + c * lost)
-
-    best = objective(now)
-    for _ in range(max_iter):
-        active = margins(now).filter(F.col("_y") * F.col("_margin") < 1)
-        negate = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * (size + 1)), inputCol="_wide", outputCol="_x")
-        both = active.select(F.col("_wide").alias("_x"), "_y").unionByName(negate.transform(active).select("_x", (-F.col("_y")).alias("_y")))
-        model = _ridge(both.withColumn("_one_each", F.lit(1.0)), "_y", "_one_each", 1 / c)
-        if model is None:
-            break
-        step, found = 1.0, model.coefficients.toArray()
-        while step > 1e-6 and (value := objective(now + step * (found - now))) > best:
-            step /= 2
-        if step <= 1e-6:
-            break
-        moved = step * (found - now)
-        now, best = now + moved, value
-        if np.abs(moved).max() <= tol * (1 + np.abs(now).max()):
-            break
-    score = SQLTransformer(statement="SELECT * EXCEPT (_margin), -_margin AS _r0, _margin AS _r1, double(_margin > 0) AS prediction FROM __THIS__")
-    pair = VectorAssembler(inputCols=["_r0", "_r1"], outputCol="rawPrediction")
-    tidy = SQLTransformer(statement="SELECT * EXCEPT (_r0, _r1) FROM __THIS__")
-    return [*wide, _linear(spark, now), score, pair, tidy, drop]
-
-
-def _linear(spark: SparkSession, weights: np.ndarray) -> LinearRegressionModel:
-    """``_margin``, the product of ``_wide`` with the weights: the model that maps each unit vector to its weight."""
-    n = len(weights)
-    units = [(Vectors.sparse(n, [i], [1.0]), float(w)) for i, w in enumerate(weights)]
-    table = spark.createDataFrame([*units, (Vectors.sparse(n, [], []), 0.0)], ["_wide", "_w"])
-    exact = LinearRegression(featuresCol="_wide", labelCol="_w", predictionCol="_margin", fitIntercept=False, standardization=False, solver="normal")
-    return exact.fit(table)
+    sign = F.when(F.col(inputs.label) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    rows = train.select(FEATURES, sign.alias("_sign"), F.lit(1.0).alias("_weight"))
+    return [fit_linear(rows, vector_size(train, FEATURES), FEATURES, "squared_hinge", c, max_iter, tol)]
 
 
 def boosted_trees(
-    train: DataFrame, inputs: Inputs, rounds: int = 1000, depth: int = 9, step: float = 0.05, seed: int = 42
+    train: DataFrame,
+    inputs: Inputs,
+    rounds: int = 1000,
+    depth: int = 9,
+    step: float = 0.05,
+    seed: int = 42,
+    rows: float = 0.8,
+    columns: float = 0.8,
+    penalty: float = 1.0,
+    min_child: float = 1.0,
+    bins: int = BINS,
 ) -> list[Transformer]:
-    """Gradient-boosted trees on 80 % of the rows per round and of the columns per node."""
-    shared_dir(train.sparkSession)  # lineage is cut there every ten rounds
-    trees = GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=inputs.label,
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=step,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-        checkpointInterval=10,
-        cacheNodeIds=True,
+    """Second-order gradient-boosted trees; each round draws its share of the rows and of the columns."""
+    rules = Rules(rounds, depth, step, rows, columns, penalty, min_child, seed)
+    trees = fit_trees(boosting_rows(train, inputs), vector_size(train, FEATURES), rules, bins)
+    return [BoostedTrees(trees=trees.dumps(), featuresCol=FEATURES)]
+
+
+def boosting_rows(train: DataFrame, inputs: Inputs) -> DataFrame:
+    return train.select(
+        F.xxhash64(inputs.key).alias("key"), F.col(inputs.label).cast("int").alias("label"), vector_to_array(FEATURES).alias("x")
     )
-    return [trees.fit(train)]
 
 
 def perceptron(
-    train: DataFrame, inputs: Inputs, hidden: int = 128, max_iter: int = 100, seed: int = 42
+    train: DataFrame,
+    inputs: Inputs,
+    hidden: int = 128,
+    max_iter: int = 20,
+    seed: int = 42,
+    batches: int = 8,
+    rate: float = 5e-3,
+    drop: float = 0.5,
+    decay: float = 0.01,
+    warmup: float = 0.06,
+    validation: DataFrame | None = None,
 ) -> list[Transformer]:
-    """One hidden layer on top of fixed vectors and metadata."""
-    layers = [vector_size(train, FEATURES), hidden, 2]
-    head = MultilayerPerceptronClassifier(
-        featuresCol=FEATURES, labelCol=inputs.label, layers=layers, maxIter=max_iter, seed=seed
-    )
-    return [head.fit(train)]
+    """One hidden layer on top of fixed vectors and metadata, after ``max_iter`` epochs.
+
+    With ``validation`` rows, which have the features and labels too, the weights are those of the best epoch.
+    """
+    return [HeadScore.of(best_state(head_states(train, inputs, hidden, max_iter, seed, batches, rate, drop, decay, warmup, validation))[1], FEATURES)]
+
+
+def head_states(
+    train: DataFrame,
+    inputs: Inputs,
+    hidden: int = 128,
+    max_iter: int = 20,
+    seed: int = 42,
+    batches: int = 8,
+    rate: float = 5e-3,
+    drop: float = 0.5,
+    decay: float = 0.01,
+    warmup: float = 0.06,
+    validation: DataFrame | None = None,
+) -> DataFrame:
+    """``epoch, loss, accuracy, weights``: the state of the head after every epoch."""
+    rules = HeadRules(hidden, max_iter, batches, rate, drop, decay, warmup, seed)
+    classes = max(2, 1 + int(train.agg(F.max(F.col(inputs.label).cast("long"))).first()[0] or 0))
+    others = None if validation is None else head_rows(validation, inputs.key, inputs.label, FEATURES)
+    return fit_head(head_rows(train, inputs.key, inputs.label, FEATURES), vector_size(train, FEATURES), classes, rules, others)
 
 
 def majority(train: DataFrame, inputs: Inputs) -> list[Transformer]:

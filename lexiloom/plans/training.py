@@ -19,6 +19,7 @@ from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.splits import SEED, stratified_folds, stratified_holdout
 from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, few, fit_tfidf_by_fold, term_stages
 from lexiloom.plans import classifiers
+from lexiloom.plans.boosting import margin_column
 from lexiloom.plans.features import (
     FEATURES,
     Inputs,
@@ -30,6 +31,7 @@ from lexiloom.plans.features import (
     text_stages,
     vector_metadata_stages,
 )
+from lexiloom.plans.head import HeadScore, best_state
 from lexiloom.session import in_parallel, materialise
 from lexiloom.sources.tables import packed
 
@@ -210,7 +212,8 @@ def grid_search(
     """Boosted trees on principal components over a grid, best setting first.
 
     One PCA of the largest size serves all sizes, and the reduced rows are
-    written once and read by every fit.
+    written once and read by every fit. Rounds of a fit do not depend on how many
+    follow, so one fit of the most rounds scores all smaller numbers on its way.
     """
     split = prepare(stratified_holdout(df, inputs.key, inputs.label, share, seed), inputs)
     train = split.filter("split = 'train'")
@@ -221,20 +224,34 @@ def grid_search(
 
     rows = table.count()
 
-    def evaluated(k: int, r: int, d: int) -> GridResult:
+    def evaluated(k: int, d: int) -> list[GridResult]:
         stages = [
             first_components("reduced", "leading", k),
             VectorAssembler(inputCols=["leading", *outputs], outputCol=FEATURES),
         ]
         features = apply(stages, table)
-        train_rows = packed(features.filter("split = 'train'"), rows)
-        model = PipelineModel(classifiers.boosted_trees(train_rows, inputs, r, d))
-        score = model.transform(features.filter("split = 'val'")).agg(accuracy(inputs.label)).first()[0]
-        return GridResult(r, d, k, score)
+        model = classifiers.boosted_trees(packed(features.filter("split = 'train'"), rows), inputs, max(rounds), d)[0]
+        margins = margin_column(model.model(), vector_to_array(FEATURES), rounds)
+        scored = features.filter("split = 'val'").select(F.col(inputs.label).alias("label"), margins.alias("margins"))
+        right = [F.avg(((F.col("margins")[i] > 0).cast("int") == F.col("label")).cast("double")) for i in range(len(rounds))]
+        return [GridResult(r, d, k, a) for r, a in zip(rounds, scored.agg(*right).first(), strict=True)]
 
-    settings = itertools.product(components, rounds, depths)
+    settings = itertools.product(components, depths)
     results = in_parallel(df.sparkSession, [partial(evaluated, *s) for s in settings], parallelism)
-    return sorted(results, key=lambda x: -x.accuracy)
+    return sorted(itertools.chain.from_iterable(results), key=lambda x: -x.accuracy)
+
+
+def epochs(df: DataFrame, inputs: Inputs, share: float = 0.1, seed: int = SEED, **head: Any) -> tuple[DataFrame, DataFrame]:
+    """Train a head with a look at the held-out rows after every epoch.
+
+    Returns ``epoch, loss, accuracy, weights`` of all epochs, and the held-out rows scored by the best one.
+    """
+    split = materialise(prepare(stratified_holdout(df, inputs.key, inputs.label, share, seed), inputs), "split")
+    stages = vector_metadata_stages(split.filter("split = 'train'"), inputs)
+    table = materialise(apply(stages, split).select(inputs.key, inputs.label, "split", FEATURES), "epochs")
+    train, val = table.filter("split = 'train'"), table.filter("split = 'val'")
+    states = classifiers.head_states(packed(train, train.count()), inputs, seed=seed, validation=val, **head)
+    return states, HeadScore.of(best_state(states)[1], FEATURES).transform(val)
 
 
 def best_epoch(df: DataFrame, run: str, epoch: str, score: str) -> DataFrame:

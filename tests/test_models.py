@@ -150,6 +150,22 @@ def test_grid_keeps_all_parameters(points):
     assert results[0].accuracy == max(r.accuracy for r in results)
 
 
+def test_grid_cells_are_separate_fits(points):
+    """Scores on the way of a long fit, on the leading components of a larger PCA, are those of fits of their own."""
+    inputs = Inputs("id", vector="v")
+    together = training.grid_search(points, inputs, rounds=(2, 5), depths=(2,), components=(2, 4))
+    for cell in together:
+        alone = training.grid_search(points, inputs, rounds=(cell.rounds,), depths=(cell.depth,), components=(cell.components,))
+        assert alone == [cell]
+
+
+def test_epochs_and_the_best_of_them(points):
+    states, scored = training.epochs(points, INPUTS, hidden=4, max_iter=5, batches=2)
+    rows = states.orderBy("epoch").collect()
+    assert [r.epoch for r in rows] == list(range(5))
+    assert scored.agg(accuracy()).first()[0] == max(r.accuracy for r in rows)
+
+
 def test_registry():
     with pytest.raises(ValueError, match="unknown"):
         training.build("nope")
