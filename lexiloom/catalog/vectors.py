@@ -13,7 +13,7 @@ from lexiloom.catalog.text import TOKENS_SQL
 from lexiloom.functions import vectors
 from lexiloom.operators import encode, levels, neighbours, reduction, scaling, splits
 from lexiloom.operators.rows import take_rows
-from lexiloom.session import scratch_path
+from lexiloom.session import materialise, scratch_path
 from lexiloom.sources.results import cached_vectors
 from lexiloom.sources.tables import read_table
 
@@ -65,8 +65,9 @@ def v2(spark: SparkSession, sf: str) -> DataFrame:
     df = read_table(spark, sf, "customer").select(
         "c_custkey", segment.alias("raw"), F.when(segment != "MACHINERY", segment).alias("level")
     )
-    fitted = levels.fit_one_hot(df.filter("raw <> 'HOUSEHOLD'"), "level")
-    cells = fitted.transform(df, "hot").select("c_custkey", F.posexplode("hot").alias("slot", "value"))
+    known = materialise(levels.fit_levels(df.filter("raw <> 'HOUSEHOLD'"), "level"), "levels")
+    hot = levels.slots("position", known.count())
+    cells = levels.level_positions(df, known, "level").select("c_custkey", F.posexplode(hot).alias("slot", "value"))
     return cells.select("c_custkey", big("slot").alias("slot"), F.col("value").cast("int").alias("value"))
 
 

@@ -1,28 +1,30 @@
 """Leak-free splits (K1-K5).
 
 Every row has a uniform hash of ``seed:id``. A split is a set of cut points on
-that hash, found once from two narrow columns; assigning a row to its side is
-then row-local, so the wide table is never shuffled, and the same seed always
-gives the same rows.
+that hash, found once from two narrow columns; the same seed always gives the
+same rows. Without classes the cuts are part of an expression. With classes they
+are a small table of one row per class, joined by its measured size: as a rule it
+is sent to the tasks, so the wide table is not shuffled, and any number of classes
+works.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import materialise
+
 SEED = 42
 PREFIX = 3  # hex digits: 4,096 ranges per class
-MAX_CLASSES = 256
+PAST_ALL = "g"  # above every hexadecimal hash
 
-_HASH = "_split_hash"
+_HASH, _CLASS, _CUTS = "_split_hash", "_split_class", "_split_cuts"
 
 
 def split_hash(key: str | Column, seed: int = SEED) -> Column:
@@ -32,12 +34,12 @@ def split_hash(key: str | Column, seed: int = SEED) -> Column:
 
 @dataclass(frozen=True)
 class HashCuts:
-    """Per class (or for the class ``None``: all rows) the hashes at which a new side starts."""
+    """The hashes at which a new side starts: one list for all rows, or a table of one list per class."""
 
     key: str
     label: str | None
     seed: int
-    cuts: dict[Any, list[str]]
+    cuts: list[str] | DataFrame
 
     def add(self, df: DataFrame, name: str) -> DataFrame:
         """Add the side: 0 below the first cut, 1 from it on, and so forth; null without class or key.
@@ -47,13 +49,10 @@ class HashCuts:
         hashed = df.withColumn(_HASH, split_hash(self.key, self.seed))
         h = F.col(_HASH)
         if self.label is None:
-            side = _cuts_below(h, self.cuts.get(None, []))
-        else:
-            # one lookup, however many classes there are
-            table = F.from_json(F.lit(json.dumps({_text(c): cuts for c, cuts in self.cuts.items()})), "map<string,array<string>>")
-            side = F.size(F.filter(F.try_element_at(table, F.col(self.label).cast("string")), lambda c: c <= h))
-            side = F.when(h.isNotNull() & F.col(self.label).isNotNull() & (side >= 0), side)
-        return hashed.withColumn(name, side).drop(_HASH)
+            return hashed.withColumn(name, _cuts_below(h, self.cuts)).drop(_HASH)
+        both = hashed.join(self.cuts, hashed[self.label] == self.cuts[_CLASS], "left")
+        side = F.when(h.isNotNull(), F.size(F.filter(_CUTS, lambda c: c <= h)))
+        return both.withColumn(name, F.when(F.col(_CUTS).isNotNull(), side)).drop(_HASH, _CLASS, _CUTS)
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -62,9 +61,8 @@ def fold_sizes(n: int, k: int) -> list[int]:
 
 
 def fit_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED) -> HashCuts:
-    def starts(n: int) -> list[int]:
-        sizes = fold_sizes(n, k)
-        return [sum(sizes[: f + 1]) for f in range(k - 1)]
+    def starts(n: Column) -> list[Column]:
+        return [f * F.floor(n / k) + F.least(F.lit(f), n % k) for f in range(1, k)]
 
     return _fit(df, key, label, seed, starts)
 
@@ -110,13 +108,8 @@ def first_per_train_group(df: DataFrame, group: str, key: str, share: float = 0.
     return first.unionByName(rows.filter(F.col("split") == "val"))
 
 
-def _text(c: Any) -> str:
-    """As Spark casts a class to string."""
-    return str(c).lower() if isinstance(c, bool) else str(c)
-
-
-def _held_out(n: int, share: float) -> int:
-    return math.ceil(round(share * n, 9))
+def _held_out(n: Column, share: float) -> Column:
+    return F.ceil(F.round(F.lit(share) * n, 9))
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -128,52 +121,37 @@ def _cuts_below(h: Column, cuts: list[str]) -> Column:
     return reduce(lambda acc, c: acc + (h >= c).cast("int"), cuts, zero)
 
 
-def _fit(df: DataFrame, key: str, label: str | None, seed: int, starts: Callable[[int], list[int]]) -> HashCuts:
+def _fit(df: DataFrame, key: str, label: str | None, seed: int, starts: Callable[[Column], list[Column]]) -> HashCuts:
     """Find the exact hash at each wanted rank.
 
-    First pass: row counts per class and hash prefix, a table of bounded size.
-    Second pass: only the few prefixes that hold a cut are ranked.
+    First pass: row counts per class and hash prefix, and how many rows of the class lie before each prefix.
+    Second pass: only the prefixes that hold a cut are ranked. Both are tables; the driver sees them only
+    where there are no classes, one hash for each cut.
     """
     cls = F.lit(0) if label is None else F.col(label)
     hashed = df.select(cls.alias("cls"), split_hash(key, seed).alias("h")).filter("cls is not null and h is not null")
     hashed = hashed.withColumn("p", F.substring("h", 1, PREFIX))
 
-    limit = MAX_CLASSES * 16**PREFIX
-    counts = hashed.groupBy("cls", "p").count().limit(limit + 1).collect()
-    if len(counts) > limit:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}: split by group instead")
-
-    per_class: dict[Any, list[tuple[str, int]]] = {}
-    for r in counts:
-        per_class.setdefault(r["cls"], []).append((r["p"], r["count"]))
-
-    wanted: dict[Any, list[tuple[str, int]]] = {}
-    whole: dict[Any, int] = {}
-    for c, prefixes in per_class.items():
-        prefixes.sort()
-        n = sum(m for _, m in prefixes)
-        wanted[c] = [_locate(prefixes, rank) for rank in starts(n) if rank < n]
-        whole[c] = sum(rank >= n for rank in starts(n))
-
-    pairs = sorted({(c, p) for c, spots in wanted.items() for p, _ in spots}, key=repr)
-    found: dict[tuple[Any, str, int], str] = {}
-    if pairs:
-        kind = hashed.schema["cls"].dataType.simpleString()
-        spark = df.sparkSession
-        chosen = spark.createDataFrame(pairs, f"cls {kind}, p string")
-        spots = spark.createDataFrame([(c, p, r) for c, s in wanted.items() for p, r in s], f"cls {kind}, p string, r int")
-        inside = hashed.join(chosen, ["cls", "p"], "left_semi")
-        ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("cls", "p").orderBy("h")) - 1)
-        found = {(r["cls"], r["p"], r["r"]): r["h"] for r in ranked.join(spots, ["cls", "p", "r"], "left_semi").collect()}
-
-    cuts = {c: [found[(c, p, r)] for p, r in spots] + ["g"] * whole[c] for c, spots in wanted.items()}
-    return HashCuts(key, label, seed, {None: cuts.get(0, [])} if label is None else cuts)
-
-
-def _locate(prefixes: list[tuple[str, int]], rank: int) -> tuple[str, int]:
-    """Prefix that holds the row of this zero-based rank, and its rank in there."""
-    for p, n in prefixes:
-        if rank < n:
-            return p, rank
-        rank -= n
-    raise IndexError(rank)
+    whole = Window.partitionBy("cls")  # at most 16 ** PREFIX rows
+    before = F.sum("m").over(whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = hashed.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.select("cls", "p", "m", F.coalesce(before, F.lit(0)).alias("before"), F.sum("m").over(whole).alias("n"))
+    ranks = [r.cast("bigint") for r in starts(F.col("n"))]
+    counts = counts.select("cls", "p", "m", "before", "n", F.posexplode(F.array(*ranks)).alias("i", "rank"))
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m"))
+    last = F.col("before") + F.col("m") == F.col("n")
+    spots = materialise(
+        counts.where(inside | (last & (F.col("rank") >= F.col("n")))).select("cls", "p", "i", F.when(inside, F.col("rank") - F.col("before")).alias("r")),
+        "split-spots",
+    )
+    chosen = spots.where("r is not null").select("cls", "p").distinct()
+    ranked = hashed.join(chosen, ["cls", "p"], "left_semi")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("cls", "p").orderBy("h")) - 1)
+    found = ranked.join(spots.where("r is not null"), ["cls", "p", "r"]).select("cls", "i", "h")
+    found = found.unionByName(spots.where("r is null").select("cls", "i", F.lit(PAST_ALL).alias("h")))
+    cuts = found.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("c"))
+    cuts = cuts.select(F.col("cls").alias(_CLASS), F.transform("c", lambda x: x["h"]).alias(_CUTS))
+    if label is None:
+        row = cuts.first()
+        return HashCuts(key, None, seed, list(row[_CUTS]) if row else [])
+    return HashCuts(key, label, seed, materialise(cuts, "split-cuts"))

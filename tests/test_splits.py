@@ -68,10 +68,31 @@ def test_group_holdout_never_splits_a_group(spark):
         assert per_group[g] == (1 if side == {"train"} else everything[g])
 
 
-def test_too_many_classes_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(splits, "MAX_CLASSES", 0)
-    with pytest.raises(ValueError, match="classes"):
-        splits.stratified_folds(spark.range(10).withColumn("label", F.col("id")), "id", "label")
+def test_five_thousand_classes(spark):
+    """Every class against its rows in order of their hashes; sizes from 1 to 9 rows, and one hot class."""
+    import hashlib
+
+    df = spark.range(30_000).selectExpr("id", "if(id < 8000, -1, 1 + (id * id) % 4999) as label")
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.label, []).append((hashlib.md5(f"42:{r.id}".encode()).hexdigest(), r.id))
+    want = {}
+    for members in rows.values():
+        sizes = splits.fold_sizes(len(members), 5)
+        sides = [f for f, m in enumerate(sizes) for _ in range(m)]
+        want |= {i: side for (_, i), side in zip(sorted(members), sides, strict=True)}
+    assert len(rows) > 2000
+    got = splits.stratified_folds(df, "id", "label")
+    assert got.columns == ["id", "label", "fold"] and {r.id: r.fold for r in got.collect()} == want
+    held = {r.id for r in splits.stratified_holdout(df, "id", "label", 0.2).where("split = 'val'").collect()}
+    assert held == {i for members in rows.values() for _, i in sorted(members)[: -(-len(members) // 5)]}
+
+
+@pytest.mark.parametrize("kind", ["boolean", "double", "string"])
+def test_classes_of_other_types(spark, kind):
+    df = spark.range(100).selectExpr("id", f"cast(id % 2 as {kind}) as label")
+    sizes = splits.stratified_folds(df, "id", "label", 4).groupBy("label", "fold").count().collect()
+    assert sorted(r["count"] for r in sizes) == [12] * 4 + [13] * 4
 
 
 def test_first_rows_with_keys_that_repeat_across_groups(spark):

@@ -34,15 +34,18 @@ def test_vector_scaler(spark):
 
 def test_one_hot(spark):
     train = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "s string")
-    fitted = levels.fit_one_hot(train, "s")
-    assert fitted.levels == ["a", "b", None]
+    known = levels.fit_levels(train, "s")
+    assert {r.s: r.position for r in known.collect()} == {"a": 0, "b": 1, None: 2}
     other = spark.createDataFrame([("a",), ("new",), (None,)], "s string")
-    assert [r.o for r in fitted.transform(other, "o").collect()] == [[1, 0, 0], [0, 0, 0], [0, 0, 1]]
-    with pytest.raises(ValueError, match="levels"):
-        levels.fit_one_hot(train, "s", max_levels=2)
-    table = spark.createDataFrame([("a", 0), (None, 1)], "s string, position int")
-    got = {r.s: r.position for r in levels.level_positions(other, table, "s").collect()}
-    assert got == {"a": 0, "new": None, None: 1}
+    got = levels.level_positions(other, known, "s").withColumn("o", levels.slots("position", 3))
+    assert {r.s: (r.position, r.o) for r in got.collect()} == {"a": (0, [1, 0, 0]), "new": (None, [0, 0, 0]), None: (2, [0, 0, 1])}
+
+
+def test_many_levels(spark):
+    df = spark.range(20_000, numPartitions=7).selectExpr("format_string('%06d', (id * 7919) % 10007) as s")
+    known = levels.fit_levels(df, "s")
+    assert [(r.s, r.position) for r in known.orderBy("s").collect()] == [(f"{i:06d}", i) for i in range(10_007)]
+    assert levels.fit_levels(df.where("false"), "s").count() == 0
 
 
 def test_pca_matches_svd(spark):
