@@ -7,7 +7,8 @@ found. Only that cut travels to the driver. A leaf weighs ``-G / (H + penalty)``
 
 Scale: rows are read as blocks of one-byte interval numbers next to the margin so far. The trees of the last
 ``KEPT`` rounds are applied on the fly; then the margins are written again, so neither the work of a round
-nor the lineage grows with the rounds. Sums are whole numbers (gradients in units of 2^-24), so the trees do
+nor the lineage grows with the rounds. Where the rows are a single partition there is nothing to meet, and
+those rounds are one job. Sums are whole numbers (gradients in units of 2^-24), so the trees do
 not depend on the number of partitions or the order of their results. Rows are drawn by a hash of key and
 round, columns by round: the first r rounds are the same whatever the number of rounds.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -53,11 +54,11 @@ class Trees(NamedTuple):
     cut: np.ndarray
     value: np.ndarray
 
-    def margins(self, x: np.ndarray, rounds: Sequence[int] = ()) -> np.ndarray:
-        """Margin of each row after each number of rounds, by default after all."""
+    def margins(self, x: np.ndarray, rounds: Sequence[int] = (), start: np.ndarray | None = None) -> np.ndarray:
+        """Margin of each row after each number of rounds, by default after all; one tree is added after another."""
         wanted = list(rounds) or [len(self.feature)]
         out = np.empty((len(x), len(wanted)))
-        total, row = np.full(len(x), self.base), np.arange(len(x))
+        total, row = np.full(len(x), self.base) if start is None else start, np.arange(len(x))
         for t in range(max(wanted, default=0) + 1):
             for i, r in enumerate(wanted):
                 if r == t:
@@ -237,7 +238,7 @@ def with_margins(blocks: DataFrame, size: int, trees: Trees) -> DataFrame:
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, labels, codes, margins in _unpacked(batch, size):
-                yield _block(keys, labels, codes, margins + trees.margins(codes)[:, 0])
+                yield _block(keys, labels, codes, trees.margins(codes, start=margins)[:, 0])
 
     return materialise(blocks.mapInArrow(moved, BLOCKS), "boosting")
 
@@ -294,60 +295,80 @@ def best_cut(node: int, features: np.ndarray, sums: np.ndarray, rules: Rules) ->
     return Best(node, float(gain[f, code]), int(features[f]), code, int(left[0, f, code]), int(left[1, f, code]), int(total[0]), int(total[1]))
 
 
-def level_cuts(blocks: DataFrame, size: int, width: int, turn: int, rules: Rules, recent: Trees, tree: Trees, open_nodes: list[int]) -> list[Best]:
-    """The best cut of every open node of the tree that is being grown."""
-    features = drawn_columns(size, rules.seed, turn, rules.columns)
-    place = np.full(tree.feature.shape[1], -1)
-    place[open_nodes] = np.arange(len(open_nodes))
+class Level(NamedTuple):
+    """The open nodes of the tree that a round is growing, after the trees that the margins do not hold yet."""
+
+    turn: int
+    recent: Trees
+    tree: Trees
+    open_nodes: list[int]
+
+
+class Shape(NamedTuple):
+    """Features of the table, and the most intervals of one."""
+
+    size: int
+    width: int
+
+    def sums(self, parts: Iterator[tuple], level: Level, rules: Rules) -> np.ndarray:
+        """Sums (2, open nodes, drawn features, intervals) over blocks of rows."""
+        features = drawn_columns(self.size, rules.seed, level.turn, rules.columns)
+        place = np.full(level.tree.feature.shape[1], -1)
+        place[level.open_nodes] = np.arange(len(level.open_nodes))
+        sums = np.zeros((2, len(level.open_nodes), len(features), self.width), np.int64)
+        offset = np.arange(len(features)) * self.width
+        row_cells, cells = len(features) * self.width, sums[0].size
+        for keys, labels, codes, margins in parts:
+            drawn = np.flatnonzero(drawn_rows(keys, rules.seed, level.turn, rules.rows))
+            codes = codes[drawn]
+            margins = level.recent.margins(codes, start=margins[drawn])[:, 0]
+            own = place[landed(codes, np.arange(len(codes)), level.tree.feature[0], level.tree.cut[0])]
+            inside = np.flatnonzero(own >= 0)
+            cell = (own[inside, None] * row_cells + offset + codes[inside][:, features]).ravel()
+            for i, v in enumerate(gradients(labels[drawn], margins)):
+                # whole numbers of at most 25 bits: a block's sums are exact in doubles
+                sums[i] += np.bincount(cell, np.repeat(v[inside], len(features)), cells).astype(np.int64).reshape(sums.shape[1:])
+        return sums
+
+
+def level_cuts(blocks: DataFrame, shape: Shape, level: Level, rules: Rules) -> list[Best]:
+    """The best cut of every open node, from all tasks."""
+    features = drawn_columns(shape.size, rules.seed, level.turn, rules.columns)
     groups = -(-len(features) // TOGETHER)
-    shape = (2, len(open_nodes), len(features), width)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, np.int64)
-        offset = np.arange(len(features)) * width
-        cells = len(open_nodes) * len(features) * width
-        for batch in batches:
-            for keys, labels, codes, margins in _unpacked(batch, size):
-                drawn = np.flatnonzero(drawn_rows(keys, rules.seed, turn, rules.rows))
-                codes = codes[drawn]
-                margins = margins[drawn] + recent.margins(codes)[:, 0]
-                own = place[landed(codes, np.arange(len(codes)), tree.feature[0], tree.cut[0])]
-                inside = np.flatnonzero(own >= 0)
-                cell = (own[inside, None] * (len(features) * width) + offset + codes[inside][:, features]).ravel()
-                for i, v in enumerate(gradients(labels[drawn], margins)):
-                    # whole numbers of at most 25 bits: a block's sums are exact in doubles
-                    sums[i] += np.bincount(cell, np.repeat(v[inside], len(features)), cells).astype(np.int64).reshape(shape[1:])
-        out = [(n * groups + k, sums[:, n, k * TOGETHER : (k + 1) * TOGETHER].tobytes()) for n in range(len(open_nodes)) for k in range(groups)]
+        sums = shape.sums((block for batch in batches for block in _unpacked(batch, shape.size)), level, rules)
+        out = [(n * groups + k, sums[:, n, k * TOGETHER : (k + 1) * TOGETHER].tobytes()) for n in range(len(level.open_nodes)) for k in range(groups)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["slot", "sums"])
 
     def chosen(slot: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, k = divmod(slot[0].as_py(), groups)
         own = features[k * TOGETHER : (k + 1) * TOGETHER]
-        total = np.zeros((2, len(own), width), np.int64)
+        total = np.zeros((2, len(own), shape.width), np.int64)
         for batch in batches:
             for b in batch.column(1).to_pylist():
                 total += np.frombuffer(b, np.int64).reshape(total.shape)
-        best = best_cut(open_nodes[node], own, total, rules)
-        yield pa.RecordBatch.from_pylist([best._asdict()])
+        yield pa.RecordBatch.from_pylist([best_cut(level.open_nodes[node], own, total, rules)._asdict()])
 
     rows = blocks.mapInArrow(summed, "slot int, sums binary").groupBy("slot").applyInArrow(chosen, BEST).collect()
     found: dict[int, Best] = {}
     for row in sorted((Best(*r) for r in rows), key=lambda b: (b.node, -b.gain, b.feature, b.code)):
         found.setdefault(row.node, row)
-    return [found[n] for n in open_nodes if n in found]
+    return [found[n] for n in level.open_nodes if n in found]
+
 
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def grow(blocks: DataFrame, cuts: list[np.ndarray], turn: int, rules: Rules, recent: Trees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def grow(cuts_of_level: Callable[[Level], list[Best]], turn: int, rules: Rules, recent: Trees) -> Tree:
     """One tree: feature, interval and weight of every node."""
-    size, width = len(cuts), max((len(c) for c in cuts), default=0) + 1
     nodes = 2 ** (rules.depth + 1) - 1
     feature, code, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
     weight = lambda g, h: -rules.step * (g / UNIT) / (h / UNIT + rules.penalty)
     open_nodes = [0]
     while open_nodes:
-        tree = Trees(0.0, feature[None], code[None], value[None])
         following = []
-        for best in level_cuts(blocks, size, width, turn, rules, recent, tree, open_nodes):
+        for best in cuts_of_level(Level(turn, recent, Trees(0.0, feature[None], code[None], value[None]), open_nodes)):
             value[best.node] = weight(best.g, best.h)
             if best.gain < 0:
                 continue
@@ -360,6 +381,39 @@ def grow(blocks: DataFrame, cuts: list[np.ndarray], turn: int, rules: Rules, rec
     return feature, code, value
 
 
+def stacked(trees: Sequence[Tree], rules: Rules) -> Trees:
+    return Trees(0.0, *(np.array([t[i] for t in trees]).reshape(-1, 2 ** (rules.depth + 1) - 1) for i in range(3)))
+
+
+TREES = "turn int, feature binary, code binary, value binary"
+
+
+def grow_in_one_task(blocks: DataFrame, shape: Shape, turns: range, rules: Rules) -> list[Tree]:
+    """The trees of some rounds over rows that are one partition: its sums have nothing to meet.
+
+    The same sums and choices as over many partitions, so the same trees.
+    """
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [block for batch in batches for block in _unpacked(batch, shape.size)]
+        none = stacked([], rules)
+
+        def cuts_of_level(level: Level) -> list[Best]:
+            features = drawn_columns(shape.size, rules.seed, level.turn, rules.columns)
+            sums = shape.sums(iter(held), level, rules)
+            return [best_cut(node, features, sums[:, n], rules) for n, node in enumerate(level.open_nodes)] if held else []
+
+        for turn in turns:
+            tree = grow(cuts_of_level, turn, rules, none)
+            moved = stacked([tree], rules)
+            held = [(keys, labels, codes, moved.margins(codes, start=margins)[:, 0]) for keys, labels, codes, margins in held]
+            row = [pa.array([turn], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in tree)]
+            yield pa.RecordBatch.from_arrays(row, names=["turn", "feature", "code", "value"])
+
+    rows = sorted(blocks.coalesce(1).mapInArrow(grown, TREES).collect(), key=lambda r: r.turn)
+    return [(np.frombuffer(bytes(r.feature), np.int64), np.frombuffer(bytes(r.code)), np.frombuffer(bytes(r.value))) for r in rows]
+
+
 def fit_trees(rows: DataFrame, size: int, rules: Rules, bins: int = BINS) -> Trees:
     """Trees for a table with the columns key hash, label (0 or 1) and array of features."""
     ones, n = rows.agg(F.sum(F.col(rows.columns[1]).cast("long")), F.count(F.lit(1))).first()
@@ -367,16 +421,21 @@ def fit_trees(rows: DataFrame, size: int, rules: Rules, bins: int = BINS) -> Tre
     base = float(np.log(share / (1 - share)))
     cuts = feature_cuts(rows.select(rows.columns[2]), size, bins)
     blocks = blocks_of(rows, cuts, base)
-    grown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    first_kept = 0
-    nodes = 2 ** (rules.depth + 1) - 1
-    stacked = lambda part: Trees(0.0, *(np.array([t[i] for t in part]).reshape(-1, nodes) for i in range(3)))
-    for turn in range(rules.rounds):
-        if turn - first_kept == KEPT:
-            blocks = with_margins(blocks, size, stacked(grown[first_kept:]))
-            first_kept = turn
-        grown.append(grow(blocks, cuts, turn, rules, stacked(grown[first_kept:])))
-    trees = stacked(grown)
+    shape = Shape(size, max((len(c) for c in cuts), default=0) + 1)
+    alone = blocks.rdd.getNumPartitions() <= 1
+    grown: list[Tree] = []
+    while len(grown) < rules.rounds:
+        first = len(grown)
+        if first:
+            blocks = with_margins(blocks, size, stacked(grown[-KEPT:], rules))
+        turns = range(first, min(first + KEPT, rules.rounds))
+        if alone:
+            grown += grow_in_one_task(blocks, shape, turns, rules)
+            continue
+        for turn in turns:
+            recent = stacked(grown[first:], rules)
+            grown.append(grow(lambda level: level_cuts(blocks, shape, level, rules), turn, rules, recent))  # noqa: B023
+    trees = stacked(grown, rules)
     values = np.zeros(trees.feature.shape)
     for f, own in enumerate(cuts):
         at = trees.feature == f

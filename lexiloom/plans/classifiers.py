@@ -126,7 +126,7 @@ def perceptron(
     train: DataFrame,
     inputs: Inputs,
     hidden: int = 128,
-    max_iter: int = 20,
+    max_iter: int = 10,
     seed: int = 42,
     batches: int = 8,
     rate: float = 5e-3,
@@ -146,7 +146,7 @@ def head_states(
     train: DataFrame,
     inputs: Inputs,
     hidden: int = 128,
-    max_iter: int = 20,
+    max_iter: int = 10,
     seed: int = 42,
     batches: int = 8,
     rate: float = 5e-3,

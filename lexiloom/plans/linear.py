@@ -121,7 +121,10 @@ def added_up(blocks: DataFrame, length: int, unpack: Callable[[pa.RecordBatch],
                 total = np.frombuffer(v) + (0 if total is None else total)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["i", "v"])
 
-    rows = blocks.mapInArrow(partial, "i int, v binary").groupBy("i").applyInArrow(merged, "i int, v binary").collect()
+    parts = blocks.mapInArrow(partial, "i int, v binary")
+    if blocks.rdd.getNumPartitions() > 1:
+        parts = parts.groupBy("i").applyInArrow(merged, "i int, v binary")
+    rows = parts.collect()
     out = np.zeros(length)
     for row in rows:
         v = np.frombuffer(bytes(row.v))
