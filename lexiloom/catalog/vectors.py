@@ -11,7 +11,7 @@ from lexiloom.catalog.registry import ORACLES, big, query, rounded
 from lexiloom.catalog.tables import documents, spread_documents
 from lexiloom.catalog.text import TOKENS_SQL
 from lexiloom.functions import vectors
-from lexiloom.operators import encode, levels, neighbours, reduction, scaling, splits
+from lexiloom.operators import descent, encode, levels, neighbours, reduction, scaling, splits
 from lexiloom.operators.rows import take_rows
 from lexiloom.session import materialise, scratch_path
 from lexiloom.sources.results import cached_vectors
@@ -160,6 +160,20 @@ def v6_cells(spark: SparkSession, sf: str) -> DataFrame:
     return near(neighbours.knn_cosine(embeddings(spark, sf), "vec_id", "embedding", rows_per_pivot=25, block_rows=16))
 
 
+@query("v6_knn_descent")
+def v6_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate neighbours of every vector; ``v6_knn_recall`` holds them against the exact ones."""
+    return near(descent.knn_descent(embeddings(spark, sf), "vec_id", "embedding"))
+
+
+@query("v6_knn_recall", f"WITH {KNN_SQL} SELECT count(*) AS wanted, TRUE AS nine_tenths_found FROM knn")
+def v6_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of all exact neighbours the descent found."""
+    found = descent.knn_descent(embeddings(spark, sf), "vec_id", "embedding")
+    exact = neighbours.knn_cosine(embeddings(spark, sf), "vec_id", "embedding")
+    return descent.recall(found, exact, "vec_id").select("wanted", (10 * F.col("hits") >= 9 * F.col("wanted")).alias("nine_tenths_found"))
+
+
 FUZZY_SQL = f"""RECURSIVE {KNN_SQL},
 r AS (SELECT vec_id, coalesce(min(distance) FILTER (distance > 0), 0) AS rho, log2(count(*)) AS target, count(*) AS k FROM knn GROUP BY vec_id),
 g AS (SELECT vec_id, neighbour, greatest(distance - rho, 0) AS gap FROM knn JOIN r USING (vec_id)),
