@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint, VectorSlicer
@@ -17,6 +18,7 @@ from lexiloom.functions.text import safe_text
 from lexiloom.operators.reduction import fit_pca
 from lexiloom.operators.scaling import fit_vector_scaler
 from lexiloom.operators.tfidf import LARGE, SMALL, TermRules, fit_tfidf
+from lexiloom.plans.places import fit_places
 
 FEATURES = "features"
 MISSING_LEVEL = "\u0000missing"
@@ -108,10 +110,15 @@ def text_metadata_stages(train: DataFrame, inputs: Inputs, rules: TermRules = LA
     ]
 
 
-def vector_metadata_stages(train: DataFrame, inputs: Inputs, components: int | None = None) -> list[Transformer]:
-    """Standardised vectors, or their first principal components, next to the metadata."""
-    size = components or vector_size(train, inputs.vector)
-    if components is None:
+def vector_metadata_stages(
+    train: DataFrame, inputs: Inputs, components: int | None = None, layout: int | None = None, **options: Any
+) -> list[Transformer]:
+    """Standardised vectors, their first principal components, or a layout of so many dimensions, next to the metadata."""
+    size = components or layout or vector_size(train, inputs.vector)
+    if layout is not None:
+        scaled = fit_vector_scaler(train, inputs.vector, "vector_scaled")
+        stages = [*scaled, fit_places(apply(scaled, train), "vector_scaled", "vector_features", layout, **options)]
+    elif components is None:
         stages = fit_vector_scaler(train, inputs.vector, "vector_features")
     else:
         stages = fit_pca(train, inputs.vector, "vector_features", components)

@@ -89,8 +89,8 @@ def _logistic_regression_vectors(**fit: Any) -> Plan:
     return Plan(vector_metadata_stages, partial(classifiers.logistic_regression, **fit), ("vector",))
 
 
-def _boosted_trees(components: int | None = None, **trees: Any) -> Plan:
-    features = partial(vector_metadata_stages, components=components)
+def _boosted_trees(components: int | None = None, layout: int | None = None, layout_options: dict[str, Any] | None = None, **trees: Any) -> Plan:
+    features = partial(vector_metadata_stages, components=components, layout=layout, **(layout_options or {}))
     return Plan(features, partial(classifiers.boosted_trees, **trees), ("vector",))
 
 
@@ -109,6 +109,7 @@ MODELS: dict[str, Callable[..., Plan]] = {
     "logistic_regression_vectors": _logistic_regression_vectors,
     "boosted_trees": _boosted_trees,
     "boosted_trees_pca": partial(_boosted_trees, components=128),
+    "boosted_trees_layout": partial(_boosted_trees, layout=16),
     "perceptron": _perceptron,
     "majority": _majority,
 }

@@ -78,7 +78,7 @@ def test_one_run_for_each_model_on_texts_and_metadata(spark, files, tmp_path, na
     assert load_model(path).stages
 
 
-@pytest.mark.parametrize("name,parameters", [("boosted_trees_pca", {"rounds": 5, "depth": 3, "components": 8}), ("perceptron", {"max_iter": 30}), ("logistic_regression_vectors", {})])
+@pytest.mark.parametrize("name,parameters", [("boosted_trees_pca", {"rounds": 5, "depth": 3, "components": 8}), ("boosted_trees_layout", {"rounds": 5, "depth": 3, "layout": 3, "layout_options": {"epochs": 5, "neighbours": 8}}), ("perceptron", {"max_iter": 30}), ("logistic_regression_vectors", {})])
 def test_one_run_for_each_model_on_vectors(spark, files, tmp_path, name, parameters):
     run = runs.train_metadata(spark, name, *files, str(tmp_path), scratch_path(spark, "store"), folds=None, holdout=0.25, **parameters)
     assert run.report.first().accuracy > 0.6
