@@ -8,13 +8,19 @@ blocks, and blocks of one parent element, are joined by edges whose capacity gro
 with their proximity in the DOM. Blocks on the source side of the minimum cut are
 the main text.
 
+Tags that hold no article text (menus, forms, footers), hidden elements, adverts and
+reader comments bar a block. What class, id and role say is evidence only: long prose
+outweighs a name, and where names alone leave nothing of a page, they do not count. A
+page without any hint is its text that nothing speaks against.
+
 Pages are independent rows: no shuffle, memory bounded by one batch of pages and one
 page's blocks.
 
 Defined results: null, empty and textless pages give an empty text; unclosed tags end
 where the enclosing element or the page ends; a self-closed svg, and in XHTML any
 self-closed element without text of the page, ends where it stands; unknown end tags are skipped; broken
-character references stay as they are; repeated rows get the same text.
+character references stay as they are; repeated rows get the same text; a very long page
+is one row like any other; columns named like results give way to them.
 """
 
 import html
@@ -47,8 +53,8 @@ def tokens(self_closed: str) -> re.Pattern[str]:
 TOKEN, XHTML_TOKEN = tokens("svg"), tokens(SILENT)
 XHTML = re.compile(r"\A\W*<\?xml\b|<!doctype[^>]*\bxhtml\b|<html\b[^>]*\bxmlns\s*=", re.I)
 HEAD = 4096
-NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true|(?:^|\s)hidden(?:\s|=|/|$)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,7 +82,9 @@ ABSENT = frozenset("with without has no not".split())
 CONTENT_NAMES = frozenset("article articlebody content entry main post story text".split())
 
 #: the classifier: fixed weights
-BIAS, PER_LOG_WORD, LINKS, SENTENCE, HEADING, INSIDE, OUTSIDE = -1.2, 0.5, -4.0, 0.8, 1.0, 4.0, -8.0
+BIAS, PER_LOG_WORD, LINKS, SENTENCE, HEADING, INSIDE, BARRED = -1.2, 0.5, -4.0, 0.8, 1.0, 5.0, -12.0
+#: a name of boilerplate: by itself, and as a part of a longer one
+NAMED, PART_NAMED = -7.0, -6.0
 #: smoothness: consecutive blocks of one parent, of one grandparent, other; and the last block of the same parent
 SAME_PARENT, SAME_GRANDPARENT, ADJACENT, SIBLING, ACROSS = 1.5, 0.75, 0.3, 0.75, 0.1
 
@@ -87,6 +95,8 @@ class Element(NamedTuple):
     parent: int
     inside: bool  # of an element that is named as content
     outside: int  # number of the outermost boilerplate element around, or 0
+    barred: bool  # by a tag, hiding, or a name that decides
+    name: float  # what names around say against it
 
 
 class TextBlock(NamedTuple):
@@ -98,31 +108,45 @@ class TextBlock(NamedTuple):
     grandparent: int
     inside: bool
     outside: int
+    barred: bool
+    name: float
+
+
+def attributes_of(tag: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
-def named(attributes: str, inside: bool) -> int:
-    """What class, id and role say: -1 boilerplate, 1 content, 0 nothing.
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING_STYLE.search(attributes.get("style", "")))
+
+
+def named(attributes: dict[str, str], inside: bool) -> tuple[bool, float, bool]:
+    """What class, id and role say: is it barred, what speaks against it, is it content?
 
     The last part of a compound says what an element is, the first where it belongs;
     "with-sidebar" says neither. A header inside an article heads the article.
     """
-    found = 0
-    for match in NAME.finditer(attributes):
-        for value in (match[1] or match[2] or match[3] or "").split():
-            parts = [x.lower() for x in PART.findall(value)]
-            if not parts or ABSENT.intersection(parts):
-                continue
-            if inside and parts[-1] == "header":
-                continue
-            if ALWAYS.intersection(parts) or parts[-1] in BOILERPLATE_NAMES or parts[0] in BOILERPLATE_NAMES:
-                return -1
-            found |= not CONTENT_NAMES.isdisjoint(parts) or value.lower() in CONTENT_NAMES
-    return int(found)
+    barred, against, content = False, 0.0, False
+    for value in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split():
+        parts = [x.lower() for x in PART.findall(value)]
+        if not parts or ABSENT.intersection(parts):
+            continue
+        if inside and parts[-1] == "header":
+            continue
+        barred |= parts[0] in ALWAYS or parts[-1] in ALWAYS
+        if parts[-1] in BOILERPLATE_NAMES or parts[0] in BOILERPLATE_NAMES:
+            against = min(against, NAMED if len(parts) == 1 or not inside else PART_NAMED)
+        content |= not CONTENT_NAMES.isdisjoint(parts) or value.lower() in CONTENT_NAMES
+    return barred, against, content
 
 
 def text_blocks(page: str) -> list[TextBlock]:
     """Text between block-level tags, in page order; white space is one space."""
-    stack = [Element("", 0, 0, False, 0)]
+    stack = [Element("", 0, 0, False, 0, False, 0.0)]
     opened: dict[str, int] = {}
     blocks: list[TextBlock] = []
     parts: list[str] = []
@@ -135,7 +159,7 @@ def text_blocks(page: str) -> list[TextBlock]:
         if text:
             own = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
             up = own.parent
-            blocks.append(TextBlock(text, min(linked, len(text)), own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), own.number, up, parents.get(up, 0), own.inside, own.outside))
+            blocks.append(TextBlock(text, min(linked, len(text)), own.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), own.number, up, parents.get(up, 0), own.inside, own.outside, own.barred, own.name))
         parts, linked = [], 0
 
     def close(to: int) -> None:
@@ -176,20 +200,22 @@ def text_blocks(page: str) -> list[TextBlock]:
                     break
         around = stack[-1]
         numbers += 1
-        outside, inside = around.outside, around.inside
+        outside, inside, barred, name = around.outside, around.inside, around.barred, around.name
         if tag in BLOCK or attributes:
-            name = named(attributes, inside) if attributes and tag not in ("html", "body") else 0
-            bad = name < 0 or tag in BOILERPLATE_TAGS or (tag == "header" and not inside)
-            if bad or (attributes and HIDDEN.search(attributes)):
+            held = attributes_of(attributes) if attributes else {}
+            never, against, content = named(held, inside) if held and tag not in ("html", "body") else (False, 0.0, False)
+            barred |= never or hidden(held) or tag in BOILERPLATE_TAGS or (tag == "header" and not inside)
+            name = min(name, against)
+            if (barred and not around.barred) or against < 0:
                 outside = outside or numbers
-            elif tag in CONTENT_TAGS or name > 0:
+            elif tag in CONTENT_TAGS or content:
                 inside = True
         if tag in BLOCK:
             parent = next((e.number for e in reversed(stack) if e.tag in BLOCK), 0)
             parents[numbers] = parent
         else:
             parent = around.parent
-        stack.append(Element(tag, numbers, parent, inside, outside))
+        stack.append(Element(tag, numbers, parent, inside, outside, barred, name))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         if attributes.endswith("/") and tag not in BLOCK and tag != "a":
@@ -207,7 +233,7 @@ def cost(block: TextBlock) -> float:
     words = block.text.count(" ") + 1
     score = BIAS + PER_LOG_WORD * words.bit_length() + LINKS * block.linked / len(block.text)
     score += SENTENCE * (words > 2 and block.text[-1] in ".!?…。\"'»”") + HEADING * block.heading
-    return score + INSIDE * block.inside + OUTSIDE * bool(block.outside)
+    return score + INSIDE * block.inside + (BARRED if block.barred else block.name)
 
 
 def edges(blocks: list[TextBlock]) -> list[tuple[int, int, float]]:
@@ -295,10 +321,18 @@ def source_side(costs: list[float], links: list[tuple[int, int, float]]) -> list
                     break
 
 
+def labels(blocks: list[TextBlock]) -> list[bool]:
+    """Which blocks are main text."""
+    content = source_side([cost(b) for b in blocks], edges(blocks))
+    if not any(content) and any(b.name < 0 and not b.barred for b in blocks):
+        unnamed = [b._replace(name=0.0) for b in blocks]
+        content = source_side([cost(b) for b in unnamed], edges(unnamed))
+    return content if any(content) else [not b.barred and not b.name for b in blocks]
+
+
 def main_text(page: str | None) -> str:
     blocks = text_blocks(page or "")
-    content = source_side([cost(b) for b in blocks], edges(blocks))
-    return " ".join(b.text for b, c in zip(blocks, content, strict=True) if c)
+    return " ".join(b.text for b, c in zip(blocks, labels(blocks), strict=True) if c)
 
 
 def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -63,6 +63,52 @@ def test_pages(page, text):
     assert extraction.main_text(page) == text
 
 
+PROSE = "The knights rode north for nine days, and nobody in the valley heard of them again."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'aria-label="The hidden cost"', 'id="login"', 'id="menu"', 'class="related-work"', 'id="application-form"', 'id="banner-of-the-knights"',
+        'class="footer-less"', 'data-id="share"', 'title="display: none"', 'data-hidden="x"',
+    ],
+)
+def test_no_name_empties_an_article(attributes):
+    assert extraction.main_text(f"<article {attributes}><h1>Head</h1><p>{PROSE}</p></article>") == f"Head {PROSE}"
+    assert extraction.main_text(f"<article><section {attributes}><p>{PROSE}</p></section></article>") == PROSE
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>Hello world.</p>", "Hello world."),
+        ("<article><ul><li><a href=a>First page</a><li><a href=b>Second page</a></ul></article>", "First page Second page"),
+        ("<div class=menu><a href=a>Home</a> <a href=b>News</a></div>", ""),
+        (f"<article><p>{PROSE}</p><div class='share-bar'>Share this article on</div><div id=related><a href=x>More on knights</a></div></article>", PROSE),
+        (f"<article><p>{PROSE}</p><div class=newsletter>Subscribe to get the latest stories every week.</div><p aria-hidden='true'>{PROSE}</p></article>", PROSE),
+        (f"<article><p>{PROSE}</p><div class=comments><p>{PROSE} {PROSE} {PROSE}</p></div><p style='color:red; display:none'>{PROSE}</p></article>", PROSE),
+    ],
+)
+def test_what_a_page_says_about_its_parts(page, text):
+    assert extraction.main_text(page) == text
+
+
+def test_the_cut_decides():
+    """By themselves the short lines between long ones look like boilerplate, and the long teaser like content."""
+    page = f"<div><p>{PROSE}</p><p>By noon</p><p>{PROSE}</p><p>At last</p><p>{PROSE}</p></div><div><p><a href=a>Top</a></p><p>Two words more.</p><p><a href=b>Site map</a></p></div>"
+    blocks = extraction.text_blocks(page)
+    alone = [extraction.cost(b) > 0 for b in blocks]
+    together = extraction.labels(blocks)
+    changed = [b.text for b, a, t in zip(blocks, alone, together, strict=True) if a != t]
+    assert changed == ["By noon", "At last", "Two words more."]
+    assert extraction.main_text(page) == f"{PROSE} By noon {PROSE} At last {PROSE}"
+
+
+def test_a_very_long_page():
+    page = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article><nav>" + "<a href=x>y</a>" * 20_000 + "</nav>"
+    assert extraction.main_text(page) == " ".join([PROSE] * 20_000)
+
+
 XHTML = '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><body>'
 
 
