@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.catalog.registry import big, query, rounded
 from lexiloom.catalog.tables import SCORED_SQL, documents, fold_sql, scored
 from lexiloom.operators import groups, metrics, selection, splits
+from lexiloom.operators.information import neighbour_information
 from lexiloom.sources.tables import read_table
 
 
@@ -272,6 +273,29 @@ def r3(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumn("mi", rounded("mi"))
 
 
+@query(
+    "r3_neighbour_information",
+    """WITH RECURSIVE u AS (SELECT c_mktsegment AS cls, unnest(['c_acctbal', 'c_nationkey']) AS feature, unnest([c_acctbal::DOUBLE, c_nationkey::DOUBLE]) AS x FROM customer),
+c AS (SELECT feature, cls, x, count(*) AS m, sum(count(*)) OVER (PARTITION BY feature, cls) AS n FROM u GROUP BY feature, cls, x),
+near AS (SELECT a.feature, a.cls, a.x, a.m, a.n, abs(b.x - a.x) AS d, sum(b.m - (b.x = a.x)::INT) AS k
+         FROM c a JOIN c b USING (feature, cls) GROUP BY ALL),
+upto AS (SELECT *, sum(k) OVER (PARTITION BY feature, cls, x ORDER BY d) AS seen FROM near),
+r AS (SELECT feature, cls, x, any_value(m) AS m, any_value(n) AS n, least(3, any_value(n) - 1) AS kth, min(d) FILTER (seen >= least(3, n - 1)) AS d
+      FROM upto GROUP BY feature, cls, x),
+v AS (SELECT feature, x, count(*) AS n FROM u GROUP BY feature, x),
+i AS (SELECT r.feature, cls, r.x, any_value(m) AS m, any_value(r.n) AS n, any_value(kth) AS kth, sum(v.n) AS inside
+      FROM r JOIN v ON r.feature = v.feature AND (abs(v.x - r.x) < d - 1e-12::DOUBLE * (abs(r.x) + d) OR v.x = r.x) GROUP BY r.feature, cls, r.x),
+h AS (SELECT 1 AS n, 0.0::DOUBLE AS h UNION ALL SELECT n + 1, h + 1.0::DOUBLE / n FROM h WHERE n < (SELECT count(*) FROM customer)),
+t AS (SELECT feature, sum(m) AS n, sum(m * (hk.h - hn.h - hi.h)) / sum(m) AS mean
+      FROM i JOIN h hk ON hk.n = kth JOIN h hn ON hn.n = i.n JOIN h hi ON hi.n = inside GROUP BY feature)
+SELECT feature, round(greatest(h + mean, 0), 6) AS mi FROM t JOIN h USING (n)""",
+)
+def r3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-neighbour estimate; the harmonic sums in SQL are the digamma function but for a constant that cancels."""
+    rows = read_table(spark, sf, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
+    return neighbour_information(rows, ["c_acctbal", "c_nationkey"], "c_mktsegment").withColumn("mi", rounded("mi"))
+
+
 @query("e1_accuracy", f"WITH {SCORED_SQL} SELECT round(avg((label = prediction)::INT), 6) AS accuracy FROM scored")
 def e1(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).agg(rounded(metrics.accuracy()).alias("accuracy"))
