@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import date
 
@@ -9,6 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BUCKETS = 32
 
 
 def submission(df: DataFrame, key: str, prediction: str = "prediction") -> DataFrame:
@@ -43,38 +47,73 @@ def cached_vectors(
     text: str,
     encoder_id: str,
     encode: Callable[[DataFrame], DataFrame],
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``df`` with the ``vector`` of its text from a Parquet store; each missing text is encoded once.
 
     The store is keyed by the content of the text and split by ``encoder_id``, which
     must name everything that shapes a vector. ``encode`` turns ``digest, <text>``
     into ``digest, vector``. A row without a vector afterwards is an error.
+
+    Its files are bucketed by digest, so looking up what it holds shuffles the texts'
+    digests alone, never the stored vectors. A store of another number of ``buckets`` is
+    another store.
     """
-    own = f"{path}/encoder_id={encoder_id}"
     rows = df.withColumn("digest", content_key(text))
-    known = _read_if_written(spark, own)
     texts = rows.select("digest", text)
-    missing = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
-    encode(missing.dropDuplicates(["digest"])).select("digest", "vector").write.mode("append").parquet(own)
-    # two runs may have appended the same text
-    store = spark.read.parquet(own).dropDuplicates(["digest"])
-    found = rows.join(store, "digest", "left").drop("digest")
+    kind = _stored_kind(spark, _store_path(path, encoder_id, buckets))
+    if kind is not None:
+        known = spark.table(open_store(spark, path, encoder_id, kind, buckets))
+        texts = texts.join(known.select("digest"), "digest", "left_anti")
+    fresh = encode(texts.dropDuplicates(["digest"])).select("digest", "vector")
+    kind = fresh.schema["vector"].dataType
+    store = open_store(spark, path, encoder_id, kind, buckets)
+    fresh.repartition(buckets, "digest").write.insertInto(store)
+    found = rows.join(_once(spark.table(store)), "digest", "left").drop("digest")
     lost = F.raise_error(F.lit("the store does not hold the vector of a text"))
-    return found.withColumn("vector", F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(lost.cast(found.schema["vector"].dataType)))
+    return found.withColumn("vector", F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(lost.cast(kind)))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def open_store(spark: SparkSession, path: str, encoder_id: str, kind: T.DataType, buckets: int = BUCKETS) -> str:
+    """Name of the table over the files of one encoder's vectors; it need not exist yet."""
+    own = _store_path(path, encoder_id, buckets)
+    name = f"vectors_{hashlib.sha1(own.encode()).hexdigest()}"
+    place = own.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, vector {kind.simpleString()}) USING parquet "
+        f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    spark.catalog.refreshTable(name)
+    return name
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def _store_path(path: str, encoder_id: str, buckets: int) -> str:
+    return f"{path}/encoder_id={encoder_id}/buckets={buckets}"
 
 
-def _read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored_kind(spark: SparkSession, path: str) -> T.DataType | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).schema["vector"].dataType
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+
+
+def _once(store: DataFrame) -> DataFrame:
+    """Two runs may have appended the same text; in a bucketed table that needs no shuffle."""
+    return store.groupBy("digest").agg(F.first("vector").alias("vector"))
+
+
+def compact_store(spark: SparkSession, path: str, to: str, encoder_id: str, kind: T.DataType, buckets: int = BUCKETS) -> None:
+    """Copy a store that many runs appended to: one file a bucket, each text once. ``to`` must be new."""
+    found = _once(spark.table(open_store(spark, path, encoder_id, kind, buckets)))
+    found.repartition(buckets, "digest").write.insertInto(open_store(spark, to, encoder_id, kind, buckets))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.session import scratch_path
 from lexiloom.sources import json_lines, results
@@ -96,6 +97,35 @@ def test_cached_vectors_belong_to_the_text(spark):
     assert results.cached_vectors(spark, one, path, "t", "base", encode).count() == 5  # a text that was appended twice
 
 
+def test_the_store_is_not_shuffled(spark):
+    """Looking up what is stored moves the texts' digests; removing repeats and compaction keep each text once."""
+
+    def encode(df):
+        return df.select("digest", F.array(F.length("t").cast("double")).alias("vector"))
+
+    path, other = scratch_path(spark, "store"), scratch_path(spark, "store")
+    df = spark.range(300).selectExpr("id", "concat('text ', id) as t")
+    results.cached_vectors(spark, df, path, "t", "e", encode, buckets=4)
+    kind = T.ArrayType(T.DoubleType())
+    store = results.open_store(spark, path, "e", kind, 4)
+    spark.table(store).limit(50).repartition(4, "digest").write.insertInto(store)  # another run had them too
+    assert spark.table(store).count() == 350
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = results.cached_vectors(spark, df, path, "t", "e", encode, buckets=4)
+        assert got.count() == 300
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        executed = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    stored = executed[executed.index("SortAggregate") if "SortAggregate" in executed else executed.index("Aggregate") :]
+    assert "vectors_" in plan and "Bucketed: true" in stored and "Exchange" not in stored
+    results.compact_store(spark, path, other, "e", kind, 4)
+    compact = spark.table(results.open_store(spark, other, "e", kind, 4))
+    assert compact.count() == 300 and compact.select("digest").distinct().count() == 300
+
+
 def test_a_missing_vector_is_an_error(spark):
     df = spark.createDataFrame([(1, "a")], "k long, t string")
     with pytest.raises(Exception, match="does not hold"):
