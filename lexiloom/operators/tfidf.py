@@ -18,7 +18,6 @@ from pyspark.ml.feature import (
     Normalizer,
     SQLTransformer,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +151,8 @@ class TfidfModel:
         """``key, term, weight`` of the non-zero entries, without a shuffle."""
         spark = df.sparkSession
         names = spark.createDataFrame(list(enumerate(self.terms)), "position int, term string")
-        entries = F.transform(vector_to_array("v"), lambda w, i: F.struct(i.alias("position"), w.alias("weight")))
-        # only what is not zero leaves the row
+        stored = F.unwrap_udt("v")  # a sparse vector: what is zero is never there
+        entries = F.arrays_zip(stored["indices"].alias("position"), stored["values"].alias("weight"))
         found = F.inline(F.filter(entries, lambda e: e["weight"] > 0))
         cells = self.transform(df.select(key, text), text, "v").select(key, found)
         # the vocabulary holds max_features rows at most
