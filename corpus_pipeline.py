@@ -19,18 +19,37 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the quality classifier keeps.
+
+    Null, empty and blank texts go; repeated rows stay or go together; a very long text is one row like
+    any other; an empty table stays empty; all columns stay as they are.
+    """
     return weak_labels.reject_poor(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents below the toxicity limit, by a model of the labels that ``docs`` still has texts for.
+
+    Null and empty texts are scored as texts without words; rows of one text stay or go together; an empty
+    table stays empty; all columns stay as they are.
+    """
     return toxicity.reject_toxic(docs, _table(spark, folder, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, null last.
+
+    Texts without words are near copies of each other; of repeated rows one stays; all columns stay as they are.
+    """
     return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that share no window with an item of the benchmark.
+
+    Texts without words stay; repeated rows stay or go together; an empty benchmark takes nothing away; all
+    columns stay as they are.
+    """
     return decontaminate.decontaminate(docs, _table(spark, folder, "benchmark"))
 
 
