@@ -16,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.operators.splits import split_hash
 from lexiloom.session import materialise
@@ -27,6 +29,10 @@ MAX_PIVOT_BYTES = 64 << 20  # what is broadcast grows with pivots x dimensions,
 ROWS_PER_PIVOT = 4000
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
+GROUPS, LEAST_ROWS = 8, 256  # groups of a side, unless they hold fewer rows than this
+GROUP_ROWS, GROUP_BYTES = 1 << 16, 64 << 20
+TILES = 1 << 10, 1 << 13  # members of the first product of a chunk, and of the largest one
+NO_KEY = np.iinfo(np.int64).min
 NEAR = 8  # pivots that bound the distance of the k-th neighbour
 STEPS = 1e-12  # resolution at which distances are compared; ties go to the smaller id
 SLACK = 1e-9  # on squared distances, far above STEPS and rounding
@@ -34,14 +40,14 @@ SLACK = 1e-9  # on squared distances, far above STEPS and rounding
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots, and per cell its extent and number of blocks: size bounded by MAX_PIVOTS."""
+    """Pivots, and per cell its extent and members: size bounded by MAX_PIVOTS."""
 
     pivots: np.ndarray
     far: np.ndarray
     close: np.ndarray
     nearest: np.ndarray
-    members_blocks: np.ndarray
-    query_blocks: np.ndarray
+    members: np.ndarray
+    block_rows: int
 
     def distances(self, units: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * (units @ self.pivots.T), 0))
@@ -51,14 +57,34 @@ class Cells:
         d = self.distances(units)
         rows = np.arange(len(d))
         own = d.argmin(axis=1)
-        near = np.argsort(d, axis=1)[:, :NEAR]
+        near = np.argpartition(d, NEAR, axis=1)[:, :NEAR] if d.shape[1] > NEAR else np.tile(np.arange(d.shape[1]), (len(d), 1))
         upper = (d[rows[:, None], near][:, :, None] + self.nearest[near]).reshape(len(d), -1)
         bound = np.partition(upper, k, axis=1)[:, k] if upper.shape[1] > k else np.full(len(d), np.inf)
         between = np.sqrt(np.maximum(2 - 2 * (self.pivots[own] @ self.pivots.T), 0))
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(between > 0, (d**2 - d[rows, own][:, None] ** 2) / (2 * between), 0)
         lower = np.maximum.reduce([d - self.far, self.close - d, plane, np.zeros_like(d)])
-        return (lower**2 <= bound[:, None] ** 2 + SLACK) & (self.members_blocks > 0)
+        return (lower**2 <= bound[:, None] ** 2 + SLACK) & (self.members > 0)
+
+    def groups(self, cell: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
+        """Which of ``count`` groups each row of a cell is in: that of its block, dealt in cell order."""
+        spread = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        block = (spread % self._blocks()[cell].astype(np.uint64)).astype(np.int64)
+        return self._dealt(cell, block, count)
+
+    def group_cells(self, group: int, count: int) -> np.ndarray:
+        """The cells that have a block in a group."""
+        every = np.arange(len(self.members))
+        first, last = self._dealt(every, np.zeros(len(every), np.int64), count), self._dealt(every, self._blocks() - 1, count)
+        return np.flatnonzero((first <= group) & (group <= last) & (self.members > 0))
+
+    def _blocks(self) -> np.ndarray:
+        return np.maximum(-(-self.members // self.block_rows), 1)
+
+    def _dealt(self, cell: np.ndarray, block: np.ndarray, count: int) -> np.ndarray:
+        before = np.cumsum(self.members) - self.members
+        place = before[cell] + block * self.members[cell] // self._blocks()[cell]
+        return np.minimum(place * count // max(int(self.members.sum()), 1), count - 1)
 
 
 def knn_cosine(
@@ -185,48 +211,113 @@ def _expand(found: DataFrame, copies: Copies, k: int) -> DataFrame:
     )
 
 
+PACKED = "mg int, qg int, ids binary, cells binary, visits binary, v binary"
+FOUND = "id long, n long, d long"
+
+
 def _search(rows: DataFrame, k: int, rows_per_pivot: int, block_rows: int) -> DataFrame:
     """``id, n, d``: candidates that include the k nearest of each row; ``d`` counts STEPS."""
     n = rows.count()
     sample = _units([r["v"] for r in rows.limit(1).collect()] or [[0.0]])
-    pivots = min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * sample.shape[1]), math.ceil(n / rows_per_pivot))
+    width = sample.shape[1]
+    pivots = min(MAX_PIVOTS, MAX_PIVOT_BYTES // (8 * width), math.ceil(n / rows_per_pivot))
     if pivots <= 1:
-        blocks = np.array([max(1, math.ceil(n / block_rows))])
         one = np.zeros(1)
-        cells = Cells(sample, one + 2, one, np.full((1, k + 1), np.inf), blocks, blocks)
+        cells = Cells(sample, one + 2, one, np.full((1, k + 1), np.inf), np.array([n]), block_rows)
     else:
         cells = _fit_cells(rows, k, pivots, block_rows)
-    schema = "cell int, mb int, qb int, id long, v binary"
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _chunks(batches):
-            own = cells.distances(_units(batch["v"])).argmin(axis=1)
-            yield _placed(batch, np.arange(len(batch)), own, cells.members_blocks, cells.query_blocks, "mb", "qb")
-
-    def queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _chunks(batches):
-            at, cell = np.nonzero(cells.visits(_units(batch["v"]), k))
-            yield _placed(batch, at, cell, cells.query_blocks, cells.members_blocks, "qb", "mb")
-
-    def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(q, m, k)
-
-    place = ["cell", "mb", "qb"]
-    return (
-        rows.mapInPandas(queries, schema)
-        .groupBy(*place)
-        .cogroup(rows.mapInPandas(members, schema).groupBy(*place))
-        .applyInPandas(match, "id long, n long, d long")
-    )
+    most = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * width)))
+    count = max(math.ceil(n / most), min(GROUPS, math.ceil(n / LEAST_ROWS)), 1)
+    inside = [cells.group_cells(g, count) for g in range(count)]
+    # vectors travel as they are stored
+    kind = np.float32 if rows.schema["v"].dataType == T.ArrayType(T.FloatType()) else np.float64
+
+    def placed(batches: Iterator[pa.RecordBatch], queries: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).fill_null(NO_KEY).to_numpy(), _entries(batch.column(1)).astype(kind)
+            yield _packed_rows(_placed(ids, x, cells, inside, k, queries))
+
+    def match(q: pa.Table, m: pa.Table) -> pa.Table:
+        if not (len(q) and len(m)):
+            return _found([])
+        here = inside[m.column("mg")[0].as_py()]
+        ids, names = (np.frombuffer(_joined(t, "ids"), np.int64) for t in (q, m))
+        own, cell = (np.frombuffer(_joined(t, "cells"), np.int32) for t in (q, m))
+        bits = np.frombuffer(_joined(q, "visits"), np.uint8).reshape(len(ids), -1)
+        queries, members = (np.frombuffer(_joined(t, "v"), kind).reshape(len(i), -1) for t, i in ((q, ids), (m, names)))
+        order = np.argsort(cell, kind="stable")
+        names, cell, members = names[order], cell[order], _units(members[order])
+        rough = members.astype(np.float32)
+        order = np.argsort(own, kind="stable")
+        out = []
+        for i in range(0, len(order), CHUNK_ROWS):
+            at = order[i : i + CHUNK_ROWS]
+            met = here[np.unpackbits(bits[at], axis=1, count=len(here)).any(axis=0)]
+            some = slice(None) if len(met) == len(here) else np.flatnonzero(np.isin(cell, met))
+            out.append(_nearest(ids[at], _units(queries[at]), names[some], members[some], rough[some], k))
+        return _found(out)
+
+    # the groups of one task each; their number is known, so nothing merges them again
+    sides = (rows.mapInArrow(lambda b, queries=queries: placed(b, queries), PACKED) for queries in (True, False))
+    q, m = (side.repartition(count * count, "mg", "qg").groupBy("mg", "qg") for side in sides)
+    found = q.cogroup(m).applyInArrow(match, FOUND)
+    return found.select(*(F.nullif(c, F.lit(int(NO_KEY))).alias(c) for c in ("id", "n")), "d")
+
+
+def _placed(ids: np.ndarray, x: np.ndarray, cells: Cells, inside: list[np.ndarray], k: int, queries: bool) -> list[tuple]:
+    """Rows of PACKED: each row as a member once for every group of queries, or as a query for the groups it visits."""
+    units, count = _units(x), len(inside)
+    chunks = [units[i : i + CHUNK_ROWS] for i in range(0, len(ids), CHUNK_ROWS)]
+    own = np.concatenate([cells.distances(c).argmin(axis=1) for c in chunks])
+    visits = np.concatenate([cells.visits(c, k) for c in chunks]) if queries else None
+    group = cells.groups(own, ids, count)
+    out = []
+    for g in np.unique(group).tolist():
+        mine = np.flatnonzero(group == g)
+        for other in range(count):
+            at, seen = mine, b""
+            if visits is not None:
+                meets = visits[np.ix_(mine, inside[other])]
+                met = meets.any(axis=1)
+                at, seen = mine[met], np.packbits(meets[met], axis=1).tobytes()
+            if len(at):
+                place = (other, g) if queries else (g, other)
+                out.append((*place, ids[at].tobytes(), own[at].astype(np.int32).tobytes(), seen, x[at].tobytes()))
+    return out
+
+
+def _entries(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow column, which must have one length."""
+    lengths = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError("vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["mg", "qg", "ids", "cells", "visits", "v"])
+
+
+def _joined(table: pa.Table, name: str) -> bytes:
+    return b"".join(table.column(name).to_pylist())
+
+
+def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    ids, names, d = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    return pa.table({"id": ids, "n": names, "d": d})
 
 
 def _fit_cells(rows: DataFrame, k: int, count: int, block_rows: int) -> Cells:
-    """Pivots by lowest hash; then cell extents; then visits per cell: two passes without a big shuffle."""
+    """Pivots by lowest hash; then cell extents: one pass without a big shuffle."""
     picked = rows.withColumn("h", split_hash("id")).orderBy("h").limit(count).collect()  # MAX_PIVOTS at most
     pivots = np.unique(_units([r["v"] for r in picked]), axis=0)
     size = len(pivots)
     none = np.zeros(size)
-    bare = Cells(pivots, none, none, np.full((size, k + 1), np.inf), none, none)
+    bare = Cells(pivots, none, none, np.full((size, k + 1), np.inf), none, block_rows)
 
     def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
@@ -250,19 +341,7 @@ def _fit_cells(rows: DataFrame, k: int, count: int, block_rows: int) -> Cells:
         members[r["cell"]], farthest[r["cell"]] = r["n"], r["far"]
         nearest[r["cell"], : len(r["ds"])] = r["ds"]
     closest = np.where(members > 0, nearest[:, 0], 0)
-    member_blocks = -(-members // block_rows)
-    known = Cells(pivots, farthest, closest, nearest, member_blocks, none)
-
-    def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, dtype=np.int64)
-        for batch in _chunks(batches):
-            total += known.visits(_units(batch["v"]), k).sum(axis=0)
-        yield pd.DataFrame({"cell": np.arange(size), "n": total})
-
-    visits = np.zeros(size, dtype=np.int64)
-    for r in rows.mapInPandas(visited, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        visits[r["cell"]] = r["n"]
-    return Cells(pivots, farthest, closest, nearest, member_blocks, -(-visits // block_rows))
+    return Cells(pivots, farthest, closest, nearest, members, block_rows)
 
 
 def _extent(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -288,54 +367,45 @@ def _units(vectors) -> np.ndarray:
     return np.hstack([x / np.where(norm > 0, norm, 1), (norm == 0).astype(float)])
 
 
-def _placed(
-    batch: pd.DataFrame, at: np.ndarray, cell: np.ndarray, own: np.ndarray, other: np.ndarray, own_name: str, other_name: str
-) -> pd.DataFrame:
-    """Put row ``at[i]`` into one block of its own side of ``cell[i]``, against every block of the other side."""
-    times = other[cell].astype(int)
-    at, cell = np.repeat(at, times), np.repeat(cell, times)
-    ids = batch["id"].to_numpy()[at]
-    spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    blocks = np.maximum(own[cell], 1).astype(np.uint64)
-    stops = np.cumsum(times)
-    against = np.arange(len(at)) - np.repeat(stops - times, times)
-    packed = [np.asarray(v, dtype=np.float64).tobytes() for v in batch["v"]]
-    return pd.DataFrame(
-        {
-            "cell": cell.astype(np.int32),
-            own_name: (spread % blocks).astype(np.int32),
-            other_name: against.astype(np.int32),
-            "id": ids,
-            "v": [packed[i] for i in at],
-        }
-    )[["cell", "mb", "qb", "id", "v"]]
-
-
-def _nearest(q: pd.DataFrame, m: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Local top-k of a block of queries in a block of members."""
-    out: list[pd.DataFrame] = []
-    if len(q) and len(m):
-        m = m.sort_values("id")
-        names = m["id"].to_numpy()
-        members = _unpack(m["v"])
-        bits = max(1, (len(m) - 1).bit_length())
-        position = np.arange(len(m), dtype=np.int64)
-        for start in range(0, len(q), CHUNK_ROWS):
-            part = q.iloc[start : start + CHUNK_ROWS]
-            ids = part["id"].to_numpy()
-            steps = np.rint((1 - _unpack(part["v"]) @ members.T) / STEPS).astype(np.int64)
-            # distance first, then key order: one integer, so the choice among ties is fixed
-            ranked = (steps << bits) | position
-            ranked[ids[:, None] == names[None, :]] = np.iinfo(np.int64).max
-            take = min(k, len(m))
-            best = np.partition(ranked, take - 1, axis=1)[:, :take]
-            row, col = np.nonzero(best < np.iinfo(np.int64).max)
-            chosen = best[row, col]
-            out.append(
-                pd.DataFrame({"id": ids[row], "n": names[chosen & ((1 << bits) - 1)], "d": chosen >> bits})
-            )
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "n": [], "d": []}, dtype="int64")
-
-
-def _unpack(packed: pd.Series) -> np.ndarray:
-    return _units(np.frombuffer(b"".join(packed), dtype=np.float64).reshape(len(packed), -1))
+def _nearest(
+    ids: np.ndarray, queries: np.ndarray, names: np.ndarray, members: np.ndarray, rough: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local top-k of some queries among members: ids, neighbours, STEPS.
+
+    ``rough`` are the members in single precision. Its products are off by less than ``off``; whatever
+    comes within that of a query's k-th best so far is compared in double.
+    """
+    off = (queries.shape[1] + 8) * 2.0**-23
+    asked = queries.astype(np.float32)
+    # a row is no neighbour of its own, nor are others of its key
+    order = np.argsort(names, kind="stable")
+    low, high = (np.searchsorted(names[order], ids, side) for side in ("left", "right"))
+    same = np.where(ids == NO_KEY, 0, high - low)
+    own_row = np.repeat(np.arange(len(ids)), same)
+    own_at = order[np.repeat(low, same) + np.arange(len(own_row)) - np.repeat(np.cumsum(same) - same, same)]
+
+    floor = np.full(len(ids), -np.inf)
+    row, at, d = (np.zeros(0, np.int64) for _ in range(3))
+    start, tile = 0, TILES[0]
+    while start < len(names):
+        stop = min(start + tile, len(names))
+        near = asked @ rough[start:stop].T
+        own = (own_at >= start) & (own_at < stop)
+        near[own_row[own], own_at[own] - start] = -np.inf
+        if not start and stop > k:
+            floor = np.partition(near, -k, axis=1)[:, -k].astype(float) - 2 * off
+        i, j = np.divmod(np.flatnonzero(near >= floor.astype(np.float32)[:, None]), stop - start)
+        valid = near[i, j] > -np.inf
+        i, j = i[valid], j[valid] + start
+        steps = np.rint((1 - np.einsum("ij,ij->i", queries[i], members[j])) / STEPS).astype(np.int64)
+        row, at, d = np.concatenate((row, i)), np.concatenate((at, j)), np.concatenate((d, steps))
+        by = np.lexsort((names[at], d, row))
+        row, at, d = row[by], at[by], d[by]
+        counts = np.bincount(row, minlength=len(ids))
+        first = np.cumsum(counts) - counts
+        kept = np.arange(len(row)) - first[row] < k
+        full = np.flatnonzero(counts >= k)
+        floor[full] = 1 - d[first[full] + k - 1] * STEPS - 2 * off
+        row, at, d = row[kept], at[kept], d[kept]
+        start, tile = stop, min(2 * tile, TILES[1])
+    return ids[row], names[at], d

@@ -160,3 +160,26 @@ def test_python_tasks_do_not_need_the_package():
     code = "import sys, pickle; e = pickle.load(sys.stdin.buffer)(4); print(e.encode([['a', 'b'], []]).tolist())"
     done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd="/", check=True)
     assert done.stdout.decode().strip() == str(encode.HashEncoder(4).encode([["a", "b"], []]).tolist())
+
+
+def test_pivots_and_blocks_do_not_add_to_what_travels(spark):
+    """Without clusters a row is sent once for each group of the other side, whatever the number of cells and blocks."""
+    x = np.random.default_rng(8).normal(size=(1500, 12))
+    rows = frame(spark, x).select("id", F.col("a").alias("v"))
+    ids = np.arange(1500)
+    for pivots, block_rows in (2, 4096), (60, 16):
+        cells = neighbours._fit_cells(rows, 6, pivots, block_rows)
+        inside = [cells.group_cells(g, 6) for g in range(6)]
+        assert np.bincount(cells.groups(cells.distances(neighbours._units(x)).argmin(axis=1), ids, 6)).max() < 500 or block_rows > 16
+        for queries in (True, False):
+            sent = sum(len(r[2]) // 8 for r in neighbours._placed(ids, x, cells, inside, 6, queries))
+            assert 1500 <= sent <= 1500 * 6
+    assert neighbour_ids(neighbours.knn_cosine(frame(spark, x), "id", "a", 6, 25, 16)) == brute_force(x, 6)
+
+
+def test_close_neighbours_beyond_single_precision(spark):
+    """Distances that single precision cannot tell apart keep their order."""
+    rng = np.random.default_rng(9)
+    x = np.ones((2500, 6)) + rng.normal(scale=3e-5, size=(2500, 6))
+    got = neighbours.knn_cosine(frame(spark, x), "id", "a", 5)
+    assert neighbour_ids(got) == brute_force(x, 5)
