@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,6 +20,9 @@ from lexiloom.functions.text import safe_text
 from lexiloom.functions.tokens import truncate, word_tokens
 from lexiloom.functions.vectors import MIN_LENGTH
 
+#: rows whose tokens are Python objects at one time
+ROWS = 512
+
 
 class Encoder(Protocol):
     """Turns lists of tokens into one vector each; ``id`` names all that shapes them."""
@@ -40,9 +44,9 @@ class HashEncoder:
         out = np.zeros((len(tokens), self.dim))
         if not lengths.sum():
             return out
-        words = np.concatenate([np.asarray(t, dtype=object) for t in tokens])
-        unique, inverse = np.unique(words.astype(str), return_inverse=True)
-        slots = np.array([self._slot(w) for w in unique])
+        # by hash: an array of fixed-width strings would be as wide as the longest word, for every word
+        inverse, unique = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tokens]))
+        slots = np.array([self._slot(str(w)) for w in unique])
         rows = np.repeat(np.arange(len(tokens)), lengths)
         np.add.at(out, (rows, slots[inverse, 0].astype(int)), slots[inverse, 1])
         return out / np.maximum(lengths, MIN_LENGTH)[:, None]
@@ -68,19 +72,24 @@ def encode_texts(
     max_length: int = 128,
     encoder_id: str | None = None,
 ) -> DataFrame:
-    """``key, vector``: the encoder is fed Arrow batches, and with an ``encoder_id`` built once per worker.
+    """``key, vector``: the encoder is fed slices of Arrow batches, and with an ``encoder_id`` built once per worker.
 
     Tokens are cut to ``max_length`` before they cross to Python, as the encoder
     sees no more of them.
     """
     tokens = df.select(key, truncate(word_tokens(safe_text(text)), max_length).alias("tokens"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_encoder(encoder, encoder_id) if encoder_id else encoder()
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "vector": list(model.encode(list(batch["tokens"])))})
-
-    return tokens.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, vector array<double>")
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                lists = part.column(1).to_pylist()
+                out = np.asarray(model.encode([np.array(t, dtype=object) for t in lists]), dtype=float)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=[key, "vector"])
+
+    return tokens.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def pool_token_table(df: DataFrame, key: str, vector: str, mask: str, dim: int) -> DataFrame:

@@ -142,6 +142,31 @@ def test_own_encoder(spark):
     assert dict(encode.encode_texts(df, "k", "text", Lengths).collect()) == {"a": [2.0], "b": [0.0]}
 
 
+def test_one_long_word_costs_its_own_length():
+    """Memory follows the characters there are, not the longest word times the words."""
+    import tracemalloc
+
+    words = [f"w{i % 500}" for i in range(40_000)]
+    texts = [np.array(words[i : i + 100], dtype=object) for i in range(0, 40_000, 100)]
+    texts.append(np.array(["x" * 20_000], dtype=object))
+    tracemalloc.start()
+    got = encode.HashEncoder(8).encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    assert [list(r) for r in encode.HashEncoder(8).encode(texts[-2:])] == [list(r) for r in got[-2:]]
+
+
+def test_encoder_sees_bounded_slices(spark):
+    class Counted:
+        def encode(self, tokens):
+            return np.full((len(tokens), 1), float(len(tokens)))
+
+    df = spark.range(5000, numPartitions=1).selectExpr("id", "concat('mot', id) AS text")
+    seen = [r.vector[0] for r in encode.encode_texts(df, "id", "text", Counted).collect()]
+    assert len(seen) == 5000 and max(seen) <= encode.ROWS
+
+
 def test_token_table_pooling(spark):
     rows = [(1, 0, 1, [1.0, 2.0]), (1, 1, 1, [3.0, 4.0]), (1, 2, 0, [9.0, 9.0]), (2, 0, 0, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "id long, pos int, mask int, vec array<double>")
