@@ -7,7 +7,8 @@ found. Only that cut travels to the driver. A leaf weighs ``-G / (H + penalty)``
 
 Scale: rows are read as blocks of one-byte interval numbers next to the margin so far. The trees of the last
 ``KEPT`` rounds are applied on the fly; then the margins are written again, so neither the work of a round
-nor the lineage grows with the rounds. Where the rows are a single partition there is nothing to meet, and
+nor the lineage grows with the rounds. Between two writings the blocks are held by at most as many tasks as
+there are cores, so what a level shuffles does not grow with the rows. Where the rows are a single partition there is nothing to meet, and
 those rounds are one job. Sums are whole numbers (gradients in units of 2^-24), so the trees do
 not depend on the number of partitions or the order of their results. Rows are drawn by a hash of key and
 round, columns by round: the first r rounds are the same whatever the number of rounds.
@@ -21,12 +22,12 @@ from __future__ import annotations
 
 import base64
 import io
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -270,9 +271,6 @@ class Best(NamedTuple):
     h: int
 
 
-BEST = "node bigint, gain double, feature bigint, code bigint, g_left bigint, h_left bigint, g bigint, h bigint"
-
-
 def gradients(labels: np.ndarray, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives of the logistic loss, in units of 2^-24."""
     p = 1 / (1 + np.exp(-margins))
@@ -331,26 +329,46 @@ class Shape(NamedTuple):
         return sums
 
 
-def level_cuts(blocks: DataFrame, shape: Shape, level: Level, rules: Rules) -> list[Best]:
-    """The best cut of every open node, from all tasks."""
+def planes(sums: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then the next ones, and so on: the upper ones, nearly all equal, compress."""
+    return np.ascontiguousarray(sums, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def held_blocks(blocks: DataFrame, size: int) -> RDD:
+    """The blocks as arrays, kept by at most as many tasks as there are cores: each task sends the sums of its rows."""
+    tasks = min(blocks.rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism)
+    columns = ("n", "keys", "labels", "codes", "margins")
+
+    def unpacked(rows: Iterator) -> Iterator[tuple]:
+        for row in rows:
+            yield from _unpacked(pa.RecordBatch.from_pydict({c: [row[c]] for c in columns}), size)
+
+    return blocks.coalesce(tasks).rdd.mapPartitions(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def level_cuts(blocks: RDD, shape: Shape, level: Level, rules: Rules) -> list[Best]:
+    """The best cut of every open node, from all tasks, in one job of two stages."""
     features = drawn_columns(shape.size, rules.seed, level.turn, rules.columns)
     groups = -(-len(features) // TOGETHER)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = shape.sums((block for batch in batches for block in _unpacked(batch, shape.size)), level, rules)
-        out = [(n * groups + k, sums[:, n, k * TOGETHER : (k + 1) * TOGETHER].tobytes()) for n in range(len(level.open_nodes)) for k in range(groups)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["slot", "sums"])
+    def summed(parts: Iterator[tuple]) -> Iterator[tuple[int, bytes]]:
+        sums = shape.sums(parts, level, rules)
+        for n in range(len(level.open_nodes)):
+            for k in range(groups):
+                yield n * groups + k, planes(sums[:, n, k * TOGETHER : (k + 1) * TOGETHER])
 
-    def chosen(slot: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, k = divmod(slot[0].as_py(), groups)
+    def chosen(slot: int, parts: Iterable[bytes]) -> tuple:
+        node, k = divmod(slot, groups)
         own = features[k * TOGETHER : (k + 1) * TOGETHER]
-        total = np.zeros((2, len(own), shape.width), np.int64)
-        for batch in batches:
-            for b in batch.column(1).to_pylist():
-                total += np.frombuffer(b, np.int64).reshape(total.shape)
-        yield pa.RecordBatch.from_pylist([best_cut(level.open_nodes[node], own, total, rules)._asdict()])
+        total = sum(from_planes(b) for b in parts).reshape(2, len(own), shape.width)
+        return tuple(best_cut(level.open_nodes[node], own, total, rules))
 
-    rows = blocks.mapInArrow(summed, "slot int, sums binary").groupBy("slot").applyInArrow(chosen, BEST).collect()
+    slots = len(level.open_nodes) * groups
+    rows = blocks.mapPartitions(summed).groupByKey(min(slots, blocks.getNumPartitions())).map(lambda s: chosen(*s)).collect()
     found: dict[int, Best] = {}
     for row in sorted((Best(*r) for r in rows), key=lambda b: (b.node, -b.gain, b.feature, b.code)):
         found.setdefault(row.node, row)
@@ -432,9 +450,11 @@ def fit_trees(rows: DataFrame, size: int, rules: Rules, bins: int = BINS) -> Tre
         if alone:
             grown += grow_in_one_task(blocks, shape, turns, rules)
             continue
+        held = held_blocks(blocks, size)
         for turn in turns:
             recent = stacked(grown[first:], rules)
-            grown.append(grow(lambda level: level_cuts(blocks, shape, level, rules), turn, rules, recent))  # noqa: B023
+            grown.append(grow(lambda level: level_cuts(held, shape, level, rules), turn, rules, recent))  # noqa: B023
+        held.unpersist()
     trees = stacked(grown, rules)
     values = np.zeros(trees.feature.shape)
     for f, own in enumerate(cuts):

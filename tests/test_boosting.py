@@ -131,3 +131,17 @@ def test_saved_trees(spark, table):
     save_model(model, path)
     want, got = ({r.id: r.p for r in m.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()} for m in (model, load_model(path)))
     assert want == got and len(set(want.values())) > 3
+
+
+def test_what_a_level_sends_does_not_grow_with_the_parts(spark):
+    """Each task sends the sums of all its rows once, so there are no more tasks than cores."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, int(a > 0), [float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))], "key long, label int, x array<double>")
+    cuts = boosting.feature_cuts(rows.select("x"), 2, 16)
+    blocks = boosting.blocks_of(rows.repartition(30), cuts, 0.0)
+    spread = blocks.repartition(30)
+    held = boosting.held_blocks(spread, 2)
+    assert held.getNumPartitions() <= spark.sparkContext.defaultParallelism < spread.rdd.getNumPartitions()
+    assert sum(len(block[0]) for block in held.collect()) == 400
+    sums = rng.integers(-(2**45), 2**45, (2, 3, 16))
+    assert (boosting.from_planes(boosting.planes(sums)).reshape(sums.shape) == sums).all()
