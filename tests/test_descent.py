@@ -58,3 +58,22 @@ def test_a_hub_is_not_a_group(spark):
     got = descent.knn_descent(df, "id", "v", 3, pool=10)
     nearest = {r.id: r.neighbour for r in got.where("rank = 1").collect()}
     assert sum(nearest[i * 3 + 1] == 901 for i in range(300)) >= 0.9 * 300
+
+
+def test_a_vector_travels_once_to_a_group(spark):
+    """Not once for each of the up to 2 * pool links of its row; one round then finds most of what there is."""
+    rng = np.random.default_rng(4)
+    df = table(spark, rng.normal(size=(1200, 24)))
+    lists = [(i * 3 + 1, [(i + j) % 1200 * 3 + 1 for j in range(1, 41)]) for i in range(1200)]
+    held = [(i, np.array(n).tobytes(), np.arange(40).tobytes(), b"\1" * 40) for i, n in lists]
+    graph = spark.createDataFrame([(i, bytearray(n), bytearray(d), bytearray(f)) for i, n, d, f in held], descent.LISTS)
+    pairs = [(i, j) for i, n in lists for j in n]
+    both = spark.createDataFrame(pairs + [(j, i) for i, j in pairs], "owner long, id long")
+    packed = df.select("id", df.v.cast("string").cast("binary").alias("v"))
+    sent = [(r.g, r.id) for r in descent._sent(both, graph, packed, 40, 4).collect()]
+    assert len(sent) == len(set(sent)) <= 4 * 1200
+    group = {r.id: r.g for r in df.select("id", descent._group("id", 4).alias("g")).collect()}
+    assert set(sent) == {(group[i], j) for i, j in pairs} | {(group[j], i) for i, j in pairs} | {(group[i], i) for i, _ in pairs}
+
+    share = descent.recall(descent.knn_descent(df, "id", "v", 15, pool=40, rounds=1), knn_cosine(df, "id", "v", 15), "id").first()
+    assert share.hits >= 0.95 * share.wanted
