@@ -118,3 +118,37 @@ def test_sorted_terms_are_not_recomputed_per_element(spark):
 def test_first_marks_one_per_row(spark):
     df = spark.range(1).select(F.array(*[F.lit(x) for x in ("b", "a", "b")]).alias("terms"))
     assert {r.term: (r.tf, r.df) for r in tfidf.term_counts(df).collect()} == {"a": (1, 1), "b": (2, 1)}
+
+
+@pytest.mark.parametrize("tokens", [3, 1 << 20])
+def test_numbers_count_as_terms_do(spark, monkeypatch, tokens):
+    """N-grams counted as numbers, in stretches of a few words too, are those of the arrays of terms."""
+    monkeypatch.setattr(tfidf, "TOKENS", tokens)
+    df = frame(spark, [*TEXTS, None, "aa aa aa aa aa", "Ünï cödé_1 ünï CÖDÉ_1"], [0, 1, 2, 0, 1, 2, 0, 1, None, 2])
+    rules = TermRules(1, 3, 1, 1.0, 1000)
+
+    def rows(counts):
+        return sorted(tuple(r[c] for c in sorted(counts.columns)) for r in counts.collect())
+
+    assert rows(tfidf.counted(df, "text", rules)) == rows(tfidf.term_counts(tfidf.with_terms(df, "text", rules)))
+    known = df.where("fold is not null")
+    assert rows(tfidf.counted(df, "text", rules, fold="fold", folds=3)) == rows(tfidf.term_counts_by_fold(tfidf.with_terms(known, "text", rules), "fold", 3))
+    only, low = {"noir", "chat", "aa"}, TermRules(2, 3, 1, 1.0, 1000)
+    assert rows(tfidf.counted(df, "text", low, only)) == rows(tfidf.term_counts(tfidf.with_terms(df, "text", low, only=only)))
+
+
+def test_the_vocabulary_leaves_out_grams_of_rare_words(spark):
+    rules = TermRules(1, 3, 1, 1.0, 4)
+    df = frame(spark, [*TEXTS, "chat noir " * 9])
+    counts = tfidf.candidate_counts(df, "text", df.count(), rules)
+    every = tfidf.term_counts(tfidf.with_terms(df, "text", rules))
+    assert counts.count() < every.count()
+    assert [tuple(r) for r in tfidf.vocabulary(counts, 8, rules).collect()] == [tuple(r) for r in tfidf.vocabulary(every, 8, rules).collect()]
+
+
+def test_long_form_of_terms_that_start_alike(spark):
+    model = tfidf.TfidfModel(TermRules(1, 3, 1, 1.0, 9, ()), ["aa", "aa bb cc", "bb cc", "cc"], [1.0, 2.0, 3.0, 4.0])
+    df = frame(spark, ["aa bb cc", "aa bb", "bb aa bb cc aa", "dd", ""])
+    got = {(r.id, r.term): r.weight for r in model.long(df, "id", "text").collect()}
+    want = matrix(model, df)
+    assert got == pytest.approx({(i, model.terms[j]): want[i, j] for i, j in zip(*np.nonzero(want))})
