@@ -97,10 +97,9 @@ SELECT row_number() OVER (ORDER BY term) - 1 AS "position", term, df FROM vocab"
 )
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     """Top 5,000 terms by corpus count (a top-k report), numbered alphabetically."""
-    model_counts = tfidf.term_counts(
-        tfidf.with_terms(spread_documents(spark, sf, "doc_id", "text"), "text", tfidf.LARGE)
-    )
-    kept = tfidf.vocabulary(model_counts, spread_documents(spark, sf, "doc_id").count(), tfidf.LARGE)
+    rows = spread_documents(spark, sf, "doc_id").count()
+    counts = tfidf.candidate_counts(spread_documents(spark, sf, "doc_id", "text"), "text", rows, tfidf.LARGE)
+    kept = tfidf.vocabulary(counts, rows, tfidf.LARGE)
     ordered = F.sort_array(F.collect_list(F.struct("term", "df")))  # max_features entries at most
     return (
         kept.agg(ordered.alias("v"))
