@@ -3,10 +3,12 @@
 Minimises ``|w|^2 / 2 + c * sum s loss(y w x)`` where every x has a constant 1 appended. Each step solves the
 Newton system by conjugate gradients inside a radius, and a product of the Hessian with a vector is one pass
 over the rows: ``v + c X'(D (X v))``. The Hessian itself is never formed, so columns cost one number each, on
-the driver and in a task, and only rows times non-zero entries cost time.
+the driver and in a task, and only rows times non-zero entries cost time. The gradients are scaled by the
+Hessian's diagonal, which one more pass a step gives, so fewer products are needed.
 
-Rows are written once as sparse blocks. A pass sums a block's part in numpy and the parts of all partitions by
-stretches of columns; the driver gets one vector.
+Rows are written once as sparse blocks. A pass sums a block's part in numpy. Where the parts of all partitions
+are at most ``DIRECT`` bytes the driver adds them up; else they meet by stretches of columns, and the driver gets
+one vector.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from lexiloom.session import materialise
 
 BLOCK = 4096
 STRETCH = 1 << 14
+DIRECT = 8 << 20
 FORCING = 0.1
 MAX_PRODUCTS = 500
 
@@ -122,13 +125,14 @@ def added_up(blocks: DataFrame, length: int, unpack: Callable[[pa.RecordBatch],
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["i", "v"])
 
     parts = blocks.mapInArrow(partial, "i int, v binary")
-    if blocks.rdd.getNumPartitions() > 1:
+    tasks = blocks.rdd.getNumPartitions()
+    if tasks > 1 and 8 * length * tasks > DIRECT:
         parts = parts.groupBy("i").applyInArrow(merged, "i int, v binary")
     rows = parts.collect()
     out = np.zeros(length)
     for row in rows:
         v = np.frombuffer(bytes(row.v))
-        out[row.i * STRETCH : row.i * STRETCH + len(v)] = v
+        out[row.i * STRETCH : row.i * STRETCH + len(v)] += v
     return out
 
 
@@ -158,51 +162,69 @@ class Problem(NamedTuple):
         loss, size = LOSSES[self.loss], self.size
         return v + self.c * summed(self.blocks, size + 1, lambda b: b.back(b.s * loss.curve(b.y * b.times(w)) * b.times(v), size))
 
+    def diagonal(self, w: np.ndarray) -> np.ndarray:
+        """The diagonal of the Hessian at w."""
+        loss, size = LOSSES[self.loss], self.size
+        return 1 + self.c * summed(self.blocks, size + 1, lambda b: b._replace(x=b.x * b.x).back(b.s * loss.curve(b.y * b.times(w)), size))
+
+
+def _within(
+    product: Callable[[np.ndarray], np.ndarray], g: np.ndarray, scale: np.ndarray, radius: float, enough: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Conjugate gradients for ``H s = -g``, scaled by a diagonal, until the residual is ``enough`` or s meets the radius; s and ``H s``.
 
-def _within(product: Callable[[np.ndarray], np.ndarray], g: np.ndarray, radius: float, enough: float) -> tuple[np.ndarray, np.ndarray]:
-    """Conjugate gradients for ``H s = -g`` until the residual is ``enough`` or s meets the radius; s and ``H s``."""
+    Lengths are those under ``scale``: in them s only grows.
+    """
     s, hs, r = np.zeros_like(g), np.zeros_like(g), -g
-    d, rr = r.copy(), float(r @ r)
+    d = r / scale
+    rr = float(r @ d)
     for _ in range(MAX_PRODUCTS):
-        if rr <= enough * enough:
+        if np.linalg.norm(r) <= enough:
             break
         hd = product(d)
         step = rr / float(d @ hd)
-        if np.linalg.norm(s + step * d) >= radius:
-            a, b, gap = float(d @ d), float(s @ d), radius * radius - float(s @ s)
+        if _length(s + step * d, scale) >= radius:
+            a, b, gap = float(d @ (scale * d)), float(s @ (scale * d)), radius * radius - float(s @ (scale * s))
             step = gap / (b + np.sqrt(b * b + a * gap)) if b >= 0 else (np.sqrt(b * b + a * gap) - b) / a
             return s + step * d, hs + step * hd
         s, hs, r = s + step * d, hs + step * hd, r - step * hd
-        before, rr = rr, float(r @ r)
-        d = r + (rr / before) * d
+        before, rr = rr, float(r @ (r / scale))
+        d = r / scale + (rr / before) * d
     return s, hs
 
 
+def _length(s: np.ndarray, scale: np.ndarray) -> float:
+    return float(np.sqrt(s @ (scale * s)))
+
+
 def minimise(problem: Problem, steps: int, tol: float) -> np.ndarray:
     """Weights whose gradient is ``tol`` times the first one, or as small as doubles allow."""
     w = np.zeros(problem.size + 1)
     value, g = problem.at(w)
     start = np.abs(g).max(initial=0.0)
-    first, radius = np.linalg.norm(g), np.linalg.norm(g)
+    first, radius, scale = np.linalg.norm(g), None, None
     for _ in range(steps):
         size = np.linalg.norm(g)
         if np.abs(g).max(initial=0.0) <= tol * start:
             break
-        s, hs = _within(lambda v: problem.curved(w, v), g, radius, size * min(FORCING, np.sqrt(size / first)))  # noqa: B023
+        if scale is None:
+            scale = problem.diagonal(w)
+            radius = _length(g / scale, scale) if radius is None else radius
+        s, hs = _within(lambda v: problem.curved(w, v), g, scale, radius, size * min(FORCING, np.sqrt(size / first)))  # noqa: B023
         expected = -float(g @ s) - float(s @ hs) / 2
         found, slope = problem.at(w + s)
         if expected <= 1e-13 * abs(value):  # the values no longer tell: the gradient decides
             if np.linalg.norm(slope) >= size:
                 break
-            w, value, g = w + s, found, slope
+            w, value, g, scale = w + s, found, slope, None
             continue
-        ratio, reach = (value - found) / expected, np.linalg.norm(s)
+        ratio, reach = (value - found) / expected, _length(s, scale)
         if ratio < 0.25:
             radius = min(radius, reach) * 0.25
         elif ratio > 0.75:
             radius = max(radius, 2.5 * reach)
         if ratio > 1e-4:
-            w, value, g = w + s, found, slope
+            w, value, g, scale = w + s, found, slope, None
     return w
 
 

@@ -83,3 +83,33 @@ def test_saved_model(spark):
     save_model(model, path)
     want, got = ({r.id: r.p for r in m.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()} for m in (model, load_model(path)))
     assert want == got
+
+
+def test_scaled_gradients_need_few_products():
+    """Columns of very different weight: the diagonal takes the difference out, and the answer is the same."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 60)) * np.logspace(-3, 2, 60)
+    h, g, asked = np.eye(60) + x.T @ x, rng.normal(size=60), []
+
+    def product(v):
+        asked.append(v)
+        return h @ v
+
+    s, hs = linear._within(product, g, np.diag(h), np.inf, 1e-9 * np.linalg.norm(g))
+    np.testing.assert_allclose(s, np.linalg.solve(h, -g), rtol=1e-6)
+    np.testing.assert_allclose(hs, h @ s, atol=1e-6)
+    assert len(asked) < 60
+    scale = np.diag(h)
+    edge, _ = linear._within(product, g, scale, 0.1 * linear._length(s, scale), 1e-9)
+    assert linear._length(edge, scale) == pytest.approx(0.1 * linear._length(s, scale))
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 20])
+def test_parts_add_up_on_either_side(spark, monkeypatch, direct):
+    monkeypatch.setattr(linear, "DIRECT", direct)
+    monkeypatch.setattr(linear, "STRETCH", 7)
+    df, x, y = sparse_table(spark, 80, 20, 2)
+    blocks = linear.blocks_of(df.select("features", (2.0 * F.col("label") - 1).alias("sign"), F.lit(1.0).alias("weight")), 20)
+    assert blocks.rdd.getNumPartitions() > 1
+    total = linear.summed(blocks, 21, lambda b: b.back(b.y, 20))
+    np.testing.assert_allclose(total, np.append((2 * y - 1) @ x, (2 * y - 1).sum()), atol=1e-12)
